@@ -20,25 +20,39 @@ TEXT_CLOSE = "</text>"
 
 
 def _positions(df: DataFrame, col: str) -> DataFrame:
-    """Tag positions (1-based characters, 0 = not found) in reference order:
-    first <title>, first </title> after it, first <text after that, the
-    first '>' after that, and the first </text> after the '>'."""
+    """Tag positions (1-based characters, null = not found) in reference
+    order: first <title>, first </title> after it, first <text after that,
+    the first '>' after that, and the first </text> after the '>'. Each step
+    reads the previous one once, so a missing tag nulls the rest and the
+    expressions stay linear even when Catalyst inlines them."""
     return (df
-            .withColumn("_ts", F.expr(f"instr({col}, '{TITLE_OPEN}')"))
-            .withColumn("_te", F.expr(f"if(_ts > 0, locate('{TITLE_CLOSE}', {col}, _ts + {len(TITLE_OPEN)}), 0)"))
-            .withColumn("_tt", F.expr(f"if(_te > 0, locate('{TEXT_OPEN}', {col}, _te), 0)"))
-            .withColumn("_gt", F.expr(f"if(_tt > 0, locate('>', {col}, _tt), 0)"))
-            .withColumn("_xe", F.expr(f"if(_gt > 0, locate('{TEXT_CLOSE}', {col}, _gt + 1), 0)")))
+            .withColumn("_ts", F.expr(f"nullif(instr({col}, '{TITLE_OPEN}'), 0)"))
+            .withColumn("_te", F.expr(f"nullif(locate('{TITLE_CLOSE}', {col}, _ts + {len(TITLE_OPEN)}), 0)"))
+            .withColumn("_tt", F.expr(f"nullif(locate('{TEXT_OPEN}', {col}, _te), 0)"))
+            .withColumn("_gt", F.expr(f"nullif(locate('>', {col}, _tt), 0)"))
+            .withColumn("_xe", F.expr(f"nullif(locate('{TEXT_CLOSE}', {col}, _gt + 1), 0)")))
+
+
+def _keep_found(df: DataFrame, found: F.Column, keep: list[str]) -> DataFrame:
+    """Rows where ``found`` (a struct, null = drop) is set, unpacked.
+
+    The struct goes through ``explode_outer`` of a one-element array: a
+    filter on generator output stays above the Generate, so the positions are
+    computed once per row instead of being inlined into a pushed-down filter.
+    """
+    return (df.select(*keep, F.explode_outer(F.array(found)).alias("_a"))
+              .filter(F.col("_a").isNotNull())
+              .select("_a.*", *keep))
 
 
 def extract_title(df: DataFrame, col: str = "page") -> DataFrame:
     """The title rule alone (first <title> to the first </title> after it);
     rows without a complete title are dropped. Adds column ``title``."""
-    pos = (df.withColumn("_ts", F.expr(f"instr({col}, '{TITLE_OPEN}')"))
-             .withColumn("_te", F.expr(f"if(_ts > 0, locate('{TITLE_CLOSE}', {col}, _ts + {len(TITLE_OPEN)}), 0)")))
-    return (pos.filter(F.col("_te") > 0)
-               .withColumn("title", F.expr(f"substring({col}, _ts + {len(TITLE_OPEN)}, _te - _ts - {len(TITLE_OPEN)})"))
-               .drop("_ts", "_te"))
+    pos = (df.withColumn("_ts", F.expr(f"nullif(instr({col}, '{TITLE_OPEN}'), 0)"))
+             .withColumn("_te", F.expr(f"nullif(locate('{TITLE_CLOSE}', {col}, _ts + {len(TITLE_OPEN)}), 0)")))
+    title = F.expr(f"substring({col}, _ts + {len(TITLE_OPEN)}, _te - _ts - {len(TITLE_OPEN)})")
+    found = F.when(F.col("_te").isNotNull(), F.struct(title.alias("title")))
+    return _keep_found(pos, found, [c for c in df.columns if c != "title"])
 
 
 def extract_articles(pages: DataFrame) -> DataFrame:
@@ -49,11 +63,10 @@ def extract_articles(pages: DataFrame) -> DataFrame:
     are kept. Columns: ``title, text`` and the order key.
     """
     pos = _positions(pages, "page")
-    return (pos.filter(F.col("_xe") > 0)
-               .select(
-                   F.expr(f"substring(page, _ts + {len(TITLE_OPEN)}, _te - _ts - {len(TITLE_OPEN)})").alias("title"),
-                   F.expr("substring(page, _gt + 1, _xe - _gt - 1)").alias("text"),
-                   *ORDER_KEY))
+    title = F.expr(f"substring(page, _ts + {len(TITLE_OPEN)}, _te - _ts - {len(TITLE_OPEN)})")
+    text = F.expr("substring(page, _gt + 1, _xe - _gt - 1)")
+    found = F.when(F.col("_xe").isNotNull(), F.struct(title.alias("title"), text.alias("text")))
+    return _keep_found(pos, found, ORDER_KEY)
 
 
 def scan_counters(pages: DataFrame,
@@ -66,7 +79,7 @@ def scan_counters(pages: DataFrame,
     article (the basic program's counter); optionally ``name``: the sum of
     ``per_text(text)`` over the articles, e.g. the ISBNs found.
     """
-    pos = _positions(pages, "page").withColumn("_ok", F.col("_xe") > 0)
+    pos = _positions(pages, "page").withColumn("_ok", F.col("_xe").isNotNull())
     aggs = [F.count(F.lit(1)).alias("pages_found"), F.count_if("_ok").alias("articles")]
     if per_text is not None:
         text = F.expr("substring(page, _gt + 1, _xe - _gt - 1)")

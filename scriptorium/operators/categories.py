@@ -57,6 +57,8 @@ def category_usage(articles: DataFrame, tag: str = CATEGORY_TAG) -> DataFrame:
     """
     names = F.regexp_extract_all(F.col("text"), F.lit(quote_regex(tag) + "([^\\]|]*)"), F.lit(1))
     return (articles.filter(F.instr("text", tag) > 0)
-            .select(F.explode(names).alias("category"))
+            # outer + filter: keeps the extraction from being evaluated twice
+            .select(F.explode_outer(names).alias("category"))
+            .filter(F.col("category").isNotNull())
             .groupBy("category")
             .agg(F.count(F.lit(1)).alias("n")))

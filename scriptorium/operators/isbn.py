@@ -36,7 +36,10 @@ def extract_isbns(articles: DataFrame, dialect: str = "basic") -> DataFrame:
     found = (articles
              .filter(may_contain_isbn(text, dialect))
              .select("title", *ORDER_KEY, isbn_candidates(text, dialect).alias("_isbns"))
-             .select("title", *ORDER_KEY, F.posexplode("_isbns").alias("_i", "isbn")))
+             # outer + filter keeps the inferred size() > 0 filter from being
+             # pushed below the projection (which would run the regex twice)
+             .select("title", *ORDER_KEY, F.posexplode_outer("_isbns").alias("_i", "isbn"))
+             .filter(F.col("isbn").isNotNull()))
     verdict = checksum_valid(F.col("isbn")) if dialect == "extended" else F.lit(None).cast("boolean")
     return found.select(
         "title",

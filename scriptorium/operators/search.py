@@ -99,7 +99,11 @@ def search_kwic(articles: DataFrame, term: str, context: int = 100, unit: str =
             .select("title", *ORDER_KEY, text.cast("binary").alias("_bin"),
                     _hit_offsets(text, term, unit == "chars").alias("_hits"))
             .select("title", *ORDER_KEY, F.transform("_hits", cut).alias("_hits")))
-    return hits.select("title", *ORDER_KEY, F.posexplode("_hits").alias("_i", "_h")).select(
+    # posexplode_outer + filter: the plain explode would get an inferred
+    # size(_hits) > 0 filter pushed below this projection, evaluating the
+    # offsets (and their UDF) twice
+    return hits.select("title", *ORDER_KEY, F.posexplode_outer("_hits").alias("_i", "_h")).filter(
+        F.col("_h").isNotNull()).select(
         "title",
         (F.col("_i") + 1).cast("int").alias("match_no"),
         (F.col("_h.pos") + 1).cast("int").alias("match_pos"),
