@@ -66,7 +66,7 @@ def extract_articles(pages: DataFrame) -> DataFrame:
     title = F.expr(f"substring(page, _ts + {len(TITLE_OPEN)}, _te - _ts - {len(TITLE_OPEN)})")
     text = F.expr("substring(page, _gt + 1, _xe - _gt - 1)")
     found = F.when(F.col("_xe").isNotNull(), F.struct(title.alias("title"), text.alias("text")))
-    return _keep_found(pos, found, ORDER_KEY)
+    return _keep_found(pos, found, [c for c in ORDER_KEY if c in pages.columns])
 
 
 def scan_counters(pages: DataFrame,
