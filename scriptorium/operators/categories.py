@@ -43,7 +43,8 @@ def category_stats(articles: DataFrame, tag: str = CATEGORY_TAG) -> DataFrame:
     return agg.select(
         "total_articles", "articles_with_cats", "total_categories", "max_categories",
         F.coalesce(F.col("_max_title"), F.lit("")).alias("max_cat_article"),
-        F.when(total > 0, with_cats * 100.0 / total).otherwise(F.lit(0.0)).alias("pct_with_cats"),
+        # divide first, then scale: the reference's order of operations
+        F.when(total > 0, with_cats / total * 100.0).otherwise(F.lit(0.0)).alias("pct_with_cats"),
         F.when(with_cats > 0, links / with_cats).otherwise(F.lit(0.0)).alias("avg_per_article_with_cats"),
     )
 
@@ -62,3 +63,27 @@ def category_usage(articles: DataFrame, tag: str = CATEGORY_TAG) -> DataFrame:
             .filter(F.col("category").isNotNull())
             .groupBy("category")
             .agg(F.count(F.lit(1)).alias("n")))
+
+
+# The labels of the reference's summary (count-cats action).
+STATS_TEMPLATE = (
+    "Category Statistics:\n"
+    "Total articles: {total_articles}\n"
+    "Articles with categories: {articles_with_cats} ({pct_with_cats:.1f}%)\n"
+    "Total categories: {total_categories}\n"
+    "Average categories per article: {avg_per_article_with_cats:.2f}\n"
+    "Maximum categories: {max_categories} in article \"{max_cat_article}\"\n"
+)
+
+
+def format_category_stats(stats: DataFrame) -> str:
+    """The summary text of ``category_stats`` (one aggregated row).
+
+    Formatted on the driver with Python, whose %-rounding of the exact binary
+    value is the same as C's printf (Spark's Java formatter rounds ties of
+    the shortest decimal form up instead).
+    """
+    row = stats.collect()
+    if len(row) != 1:
+        raise ValueError("expected the one-row result of category_stats")
+    return STATS_TEMPLATE.format(**row[0].asDict())

@@ -80,7 +80,7 @@ def _sql() -> dict[str, str]:
             f"CAST(coalesce(max(doc_id % 4), 0) AS BIGINT) AS max_categories, "
             f"coalesce((SELECT title FROM fx WHERE doc_id % 4 > 0 AND doc_id % 4 = (SELECT max(doc_id % 4) FROM fx) "
             f"ORDER BY doc_id LIMIT 1), '') AS max_cat_article, "
-            f"CASE WHEN count(*) > 0 THEN CAST({with_cats} AS DOUBLE) * 100 / count(*) ELSE 0.0 END AS pct_with_cats, "
+            f"CASE WHEN count(*) > 0 THEN CAST({with_cats} AS DOUBLE) / count(*) * 100 ELSE 0.0 END AS pct_with_cats, "
             f"CASE WHEN {with_cats} > 0 THEN CAST(sum(doc_id % 4) AS DOUBLE) / {with_cats} ELSE 0.0 END "
             f"AS avg_per_article_with_cats FROM fx"),
         "category_usage": (

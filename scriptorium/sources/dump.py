@@ -32,6 +32,10 @@ PAGE_CLOSE = "</page>"
 
 ORDER_KEY = ["file_path", "file_block_start", "seq"]
 
+# Above this many input files the per-file table of the leading-fragment
+# guard is joined by shuffle instead of broadcast (a row is ~200 bytes).
+MAX_BROADCAST_FILES = 50_000
+
 
 def read_records(spark: SparkSession, path: str | list[str], *,
                  recursive: bool = True) -> DataFrame:
@@ -76,8 +80,11 @@ def read_pages(spark: SparkSession, path: str | list[str], *, recursive: bool =
     recs = recs.withColumn("_end", _page_end(F.col("value")))
     pages = recs.filter(F.col("_end") > 0)
     if skip_leading_fragment:
-        # one row per file: broadcast is bounded by the number of input files
-        pages = pages.join(F.broadcast(_leading_fragments(recs)), ORDER_KEY, "left_anti")
+        firsts = _leading_fragments(recs)
+        # one row per input file: broadcast when the file listing proves it small
+        if len(spark.read.text(path if isinstance(path, str) else list(path)).inputFiles()) <= MAX_BROADCAST_FILES:
+            firsts = F.broadcast(firsts)
+        pages = pages.join(firsts, ORDER_KEY, "left_anti")
     return pages.select(
         F.concat(F.lit(PAGE_OPEN), F.col("value").substr(F.lit(1), F.col("_end") + 6)).alias("page"),
         *ORDER_KEY,
@@ -118,9 +125,10 @@ def page_index(spark: SparkSession, path: str | list[str], *, recursive: bool =
         F.coalesce(F.sum("split_total").over(in_file.rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("split_base"),
     )
-    # one row per split: bounded by input size / split size
+    # The per-record side is already hash-partitioned by split for the
+    # window, so a plain equi-join only moves the per-split table.
     return (local.filter(F.col("length").isNotNull())
-            .join(F.broadcast(bases), ["file_path", "file_block_start"])
+            .join(bases, ["file_path", "file_block_start"])
             .select(
                 *ORDER_KEY,
                 # the page's "<page>" precedes the record
