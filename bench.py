@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from scriptorium.operators import reports  # noqa: E402
-from scriptorium.operators.articles import extract_articles  # noqa: E402
+from scriptorium.operators.articles import read_articles  # noqa: E402
 from scriptorium.operators.categories import category_stats, category_usage  # noqa: E402
 from scriptorium.operators.isbn import extract_isbns  # noqa: E402
 from scriptorium.operators.search import search_kwic  # noqa: E402
@@ -58,7 +58,7 @@ def main() -> None:
     scratch = scratch_root(spark)
 
     def arts() -> DataFrame:
-        return extract_articles(read_pages(spark, dump))
+        return read_articles(spark, dump)
 
     n_articles = arts().count()
     parquet = f"{scratch}/scriptorium/bench_articles/{os.path.basename(dump)}"

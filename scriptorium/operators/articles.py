@@ -6,11 +6,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from scriptorium.sources.dump import ORDER_KEY
+from scriptorium.sources.dump import ORDER_KEY, page_records
 
 # The tags the reference looks for, byte for byte.
 TITLE_OPEN = "<title>"
@@ -55,6 +55,19 @@ def extract_title(df: DataFrame, col: str = "page") -> DataFrame:
     return _keep_found(pos, found, [c for c in df.columns if c != "title"])
 
 
+def _articles(df: DataFrame, col: str, bounded: bool) -> DataFrame:
+    pos = _positions(df, col)
+    title = F.expr(f"substring({col}, _ts + {len(TITLE_OPEN)}, _te - _ts - {len(TITLE_OPEN)})")
+    text = F.expr(f"substring({col}, _gt + 1, _xe - _gt - 1)")
+    ok = F.col("_xe").isNotNull()
+    if bounded:
+        # on a raw record every tag must lie before the first </page>; the
+        # tags cannot straddle it, so checking the last one is enough
+        ok = ok & (F.col("_xe") < F.col("_end"))
+    found = F.when(ok, F.struct(title.alias("title"), text.alias("text")))
+    return _keep_found(pos, found, [c for c in ORDER_KEY if c in df.columns])
+
+
 def extract_articles(pages: DataFrame) -> DataFrame:
     """P1 + F1: (title, raw wikitext) of the first revision of each page.
 
@@ -62,11 +75,17 @@ def extract_articles(pages: DataFrame) -> DataFrame:
     first ``<text ...>...</text>`` are dropped; empty titles and empty texts
     are kept. Columns: ``title, text`` and the order key.
     """
-    pos = _positions(pages, "page")
-    title = F.expr(f"substring(page, _ts + {len(TITLE_OPEN)}, _te - _ts - {len(TITLE_OPEN)})")
-    text = F.expr("substring(page, _gt + 1, _xe - _gt - 1)")
-    found = F.when(F.col("_xe").isNotNull(), F.struct(title.alias("title"), text.alias("text")))
-    return _keep_found(pos, found, [c for c in ORDER_KEY if c in pages.columns])
+    return _articles(pages, "page", bounded=False)
+
+
+def read_articles(spark: SparkSession, path: str | list[str], *, recursive: bool = True,
+                  skip_leading_fragment: bool = False) -> DataFrame:
+    """S1 + P1 + F1 in one pass: ``extract_articles(read_pages(...))`` without
+    materialising the page string (the tags are located in the raw record and
+    checked against its first ``</page>``). Same rows, fewer passes over the
+    text."""
+    recs = page_records(spark, path, recursive=recursive, skip_leading_fragment=skip_leading_fragment)
+    return _articles(recs, "value", bounded=True)
 
 
 def scan_counters(pages: DataFrame,

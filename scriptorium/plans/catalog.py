@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.operators import reports
-from scriptorium.operators.articles import extract_articles, extract_title, per_article, scan_counters
+from scriptorium.operators.articles import extract_articles, extract_title, per_article, read_articles, scan_counters
 from scriptorium.operators.categories import category_counts, category_stats, category_usage
 from scriptorium.operators.isbn import extract_isbns, isbn_count, isbn_lines
 from scriptorium.operators.search import search_kwic, search_lines
@@ -34,7 +34,7 @@ FILTER_TITLE_PATTERN = "^Doc 40 Berlin$"
 
 
 def articles(spark: SparkSession, sf_dir: str, grouped_titles: bool = False) -> DataFrame:
-    return extract_articles(read_pages(spark, fixture_dump(spark, sf_dir, grouped_titles)))
+    return read_articles(spark, fixture_dump(spark, sf_dir, grouped_titles))
 
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     dump = fixture_dump(spark, sf_dir, grouped_titles=True)
     path = f"{scratch_root(spark)}/scriptorium/isbn_lines/{hashlib.sha1(dump.encode()).hexdigest()[:16]}"
     if not _exists(spark, path + "/_SUCCESS"):
-        write_isbn_lines(extract_isbns(extract_articles(read_pages(spark, dump)), "extended"), path)
+        write_isbn_lines(extract_isbns(read_articles(spark, dump), "extended"), path)
     return read_isbn_lines(spark, path)
 
 
@@ -56,7 +56,8 @@ def q_page_index(spark, sf_dir):
 
 
 def q_article_extract(spark, sf_dir):
-    return articles(spark, sf_dir).select("title", "text")
+    # the page-level operator (P1 on S1 pages); other queries use read_articles
+    return extract_articles(read_pages(spark, fixture_dump(spark, sf_dir))).select("title", "text")
 
 
 def q_html_title(spark, sf_dir):

@@ -69,26 +69,39 @@ def _leading_fragments(records: DataFrame) -> DataFrame:
             .agg(F.min("seq").alias("seq")))
 
 
-def read_pages(spark: SparkSession, path: str | list[str], *, recursive: bool = True,
-               skip_leading_fragment: bool = False) -> DataFrame:
-    """The pages of a dump, in parallel.
-
-    Columns: ``page`` (from ``<page>`` to ``</page>`` inclusive) and the order
-    key ``file_path, file_block_start, seq``.
-    """
+def page_records(spark: SparkSession, path: str | list[str], *, recursive: bool = True,
+                 skip_leading_fragment: bool = False) -> DataFrame:
+    """Records with ``_end``: the 1-based character position of the record's
+    first ``</page>``, null when it holds no page (the page is ``<page>`` +
+    ``value[1 .. _end + 6]``). Columns: ``value, _end`` and the order key.
+
+    No filter is applied here: a filter on ``_end`` would be pushed below
+    the projection and search the record twice. Consumers drop null ``_end``
+    behind a generate barrier."""
     recs = read_records(spark, path, recursive=recursive)
-    recs = recs.withColumn("_end", _page_end(F.col("value")))
-    pages = recs.filter(F.col("_end") > 0)
+    pages = recs.withColumn("_end", F.expr(f"nullif(instr(value, '{PAGE_CLOSE}'), 0)"))
     if skip_leading_fragment:
         firsts = _leading_fragments(recs)
         # one row per input file: broadcast when the file listing proves it small
         if len(spark.read.text(path if isinstance(path, str) else list(path)).inputFiles()) <= MAX_BROADCAST_FILES:
             firsts = F.broadcast(firsts)
         pages = pages.join(firsts, ORDER_KEY, "left_anti")
-    return pages.select(
-        F.concat(F.lit(PAGE_OPEN), F.col("value").substr(F.lit(1), F.col("_end") + 6)).alias("page"),
-        *ORDER_KEY,
-    )
+    return pages
+
+
+def read_pages(spark: SparkSession, path: str | list[str], *, recursive: bool = True,
+               skip_leading_fragment: bool = False) -> DataFrame:
+    """The pages of a dump, in parallel.
+
+    Columns: ``page`` (from ``<page>`` to ``</page>`` inclusive) and the order
+    key ``file_path, file_block_start, seq``.
+    """
+    pages = page_records(spark, path, recursive=recursive, skip_leading_fragment=skip_leading_fragment)
+    page = F.concat(F.lit(PAGE_OPEN), F.col("value").substr(F.lit(1), F.col("_end") + 6))
+    # explode_outer of a one-element array: the null filter stays above it
+    return (pages.select(*ORDER_KEY, F.explode_outer(F.array(page)).alias("page"))
+            .filter(F.col("page").isNotNull())
+            .select("page", *ORDER_KEY))
 
 
 def page_index(spark: SparkSession, path: str | list[str], *, recursive: bool = True) -> DataFrame:

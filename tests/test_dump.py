@@ -5,7 +5,7 @@ import random
 from conftest import write_files
 
 import brute
-from scriptorium.operators.articles import extract_articles, scan_counters
+from scriptorium.operators.articles import extract_articles, read_articles, scan_counters
 from scriptorium.sources.dump import page_index, read_pages
 
 T = '<text bytes="1" xml:space="preserve">'
@@ -16,7 +16,10 @@ def page(title, text):
 
 
 def articles_of(spark, folder, **kw):
-    rows = extract_articles(read_pages(spark, folder, **kw)).orderBy("file_path", "file_block_start", "seq").collect()
+    key = ["file_path", "file_block_start", "seq"]
+    rows = extract_articles(read_pages(spark, folder, **kw)).orderBy(*key).collect()
+    direct = read_articles(spark, folder, **kw).orderBy(*key).collect()
+    assert [tuple(r) for r in rows] == [tuple(r) for r in direct]  # same rows, same order key
     return [(r.title, r.text) for r in rows]
 
 
@@ -31,6 +34,7 @@ def test_edge_pages(spark, tmpdir_run):
         + "  <page><title>late</title><text a=\"1\" /></revision><revision><text>late</text></page>\n"
         + "  </page>\n"  # stray closing tag
         + "  <page><title></title><text>untitled</text></page>\n"
+        + "  <page><title>spill</title><text>x</page> <text>after the page</text>\n"
         + "  <page><title>cut off</title><text>complete text</text>\n"  # no </page>: truncated file
     )
     write_files(tmpdir_run, {"dump.xml": body})
@@ -43,7 +47,7 @@ def test_edge_pages(spark, tmpdir_run):
         ("", "untitled"),
     ]
     counters = scan_counters(read_pages(spark, tmpdir_run)).collect()[0]
-    assert (counters.pages_found, counters.articles) == (7, 5)
+    assert (counters.pages_found, counters.articles) == (8, 5)
 
 
 def test_leading_fragment_guard(spark, tmpdir_run):
