@@ -86,6 +86,24 @@ def main() -> None:
     headline = ["category_stats", "search_kwic", "isbn_basic", "isbn_extended"]
     total = round(sum(results[k] for k in headline), 3)
     rates = {f"{k}_articles_per_s": round(n_articles / results[k]) for k in headline + ["scan_extract"]}
+
+    # Marginal rate against a 10x smaller input: removes the fixed per-job
+    # cost (scheduling, planning), i.e. the rate the jobs scale at.
+    small_dir = os.environ.get("BENCH_SMALL_SF_DIR", os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.01"))
+    if os.path.isdir(small_dir) and os.path.abspath(small_dir) != os.path.abspath(sf_dir):
+        small_dump = fixture_dump(spark, small_dir)
+        n_small = read_articles(spark, small_dump).count()
+        small_jobs = {
+            "scan_extract": lambda: consume(read_articles(spark, small_dump).select(F.octet_length("text").alias("n"))),
+            "category_stats": lambda: consume(category_stats(read_articles(spark, small_dump))),
+            "search_kwic": lambda: consume(search_kwic(read_articles(spark, small_dump), SEARCH_TERM, SEARCH_CONTEXT)),
+            "isbn_basic": lambda: consume(extract_isbns(read_articles(spark, small_dump), "basic")),
+            "isbn_extended": lambda: consume(extract_isbns(read_articles(spark, small_dump), "extended")),
+        }
+        for k, fn in small_jobs.items():
+            t_small = timed(fn)
+            dt = results[k] - t_small
+            rates[f"{k}_marginal_articles_per_s"] = round((n_articles - n_small) / dt) if dt > 0 else None
     print(json.dumps({
         "metric": "dump_jobs_total_sec",
         "value": total,

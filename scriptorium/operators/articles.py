@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from scriptorium.sources.dump import ORDER_KEY, page_records
+from scriptorium.sources.dump import ORDER_KEY, PAGE_CLOSE, page_records
 
 # The tags the reference looks for, byte for byte.
 TITLE_OPEN = "<title>"
@@ -55,17 +55,57 @@ def extract_title(df: DataFrame, col: str = "page") -> DataFrame:
     return _keep_found(pos, found, [c for c in df.columns if c != "title"])
 
 
-def _articles(df: DataFrame, col: str, bounded: bool) -> DataFrame:
-    pos = _positions(df, col)
-    title = F.expr(f"substring({col}, _ts + {len(TITLE_OPEN)}, _te - _ts - {len(TITLE_OPEN)})")
-    text = F.expr(f"substring({col}, _gt + 1, _xe - _gt - 1)")
-    ok = F.col("_xe").isNotNull()
-    if bounded:
-        # on a raw record every tag must lie before the first </page>; the
-        # tags cannot straddle it, so checking the last one is enough
-        ok = ok & (F.col("_xe") < F.col("_end"))
-    found = F.when(ok, F.struct(title.alias("title"), text.alias("text")))
-    return _keep_found(pos, found, [c for c in ORDER_KEY if c in df.columns])
+# Longest ``<text ...>`` start tag the fast path looks through for its '>'.
+TEXT_TAG_WINDOW = 4096
+
+
+def _articles(df: DataFrame, col: str) -> DataFrame:
+    """Title and text of every page in ``col`` (a page string or a raw
+    record whose page ends at its first ``</page>``).
+
+    Fast path, in byte offsets: the page end and the text end are found from
+    the back (``substring_index(.., -1)``; they sit at the end of a page), the
+    title tags by short forward searches, and the slices are cut from the
+    bytes. It is only taken when it provably equals the reference rule: the
+    last ``</page>`` is also the first, the tags are in order, and the text
+    holds no ``</text>`` (so the last one is the first after the text tag).
+    Other pages (several revisions, malformed XML) take the exact rule in
+    character positions; its columns are null, and cost nothing, on rows the
+    fast path settled.
+    """
+    v = col
+    n = len
+    x = (df
+         .withColumn("_n", F.expr(f"octet_length({v})"))
+         .withColumn("_lp", F.expr(f"_n - octet_length(substring_index({v}, '{PAGE_CLOSE}', -1)) - {n(PAGE_CLOSE)}"))
+         .withColumn("_bin", F.expr(f"cast({v} AS binary)"))
+         .withColumn("_body", F.expr("if(_lp >= 0, cast(substring(_bin, 1, _lp) AS string), null)"))
+         .withColumn("_ts", F.expr(f"octet_length(substring_index(_body, '{TITLE_OPEN}', 1))"))
+         .withColumn("_te", F.expr(f"octet_length(substring_index(_body, '{TITLE_CLOSE}', 1))"))
+         .withColumn("_tt", F.expr(f"octet_length(substring_index(_body, '{TEXT_OPEN}', 1))"))
+         .withColumn("_w", F.expr(f"cast(substring(_bin, _tt + 1, {TEXT_TAG_WINDOW}) AS string)"))
+         .withColumn("_wl", F.expr("octet_length(substring_index(_w, '>', 1))"))
+         .withColumn("_gt", F.expr("_tt + _wl"))
+         .withColumn("_lx", F.expr(f"_lp - octet_length(substring_index(_body, '{TEXT_CLOSE}', -1)) - {n(TEXT_CLOSE)}"))
+         .withColumn("_ftext", F.expr("if(_gt < _lx, cast(substring(_bin, _gt + 2, _lx - _gt - 1) AS string), null)"))
+         .withColumn("_fast", F.expr(
+             f"coalesce(_lp >= 0 AND NOT contains(_body, '{PAGE_CLOSE}') AND _ts < _te AND _te < _tt "
+             f"AND _tt < _lp AND _wl < octet_length(_w) AND NOT contains(_ftext, '{TEXT_CLOSE}'), false)"))
+         # exact rule (1-based characters); locate() with a null start is 0
+         .withColumn("_xts", F.expr(f"if(_fast, null, nullif(instr({v}, '{TITLE_OPEN}'), 0))"))
+         .withColumn("_xte", F.expr(f"nullif(locate('{TITLE_CLOSE}', {v}, _xts + {n(TITLE_OPEN)}), 0)"))
+         .withColumn("_xtt", F.expr(f"nullif(locate('{TEXT_OPEN}', {v}, _xte), 0)"))
+         .withColumn("_xgt", F.expr(f"nullif(locate('>', {v}, _xtt), 0)"))
+         .withColumn("_xxe", F.expr(f"nullif(locate('{TEXT_CLOSE}', {v}, _xgt + 1), 0)"))
+         .withColumn("_xok", F.expr(f"if(_xxe IS NULL, false, coalesce(_xxe < nullif(instr({v}, '{PAGE_CLOSE}'), 0), false))")))
+    found = F.expr(
+        f"CASE WHEN _fast THEN named_struct("
+        f"'title', cast(substring(_bin, _ts + {n(TITLE_OPEN) + 1}, _te - _ts - {n(TITLE_OPEN)}) AS string), "
+        f"'text', _ftext) "
+        f"WHEN _xok THEN named_struct("
+        f"'title', substring({v}, _xts + {n(TITLE_OPEN)}, _xte - _xts - {n(TITLE_OPEN)}), "
+        f"'text', substring({v}, _xgt + 1, _xxe - _xgt - 1)) END")
+    return _keep_found(x, found, [c for c in ORDER_KEY if c in df.columns])
 
 
 def extract_articles(pages: DataFrame) -> DataFrame:
@@ -75,7 +115,7 @@ def extract_articles(pages: DataFrame) -> DataFrame:
     first ``<text ...>...</text>`` are dropped; empty titles and empty texts
     are kept. Columns: ``title, text`` and the order key.
     """
-    return _articles(pages, "page", bounded=False)
+    return _articles(pages, "page")
 
 
 def read_articles(spark: SparkSession, path: str | list[str], *, recursive: bool = True,
@@ -85,7 +125,7 @@ def read_articles(spark: SparkSession, path: str | list[str], *, recursive: bool
     checked against its first ``</page>``). Same rows, fewer passes over the
     text."""
     recs = page_records(spark, path, recursive=recursive, skip_leading_fragment=skip_leading_fragment)
-    return _articles(recs, "value", bounded=True)
+    return _articles(recs, "value")
 
 
 def scan_counters(pages: DataFrame,

@@ -53,11 +53,13 @@ def scratch_root(spark: SparkSession) -> str:
     none (local tests) a fresh folder is created and registered as the
     checkpoint folder, so that ``DataFrame.checkpoint`` works as well.
     """
-    root = spark.conf.get(_CHECKPOINT_KEY, None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    root = spark.conf.get(_CHECKPOINT_KEY, None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) for this cluster")
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(root)
-        root = spark.sparkContext.getCheckpointDir() or root
+    if not sc.getCheckpointDir():
+        # DataFrame.checkpoint needs the context to know the folder
+        sc.setCheckpointDir(root)
     return root.rstrip("/")
