@@ -48,8 +48,8 @@ def _dialect(dialect: str) -> str:
 def may_contain_isbn(text: Column, dialect: str) -> Column:
     """Cheap containment pre-filter: every marker holds one of these."""
     if _dialect(dialect) == "basic":
-        return F.instr(text, "ISBN") > 0
-    return (F.instr(text, "ISBN") > 0) | (F.instr(text, "isbn=") > 0)
+        return text.contains("ISBN")
+    return text.contains("ISBN") | text.contains("isbn=")
 
 
 def isbn_tokens(text: Column, dialect: str) -> Column:

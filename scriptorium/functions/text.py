@@ -27,7 +27,8 @@ def contains_term(text: Column, term: str) -> Column:
     (Spark's ``instr(s, '')`` is 1, so the empty case is guarded here)."""
     if term == "":
         return F.lit(False)
-    return F.instr(text, term) > 0
+    # contains() is a byte-level scan; instr() walks characters
+    return text.contains(term)
 
 
 def count_nonoverlapping(text: Column, needle: str) -> Column:
@@ -38,7 +39,7 @@ def count_nonoverlapping(text: Column, needle: str) -> Column:
         return F.lit(0).cast("long")
     n = len(needle.encode("utf-8"))
     removed = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(needle), F.lit("")))
-    return F.when(F.instr(text, needle) > 0, (removed / F.lit(n)).cast("long")).otherwise(F.lit(0).cast("long"))
+    return F.when(text.contains(needle), (removed / F.lit(n)).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
 def split_before(text: Column, term: str) -> Column:

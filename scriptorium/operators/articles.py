@@ -59,9 +59,10 @@ def extract_title(df: DataFrame, col: str = "page") -> DataFrame:
 TEXT_TAG_WINDOW = 4096
 
 
-def _articles(df: DataFrame, col: str) -> DataFrame:
-    """Title and text of every page in ``col`` (a page string or a raw
-    record whose page ends at its first ``</page>``).
+def _article_columns(df: DataFrame, col: str) -> tuple[DataFrame, F.Column]:
+    """Helper columns and the ``found`` struct (title, text; null = no
+    article) for every page in ``col`` (a page string or a raw record whose
+    page ends at its first ``</page>``). ``_lp >= 0`` marks a page.
 
     Fast path, in byte offsets: the page end and the text end are found from
     the back (``substring_index(.., -1)``; they sit at the end of a page), the
@@ -105,6 +106,11 @@ def _articles(df: DataFrame, col: str) -> DataFrame:
         f"WHEN _xok THEN named_struct("
         f"'title', substring({v}, _xts + {n(TITLE_OPEN)}, _xte - _xts - {n(TITLE_OPEN)}), "
         f"'text', substring({v}, _xgt + 1, _xxe - _xgt - 1)) END")
+    return x, found
+
+
+def _articles(df: DataFrame, col: str) -> DataFrame:
+    x, found = _article_columns(df, col)
     return _keep_found(x, found, [c for c in ORDER_KEY if c in df.columns])
 
 
@@ -131,19 +137,22 @@ def read_articles(spark: SparkSession, path: str | list[str], *, recursive: bool
 def scan_counters(pages: DataFrame,
                   per_text: Callable[[F.Column], F.Column] | None = None,
                   name: str = "isbns") -> DataFrame:
-    """S7 / A9 as one global aggregate (a single row).
+    """S7 / A9 as one global aggregate (a single row), over ``read_pages``
+    or ``page_records`` output.
 
     ``pages_found``: pages the scan located (the extended program's
     "articles" counter counts these); ``articles``: pages that yielded an
     article (the basic program's counter); optionally ``name``: the sum of
     ``per_text(text)`` over the articles, e.g. the ISBNs found.
     """
-    pos = _positions(pages, "page").withColumn("_ok", F.col("_xe").isNotNull())
-    aggs = [F.count(F.lit(1)).alias("pages_found"), F.count_if("_ok").alias("articles")]
+    col = "page" if "page" in pages.columns else "value"
+    x, found = _article_columns(pages, col)
+    x = x.withColumn("_found", found)
+    aggs = [F.count_if(F.col("_lp") >= 0).alias("pages_found"),
+            F.count_if(F.col("_found").isNotNull()).alias("articles")]
     if per_text is not None:
-        text = F.expr("substring(page, _gt + 1, _xe - _gt - 1)")
-        aggs.append(F.coalesce(F.sum(F.when(F.col("_ok"), per_text(text))), F.lit(0)).cast("long").alias(name))
-    return pos.agg(*aggs)
+        aggs.append(F.coalesce(F.sum(per_text(F.col("_found.text"))), F.lit(0)).cast("long").alias(name))
+    return x.agg(*aggs)
 
 
 def per_article(articles: DataFrame,

@@ -57,7 +57,7 @@ def category_usage(articles: DataFrame, tag: str = CATEGORY_TAG) -> DataFrame:
     the partial aggregate collapses a hot category before the exchange.
     """
     names = F.regexp_extract_all(F.col("text"), F.lit(quote_regex(tag) + "([^\\]|]*)"), F.lit(1))
-    return (articles.filter(F.instr("text", tag) > 0)
+    return (articles.filter(F.col("text").contains(tag))
             # outer + filter: keeps the extraction from being evaluated twice
             .select(F.explode_outer(names).alias("category"))
             .filter(F.col("category").isNotNull())

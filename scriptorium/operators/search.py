@@ -6,7 +6,7 @@ plus ``context`` units on each side, clipped to the article.
 
 Plan per article, all inside one narrow stage (no shuffle):
 
-1. ``instr`` containment filter, so articles without the term cost one scan;
+1. byte-level ``contains`` filter, so articles without the term cost one scan;
 2. cut the text in front of every hit (lookahead split: linear);
 3. running offsets of the pieces, in characters and in bytes (Arrow UDF on
    integer arrays; the text stays in the JVM);

@@ -21,7 +21,7 @@ from scriptorium.operators.isbn import extract_isbns, isbn_count, isbn_lines
 from scriptorium.operators.search import search_kwic, search_lines
 from scriptorium.plans.fixtures import _exists, fixture_dump
 from scriptorium.session import scratch_root
-from scriptorium.sources.dump import page_index, read_pages
+from scriptorium.sources.dump import page_index, page_records, read_pages
 from scriptorium.sources.isbn_file import read_isbn_lines, write_isbn_lines
 
 # Parameters of the registered queries.
@@ -66,8 +66,8 @@ def q_html_title(spark, sf_dir):
 
 
 def q_scan_counters(spark, sf_dir):
-    pages = read_pages(spark, fixture_dump(spark, sf_dir))
-    return scan_counters(pages, lambda t: isbn_count(t, "extended"), "isbns")
+    records = page_records(spark, fixture_dump(spark, sf_dir))
+    return scan_counters(records, lambda t: isbn_count(t, "extended"), "isbns")
 
 
 def q_category_counts(spark, sf_dir):

@@ -71,22 +71,45 @@ def _leading_fragments(records: DataFrame) -> DataFrame:
 
 def page_records(spark: SparkSession, path: str | list[str], *, recursive: bool = True,
                  skip_leading_fragment: bool = False) -> DataFrame:
-    """Records with ``_end``: the 1-based character position of the record's
-    first ``</page>``, null when it holds no page (the page is ``<page>`` +
-    ``value[1 .. _end + 6]``). Columns: ``value, _end`` and the order key.
-
-    No filter is applied here: a filter on ``_end`` would be pushed below
-    the projection and search the record twice. Consumers drop null ``_end``
-    behind a generate barrier."""
+    """Raw records (``value`` and the order key), optionally without each
+    file's leading fragment. A record holds a page iff it contains
+    ``</page>``; the page is ``<page>`` + the record up to its first
+    ``</page>``."""
     recs = read_records(spark, path, recursive=recursive)
-    pages = recs.withColumn("_end", F.expr(f"nullif(instr(value, '{PAGE_CLOSE}'), 0)"))
-    if skip_leading_fragment:
-        firsts = _leading_fragments(recs)
-        # one row per input file: broadcast when the file listing proves it small
-        if len(spark.read.text(path if isinstance(path, str) else list(path)).inputFiles()) <= MAX_BROADCAST_FILES:
-            firsts = F.broadcast(firsts)
-        pages = pages.join(firsts, ORDER_KEY, "left_anti")
-    return pages
+    if not skip_leading_fragment:
+        return recs
+    firsts = _leading_fragments(recs)
+    # one row per input file: broadcast when the file listing proves it small
+    if len(spark.read.text(path if isinstance(path, str) else list(path)).inputFiles()) <= MAX_BROADCAST_FILES:
+        firsts = F.broadcast(firsts)
+    return recs.join(firsts, ORDER_KEY, "left_anti")
+
+
+def page_of(value: Column) -> Column:
+    """The page of a record (null if it holds none).
+
+    A page ends at the record's first ``</page>``. In a dump that is the only
+    one, at the end of the record: it is found by a byte search from the back
+    and confirmed by a byte-level ``contains`` on the part before it; only
+    records with several ``</page>`` search from the front by characters.
+    """
+    n = len(PAGE_CLOSE)
+    last = F.octet_length(value) - F.octet_length(F.substring_index(value, PAGE_CLOSE, -1)) - n
+    body = F.when(last >= 0, value.cast("binary").substr(F.lit(1), last).cast("string"))
+    exact = F.when(F.instr(value, PAGE_CLOSE) > 0,
+                   value.substr(F.lit(1), F.instr(value, PAGE_CLOSE) - 1))
+    inner = F.when(~body.contains(PAGE_CLOSE), body).otherwise(exact)
+    return F.concat(F.lit(PAGE_OPEN), inner, F.lit(PAGE_CLOSE))
+
+
+def pages_of(records: DataFrame) -> DataFrame:
+    """Records -> (``page`` and the order key), records without a page
+    dropped behind a generate barrier (a plain filter would be pushed below
+    the projection and evaluate the page twice)."""
+    keep = [c for c in ORDER_KEY if c in records.columns]
+    return (records.select(*keep, F.explode_outer(F.array(page_of(F.col("value")))).alias("page"))
+            .filter(F.col("page").isNotNull())
+            .select("page", *keep))
 
 
 def read_pages(spark: SparkSession, path: str | list[str], *, recursive: bool = True,
@@ -96,12 +119,7 @@ def read_pages(spark: SparkSession, path: str | list[str], *, recursive: bool =
     Columns: ``page`` (from ``<page>`` to ``</page>`` inclusive) and the order
     key ``file_path, file_block_start, seq``.
     """
-    pages = page_records(spark, path, recursive=recursive, skip_leading_fragment=skip_leading_fragment)
-    page = F.concat(F.lit(PAGE_OPEN), F.col("value").substr(F.lit(1), F.col("_end") + 6))
-    # explode_outer of a one-element array: the null filter stays above it
-    return (pages.select(*ORDER_KEY, F.explode_outer(F.array(page)).alias("page"))
-            .filter(F.col("page").isNotNull())
-            .select("page", *ORDER_KEY))
+    return pages_of(page_records(spark, path, recursive=recursive, skip_leading_fragment=skip_leading_fragment))
 
 
 def page_index(spark: SparkSession, path: str | list[str], *, recursive: bool = True) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from scriptorium.operators.articles import extract_articles
-from scriptorium.sources.dump import PAGE_CLOSE, PAGE_OPEN
+from scriptorium.sources.dump import PAGE_OPEN, pages_of
 
 
 def stream_pages(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -29,10 +29,7 @@ def stream_pages(spark: SparkSession, folder: str, max_files_per_trigger: int |
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("file_block_start"),
     )
-    end = F.instr("value", PAGE_CLOSE)
-    return (recs.filter(end > 0)
-            .select(F.concat(F.lit(PAGE_OPEN), F.col("value").substr(F.lit(1), end + 6)).alias("page"),
-                    "file_path", "file_block_start"))
+    return pages_of(recs)
 
 
 def stream_articles(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
