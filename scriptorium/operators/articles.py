@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -134,6 +134,22 @@ def read_articles(spark: SparkSession, path: str | list[str], *, recursive: bool
     return _articles(recs, "value")
 
 
+def read_articles_observed(spark: SparkSession, path: str | list[str], *, recursive: bool = True,
+                           skip_leading_fragment: bool = False) -> tuple[DataFrame, Observation]:
+    """``read_articles`` plus S7's counters, gathered while any job runs over
+    the articles (``DataFrame.observe``: no extra pass). After the job's
+    action, ``observation.get`` holds ``pages_found`` and ``articles``.
+    Rates are these counts over the job's wall time, taken by the caller."""
+    recs = page_records(spark, path, recursive=recursive, skip_leading_fragment=skip_leading_fragment)
+    x, found = _article_columns(recs, "value")
+    obs = Observation("scan_counters")
+    x = x.withColumn("_found", found).observe(
+        obs,
+        F.count_if(F.col("_lp") >= 0).alias("pages_found"),
+        F.count_if(F.col("_found").isNotNull()).alias("articles"))
+    return _keep_found(x, F.col("_found"), [c for c in ORDER_KEY if c in recs.columns]), obs
+
+
 def scan_counters(pages: DataFrame,
                   per_text: Callable[[F.Column], F.Column] | None = None,
                   name: str = "isbns") -> DataFrame:

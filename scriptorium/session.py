@@ -26,6 +26,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # per-article Python batches carry whole texts: bound rows per batch
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
         # small inputs: cut files into ~3 tasks per core (at scale the split
         # size is spark.sql.files.maxPartitionBytes and these do not bind)
         .config("spark.sql.files.openCostInBytes", str(512 * 1024))

@@ -90,3 +90,41 @@ def test_split_size_does_not_change_results(spark, tmpdir_run):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_multistream_bz2_matches_plain(spark, tmpdir_run):
+    import bz2
+    import os
+
+    rng = random.Random(5)
+    data = _random_dump(rng, 400)
+    # multistream layout: independent bz2 streams, concatenated
+    cuts = [0] + sorted(rng.sample(range(1, len(data)), 6)) + [len(data)]
+    packed = b"".join(bz2.compress(data[a:b], 1) for a, b in zip(cuts, cuts[1:]))
+    plain_dir, bz_dir = os.path.join(tmpdir_run, "plain"), os.path.join(tmpdir_run, "bz")
+    os.makedirs(plain_dir)
+    os.makedirs(bz_dir)
+    write_files(plain_dir, {"d.xml": data})
+    write_files(bz_dir, {"d.xml.bz2": packed})
+    expected = [brute.extract(p) for _, p in brute.split_pages(data)]
+    expected = [(t.decode(), x.decode()) for t, x in (a for a in expected if a)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for split in ("128MB", "2048"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            assert articles_of(spark, plain_dir) == expected, split
+            assert articles_of(spark, bz_dir) == expected, split
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_observed_counters(spark, tmpdir_run):
+    from scriptorium.operators.articles import read_articles_observed
+    from scriptorium.operators.isbn import extract_isbns
+
+    body = page("A", "ISBN 978-3-16-148410-0") + page("B", "x") + "  <page><title>C</title></page>\n"
+    write_files(tmpdir_run, {"d.xml": body})
+    arts, obs = read_articles_observed(spark, tmpdir_run)
+    n_isbns = extract_isbns(arts, "basic").count()
+    assert n_isbns == 1
+    assert obs.get == {"pages_found": 3, "articles": 2}
