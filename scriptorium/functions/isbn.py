@@ -19,19 +19,31 @@ from pyspark.sql import functions as F
 # "ISBN": skip [ :=]*, take the run of [0-9Xx -], trim trailing spaces and
 # hyphens. After "{{BibISBN|": everything up to the next | or }. The scan
 # resumes at the end of the token (non-overlapping).
-BASIC_TOKEN = r"(?=[{I])(?:\{\{BibISBN\|[^|}]*|ISBN[ :=]*+(?:[0-9Xx \-]*[0-9Xx])?)"
-BASIC_MARKER = r"^(?:\{\{BibISBN\||ISBN[ :=]*)"
-
+#
 # extended: markers "ISBN ", "ISBN:", "ISBN-10:", "ISBN-13:", "ISBN-10 ",
 # "ISBN-13 ", "{{ISBN|", "{{BibISBN|", "ISBN=", "isbn=", "ISBN&nbsp;".
 # After any marker skip [ :=]*. Templates end at the next | or }; the others
 # take the trimmed [0-9Xx -] run. Every marker occurrence is a start (the
-# scan moves one byte), so tokens may overlap: a zero-width lookahead
-# captures each one.
+# scan moves one byte), so tokens may overlap.
 #
-# Both patterns open with a one-character class test (every marker starts
-# with "{", "I" or "i"), so the matcher rejects almost every position after
-# a single comparison (2.5x faster for the lookahead pattern).
+# Patterns. Every marker but "isbn=" contains the literal "ISBN", and no
+# marker can start inside another one's first five characters, so matching
+# at the "ISBN" (templates: checked by a lookbehind for "{{" or "{{Bib")
+# visits the markers in the same order as matching at their first
+# character. A pattern that opens with a literal lets Java's matcher skip
+# ahead (Boyer-Moore) instead of trying every position, which is 2.5-3x
+# faster. Texts holding "isbn=" use the full extended pattern.
+BASIC_TOKEN = r"ISBN(?:(?<=\{\{BibISBN)\|[^|}]*|[ :=]*+(?:[0-9Xx \-]*[0-9Xx])?)"
+BASIC_MARKER = r"^ISBN(?:\||[ :=]*)"
+
+# extended, texts without "isbn=": consume "ISBN", capture the rest in a
+# lookahead (markers cannot start inside "ISBN", so overlaps survive)
+EXTENDED_ISBN_TOKEN = (r"ISBN(?=((?<=\{\{ISBN|\{\{BibISBN)\|[ :=]*+[^|}]*"
+                       r"|(?:-1[03][: ]|&nbsp;|[ :=])[ :=]*+(?:[0-9Xx \-]*[0-9Xx])?))")
+EXTENDED_ISBN_MARKER = r"^(?:\||-1[03][: ]|&nbsp;|[ :=])[ :=]*"
+
+# extended, all markers: zero-width lookahead at every marker start, opened
+# by a one-character class test
 EXTENDED_TOKEN = (r"(?=[{Ii])(?=(\{\{(?:Bib)?ISBN\|[ :=]*+[^|}]*"
                   r"|(?:ISBN-1[03][: ]|ISBN&nbsp;|ISBN[ :=]|isbn=)[ :=]*+(?:[0-9Xx \-]*[0-9Xx])?))")
 EXTENDED_MARKER = r"^(?:\{\{(?:Bib)?ISBN\||ISBN-1[03][: ]|ISBN&nbsp;|ISBN[ :=]|isbn=)[ :=]*"
@@ -52,16 +64,18 @@ def may_contain_isbn(text: Column, dialect: str) -> Column:
     return text.contains("ISBN") | text.contains("isbn=")
 
 
+def _tokens(text: Column, pattern: str, group: int, marker: str) -> Column:
+    raw = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    return F.transform(raw, lambda m: F.regexp_replace(m, F.lit(marker), F.lit("")))
+
+
 def isbn_tokens(text: Column, dialect: str) -> Column:
     """All candidate ISBN values of a text, markers and separators removed,
     in text order (before the format check)."""
     if _dialect(dialect) == "basic":
-        raw = F.regexp_extract_all(text, F.lit(BASIC_TOKEN), F.lit(0))
-        marker = BASIC_MARKER
-    else:
-        raw = F.regexp_extract_all(text, F.lit(EXTENDED_TOKEN), F.lit(1))
-        marker = EXTENDED_MARKER
-    return F.transform(raw, lambda m: F.regexp_replace(m, F.lit(marker), F.lit("")))
+        return _tokens(text, BASIC_TOKEN, 0, BASIC_MARKER)
+    return (F.when(text.contains("isbn="), _tokens(text, EXTENDED_TOKEN, 1, EXTENDED_MARKER))
+            .otherwise(_tokens(text, EXTENDED_ISBN_TOKEN, 1, EXTENDED_ISBN_MARKER)))
 
 
 def isbn_digits(isbn: Column) -> Column:

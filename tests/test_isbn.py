@@ -81,3 +81,20 @@ def test_bad_dialect(spark):
     df = spark.createDataFrame([("t", "x", "f", 0, 0)], "title string, text string, file_path string, file_block_start long, seq long")
     with pytest.raises(ValueError):
         extract_isbns(df, "fancy")
+
+
+def test_isbn_anchored_path_against_brute_force(spark):
+    # texts without "isbn=" take the ISBN-anchored patterns; stress template
+    # prefixes and markers packed next to each other
+    rng = random.Random(23)
+    frags = ["ISBN", "ISBN ", "ISBN:", "ISBN=", "ISBN-10:", "ISBN-13 ", "ISBN-10 ", "ISBN-13:", "{{ISBN|",
+             "{{BibISBN|", "{{Bib", "{{", "{", "Bib", "&nbsp;", " ", "-", "X", "x", ":", "=", "|", "}",
+             "0", "7", "978", "3-16-148410-0", "9783161484100", "0-8044-2957-X", "ü"]
+    texts = ["".join(rng.choice(frags) for _ in range(rng.randint(1, 30))) for _ in range(1000)]
+    assert not any("isbn=" in t for t in texts)
+    basic = _run(spark, texts, "basic")
+    ext = _run(spark, texts, "extended")
+    for i, t in enumerate(texts):
+        tb = t.encode("utf-8")
+        assert [r.isbn.encode() for r in basic[i]] == brute.basic_isbns(tb), t
+        assert [(r.isbn.encode(), r.checksum_valid) for r in ext[i]] == brute.extended_isbns(tb), t
