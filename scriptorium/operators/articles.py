@@ -25,12 +25,13 @@ def _positions(df: DataFrame, col: str) -> DataFrame:
     the first '>' after that, and the first </text> after the '>'. Each step
     reads the previous one once, so a missing tag nulls the rest and the
     expressions stay linear even when Catalyst inlines them."""
-    return (df
-            .withColumn("_ts", F.expr(f"nullif(instr({col}, '{TITLE_OPEN}'), 0)"))
-            .withColumn("_te", F.expr(f"nullif(locate('{TITLE_CLOSE}', {col}, _ts + {len(TITLE_OPEN)}), 0)"))
-            .withColumn("_tt", F.expr(f"nullif(locate('{TEXT_OPEN}', {col}, _te), 0)"))
-            .withColumn("_gt", F.expr(f"nullif(locate('>', {col}, _tt), 0)"))
-            .withColumn("_xe", F.expr(f"nullif(locate('{TEXT_CLOSE}', {col}, _gt + 1), 0)")))
+    return df.selectExpr(
+        "*",
+        f"nullif(instr({col}, '{TITLE_OPEN}'), 0) AS _ts",
+        f"nullif(locate('{TITLE_CLOSE}', {col}, _ts + {len(TITLE_OPEN)}), 0) AS _te",
+        f"nullif(locate('{TEXT_OPEN}', {col}, _te), 0) AS _tt",
+        f"nullif(locate('>', {col}, _tt), 0) AS _gt",
+        f"nullif(locate('{TEXT_CLOSE}', {col}, _gt + 1), 0) AS _xe")
 
 
 def _keep_found(df: DataFrame, found: F.Column, keep: list[str]) -> DataFrame:
@@ -48,8 +49,10 @@ def _keep_found(df: DataFrame, found: F.Column, keep: list[str]) -> DataFrame:
 def extract_title(df: DataFrame, col: str = "page") -> DataFrame:
     """The title rule alone (first <title> to the first </title> after it);
     rows without a complete title are dropped. Adds column ``title``."""
-    pos = (df.withColumn("_ts", F.expr(f"nullif(instr({col}, '{TITLE_OPEN}'), 0)"))
-             .withColumn("_te", F.expr(f"nullif(locate('{TITLE_CLOSE}', {col}, _ts + {len(TITLE_OPEN)}), 0)")))
+    pos = df.selectExpr(
+        "*",
+        f"nullif(instr({col}, '{TITLE_OPEN}'), 0) AS _ts",
+        f"nullif(locate('{TITLE_CLOSE}', {col}, _ts + {len(TITLE_OPEN)}), 0) AS _te")
     title = F.expr(f"substring({col}, _ts + {len(TITLE_OPEN)}, _te - _ts - {len(TITLE_OPEN)})")
     found = F.when(F.col("_te").isNotNull(), F.struct(title.alias("title")))
     return _keep_found(pos, found, [c for c in df.columns if c != "title"])
@@ -76,29 +79,33 @@ def _article_columns(df: DataFrame, col: str) -> tuple[DataFrame, F.Column]:
     """
     v = col
     n = len
-    x = (df
-         .withColumn("_n", F.expr(f"octet_length({v})"))
-         .withColumn("_lp", F.expr(f"_n - octet_length(substring_index({v}, '{PAGE_CLOSE}', -1)) - {n(PAGE_CLOSE)}"))
-         .withColumn("_bin", F.expr(f"cast({v} AS binary)"))
-         .withColumn("_body", F.expr("if(_lp >= 0, cast(substring(_bin, 1, _lp) AS string), null)"))
-         .withColumn("_ts", F.expr(f"octet_length(substring_index(_body, '{TITLE_OPEN}', 1))"))
-         .withColumn("_te", F.expr(f"octet_length(substring_index(_body, '{TITLE_CLOSE}', 1))"))
-         .withColumn("_tt", F.expr(f"octet_length(substring_index(_body, '{TEXT_OPEN}', 1))"))
-         .withColumn("_w", F.expr(f"cast(substring(_bin, _tt + 1, {TEXT_TAG_WINDOW}) AS string)"))
-         .withColumn("_wl", F.expr("octet_length(substring_index(_w, '>', 1))"))
-         .withColumn("_gt", F.expr("_tt + _wl"))
-         .withColumn("_lx", F.expr(f"_lp - octet_length(substring_index(_body, '{TEXT_CLOSE}', -1)) - {n(TEXT_CLOSE)}"))
-         .withColumn("_ftext", F.expr("if(_gt < _lx, cast(substring(_bin, _gt + 2, _lx - _gt - 1) AS string), null)"))
-         .withColumn("_fast", F.expr(
-             f"coalesce(_lp >= 0 AND NOT contains(_body, '{PAGE_CLOSE}') AND _ts < _te AND _te < _tt "
-             f"AND _tt < _lp AND _wl < octet_length(_w) AND NOT contains(_ftext, '{TEXT_CLOSE}'), false)"))
-         # exact rule (1-based characters); locate() with a null start is 0
-         .withColumn("_xts", F.expr(f"if(_fast, null, nullif(instr({v}, '{TITLE_OPEN}'), 0))"))
-         .withColumn("_xte", F.expr(f"nullif(locate('{TITLE_CLOSE}', {v}, _xts + {n(TITLE_OPEN)}), 0)"))
-         .withColumn("_xtt", F.expr(f"nullif(locate('{TEXT_OPEN}', {v}, _xte), 0)"))
-         .withColumn("_xgt", F.expr(f"nullif(locate('>', {v}, _xtt), 0)"))
-         .withColumn("_xxe", F.expr(f"nullif(locate('{TEXT_CLOSE}', {v}, _xgt + 1), 0)"))
-         .withColumn("_xok", F.expr(f"if(_xxe IS NULL, false, coalesce(_xxe < nullif(instr({v}, '{PAGE_CLOSE}'), 0), false))")))
+    # One projection list with lateral column aliases (each expression may
+    # name the ones before it): analysed once, where a withColumn chain would
+    # re-analyse the plan per column.
+    cols = [
+        ("_n", f"octet_length({v})"),
+        ("_lp", f"_n - octet_length(substring_index({v}, '{PAGE_CLOSE}', -1)) - {n(PAGE_CLOSE)}"),
+        ("_bin", f"cast({v} AS binary)"),
+        ("_body", "if(_lp >= 0, cast(substring(_bin, 1, _lp) AS string), null)"),
+        ("_ts", f"octet_length(substring_index(_body, '{TITLE_OPEN}', 1))"),
+        ("_te", f"octet_length(substring_index(_body, '{TITLE_CLOSE}', 1))"),
+        ("_tt", f"octet_length(substring_index(_body, '{TEXT_OPEN}', 1))"),
+        ("_w", f"cast(substring(_bin, _tt + 1, {TEXT_TAG_WINDOW}) AS string)"),
+        ("_wl", "octet_length(substring_index(_w, '>', 1))"),
+        ("_gt", "_tt + _wl"),
+        ("_lx", f"_lp - octet_length(substring_index(_body, '{TEXT_CLOSE}', -1)) - {n(TEXT_CLOSE)}"),
+        ("_ftext", "if(_gt < _lx, cast(substring(_bin, _gt + 2, _lx - _gt - 1) AS string), null)"),
+        ("_fast", f"coalesce(_lp >= 0 AND NOT contains(_body, '{PAGE_CLOSE}') AND _ts < _te AND _te < _tt "
+                  f"AND _tt < _lp AND _wl < octet_length(_w) AND NOT contains(_ftext, '{TEXT_CLOSE}'), false)"),
+        # exact rule (1-based characters); locate() with a null start is 0
+        ("_xts", f"if(_fast, null, nullif(instr({v}, '{TITLE_OPEN}'), 0))"),
+        ("_xte", f"nullif(locate('{TITLE_CLOSE}', {v}, _xts + {n(TITLE_OPEN)}), 0)"),
+        ("_xtt", f"nullif(locate('{TEXT_OPEN}', {v}, _xte), 0)"),
+        ("_xgt", f"nullif(locate('>', {v}, _xtt), 0)"),
+        ("_xxe", f"nullif(locate('{TEXT_CLOSE}', {v}, _xgt + 1), 0)"),
+        ("_xok", f"if(_xxe IS NULL, false, coalesce(_xxe < nullif(instr({v}, '{PAGE_CLOSE}'), 0), false))"),
+    ]
+    x = df.selectExpr("*", *[f"{e} AS {k}" for k, e in cols])
     found = F.expr(
         f"CASE WHEN _fast THEN named_struct("
         f"'title', cast(substring(_bin, _ts + {n(TITLE_OPEN) + 1}, _te - _ts - {n(TITLE_OPEN)}) AS string), "
