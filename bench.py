@@ -29,7 +29,8 @@ from scriptorium.operators.search import search_kwic  # noqa: E402
 from scriptorium.plans.catalog import report_lines  # noqa: E402
 from scriptorium.plans.fixtures import fixture_dump  # noqa: E402
 from scriptorium.session import build_session, scratch_root  # noqa: E402
-from scriptorium.sources.dump import page_index, read_pages  # noqa: E402
+from scriptorium.sources.articles_table import read_articles_table, write_articles  # noqa: E402
+from scriptorium.sources.dump import page_index  # noqa: E402
 
 SEARCH_TERM = "erer"
 SEARCH_CONTEXT = 100
@@ -62,16 +63,13 @@ def main() -> None:
 
     n_articles = arts().count()
     parquet = f"{scratch}/scriptorium/bench_articles/{os.path.basename(dump)}"
-    arts().select("title", "text").write.mode("overwrite").parquet(parquet)
+    write_articles(arts(), parquet)
     report_lines(spark, sf_dir)  # writes the ISBN line file once
 
     jobs = {
         "scan_extract": lambda: consume(arts().select(F.octet_length("text").alias("n"))),
         "category_stats": lambda: consume(category_stats(arts())),
-        "category_stats_parquet": lambda: consume(category_stats(
-            spark.read.parquet(parquet).select("title", "text", F.lit("").alias("file_path"),
-                                               F.lit(0).cast("long").alias("file_block_start"),
-                                               F.monotonically_increasing_id().alias("seq")))),
+        "category_stats_parquet": lambda: consume(category_stats(read_articles_table(spark, parquet))),
         "category_usage": lambda: consume(category_usage(arts())),
         "search_kwic": lambda: consume(search_kwic(arts(), SEARCH_TERM, SEARCH_CONTEXT)),
         "search_kwic_bytes": lambda: consume(search_kwic(arts(), SEARCH_TERM, SEARCH_CONTEXT, unit="bytes")),

@@ -37,3 +37,14 @@ def test_stats_without_categories(spark):
 def test_custom_tag_non_overlapping(spark):
     r = category_counts(_df(spark, [("x", "aaaa", "a", 0, 0)]), tag="aa").collect()[0]
     assert r.n == 2
+
+
+def test_stats_from_materialised_table(spark, tmpdir_run):
+    from scriptorium.sources.articles_table import read_articles_table, write_articles
+
+    rows = [("b", "[[Kategorie:A]][[Kategorie:B]]", "f2", 0, 1), ("a", "[[Kategorie:A]][[Kategorie:B]]", "f1", 0, 7),
+            ("c", "none", "f1", 0, 3)]
+    path = write_articles(_df(spark, rows), f"{tmpdir_run}/articles")
+    direct = category_stats(_df(spark, rows)).collect()
+    table = category_stats(read_articles_table(spark, path)).collect()
+    assert direct == table and table[0].max_cat_article == "a"
