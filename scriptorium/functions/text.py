@@ -42,6 +42,20 @@ def count_nonoverlapping(text: Column, needle: str) -> Column:
     return F.when(text.contains(needle), (removed / F.lit(n)).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
+def self_overlaps(term: str) -> bool:
+    """True when two occurrences of ``term`` can overlap, i.e. some proper
+    prefix is also a suffix ("erer": "er")."""
+    return any(term[:k] == term[-k:] for k in range(1, len(term)))
+
+
+def split_at(text: Column, term: str) -> Column:
+    """``text`` cut at every occurrence of ``term`` (consumed), trailing empty
+    pieces kept: k hits give k + 1 pieces. A literal pattern lets Java's
+    matcher skip ahead (Boyer-Moore). Finds every hit only when the term
+    cannot overlap itself."""
+    return F.split(text, quote_regex(term), -1)
+
+
 def split_before(text: Column, term: str) -> Column:
     """Pieces of ``text`` cut in front of every occurrence of ``term``,
     overlapping ones included (zero-width lookahead). Every piece after the

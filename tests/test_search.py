@@ -59,3 +59,17 @@ def test_against_brute_force(spark):
 def test_lines(spark):
     hits = search_kwic(_df(spark, ["xx erer yy"]), "erer", 2)
     assert [r.value for r in search_lines(hits).collect()] == ["Article: t0\n...x erer y...\n"]
+
+
+def test_self_overlap_rule():
+    from scriptorium.functions.text import self_overlaps
+    assert self_overlaps("erer") and self_overlaps("aa") and self_overlaps("abcab")
+    assert not self_overlaps("e") and not self_overlaps("Deutschland") and not self_overlaps("ab")
+
+
+def test_term_at_both_ends_and_regex_chars(spark):
+    texts = ["Deutschland und Deutschland", "a.b(a.b)a.b", "x\\Ey\\Ex"]
+    got = _hits(spark, texts, "Deutschland", 2)
+    assert got[0] == [(1, 1, "Deutschland u"), (2, 17, "d Deutschland")]
+    assert [h[1] for h in _hits(spark, texts, "a.b", 0)[1]] == [1, 5, 9]
+    assert [h[1] for h in _hits(spark, texts, "\\E", 0)[2]] == [2, 5]
