@@ -48,3 +48,20 @@ def test_filters(spark, tmpdir_run):
     assert (summ.isbns, summ.articles) == (3, 2)
     none = reports.isbn_filter_summary(reports.isbn_filter(lines, "nomatch")).collect()[0]
     assert (none.isbns, none.articles) == (0, 0)
+
+
+def test_empty_file(spark, tmpdir_run):
+    write_files(tmpdir_run, {"isbns.txt": ""})
+    lines = read_isbn_lines(spark, tmpdir_run)
+    s = reports.isbn_stats(lines).collect()[0]
+    assert (s.total, s.articles, s.avg_per_article) == (0, 0, None)
+    d = reports.isbn_format_distribution(lines).collect()[0]
+    assert (d.isbn13, d.other, d.isbn13_pct, d.other_pct) == (0, 0, None, None)
+    assert reports.isbn_top_articles(lines, 5).count() == 0
+    assert reports.isbn_sample(lines).count() == 0
+
+
+def test_line_without_separator_is_all_title(spark, tmpdir_run):
+    write_files(tmpdir_run, {"isbns.txt": "no separator here\nT|123\n"})
+    rows = read_isbn_lines(spark, tmpdir_run).orderBy("seq").collect()
+    assert [(r.title, r.isbn, r.flag) for r in rows] == [("no separator here", None, None), ("T", "123", None)]
