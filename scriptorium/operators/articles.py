@@ -19,21 +19,6 @@ TEXT_OPEN = "<text"
 TEXT_CLOSE = "</text>"
 
 
-def _positions(df: DataFrame, col: str) -> DataFrame:
-    """Tag positions (1-based characters, null = not found) in reference
-    order: first <title>, first </title> after it, first <text after that,
-    the first '>' after that, and the first </text> after the '>'. Each step
-    reads the previous one once, so a missing tag nulls the rest and the
-    expressions stay linear even when Catalyst inlines them."""
-    return df.selectExpr(
-        "*",
-        f"nullif(instr({col}, '{TITLE_OPEN}'), 0) AS _ts",
-        f"nullif(locate('{TITLE_CLOSE}', {col}, _ts + {len(TITLE_OPEN)}), 0) AS _te",
-        f"nullif(locate('{TEXT_OPEN}', {col}, _te), 0) AS _tt",
-        f"nullif(locate('>', {col}, _tt), 0) AS _gt",
-        f"nullif(locate('{TEXT_CLOSE}', {col}, _gt + 1), 0) AS _xe")
-
-
 def _keep_found(df: DataFrame, found: F.Column, keep: list[str]) -> DataFrame:
     """Rows where ``found`` (a struct, null = drop) is set, unpacked.
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.text import (contains_term, exclusive_prefix_sums, self_overlaps, split_at,
                                         split_before)
+from scriptorium.session import scratch_root
 from scriptorium.sources.dump import ORDER_KEY
 
 HIT_SCHEMA = "title string, match_no int, match_pos int, context string"
@@ -134,8 +135,11 @@ def search_lines(hits: DataFrame) -> DataFrame:
 
 def write_search_lines(hits: DataFrame, path: str) -> None:
     """Write S4 lines in article order (file order, then hit order). The
-    sort is a range shuffle of the hit rows only, never of article text."""
-    (search_lines(hits)
+    sort is a range shuffle of the hit rows only, never of article text; the
+    lines are checkpointed first, since the sort's sampling job would
+    otherwise parse the dump a second time."""
+    scratch_root(hits.sparkSession)  # makes sure a checkpoint folder is set
+    (search_lines(hits).checkpoint(eager=True)
      .orderBy(*ORDER_KEY, "match_no")
      .select("value")
      .write.mode("overwrite").text(path))

@@ -15,9 +15,13 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app: str = "scriptorium", extra: dict | None = None) -> SparkSession:
     """Session for local runs. On a cluster, pass the cluster's own master and
     size ``shuffle_partitions`` to the data (AQE coalesces small ones)."""
+    builder = SparkSession.builder.appName(app)
+    # under spark-submit (which starts Python with a gateway port) the
+    # launcher's master stands; otherwise default to local mode
+    if master or "PYSPARK_GATEWAY_PORT" not in os.environ:
+        builder = builder.master(master or os.environ.get("SCRIPTORIUM_MASTER", "local[*]"))
     builder = (
-        SparkSession.builder.appName(app)
-        .master(master or os.environ.get("SCRIPTORIUM_MASTER", "local[*]"))
+        builder
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))

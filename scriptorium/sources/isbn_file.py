@@ -8,13 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.operators.isbn import isbn_lines
+from scriptorium.session import scratch_root
 from scriptorium.sources.dump import ORDER_KEY
 
 
 def write_isbn_lines(isbns: DataFrame, path: str) -> str:
     """Write ISBN rows as line files in dump order (range-partitioned sort of
-    the small ISBN rows: part files follow each other in page order)."""
-    (isbn_lines(isbns)
+    the small ISBN rows: part files follow each other in page order).
+
+    The lines are checkpointed first: a sort samples its input in a job of
+    its own, which would otherwise scan and parse the dump a second time.
+    """
+    scratch_root(isbns.sparkSession)  # makes sure a checkpoint folder is set
+    (isbn_lines(isbns).checkpoint(eager=True)
      .orderBy(*ORDER_KEY, "hit_no")
      .select("value")
      .write.mode("overwrite").text(path))
