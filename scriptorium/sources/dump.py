@@ -122,20 +122,55 @@ def read_pages(spark: SparkSession, path: str | list[str], *, recursive: bool =
     return pages_of(page_records(spark, path, recursive=recursive, skip_leading_fragment=skip_leading_fragment))
 
 
+# Above this many splits the per-split offset table is joined by shuffle
+# instead of broadcast (a row is one path and two numbers).
+MAX_BROADCAST_SPLITS = 1_000_000
+
+_LOCAL_SCHEMA = "file_path string, file_block_start long, seq long, length long, local_off long"
+
+
+def _running_offsets(batches):
+    """Per partition (sorted by split and seq): exclusive running sum of the
+    record sizes within each split, carried across Arrow batches."""
+    import numpy as np
+    import pandas as pd
+
+    last_key, carry = None, 0
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        key = pd.MultiIndex.from_arrays([pdf["file_path"], pdf["file_block_start"]])
+        w = pdf["w"].to_numpy(dtype=np.int64)
+        start = np.ones(len(pdf), dtype=bool)
+        start[1:] = key[1:] != key[:-1]
+        group = np.cumsum(start) - 1
+        csum = np.cumsum(w)
+        base = np.concatenate(([0], csum))[np.flatnonzero(start)][group]
+        off = csum - w - base
+        if last_key is not None and key[0] == last_key:
+            off[group == 0] += carry
+        last_key, carry = key[-1], int(off[-1] + w[-1])
+        yield pd.DataFrame({"file_path": pdf["file_path"], "file_block_start": pdf["file_block_start"],
+                            "seq": pdf["seq"], "length": pdf["length"], "local_off": off})
+
+
 def page_index(spark: SparkSession, path: str | list[str], *, recursive: bool = True) -> DataFrame:
     """Byte offset and byte length of every page, per file.
 
     Columns: ``file_path, file_block_start, seq, start_pos, length``.
-
-    Offsets are a two-level prefix sum over record byte lengths: within a
-    split (a window over rows clustered by split), then over the splits of a
-    file (one row per split). The per-record sizes (four numbers, never the
-    text) are checkpointed once to the shared checkpoint folder, so the dump
-    is scanned once although both levels read them. ``start_pos`` is 0-based
-    like a file offset.
+    ``start_pos`` is 0-based like a file offset.
+
+    Offsets are a two-level prefix sum over record byte lengths. The
+    per-record sizes (four numbers, never the text) are checkpointed once to
+    the shared checkpoint folder. Within a split the running sum is a narrow
+    pass: a split is read by one task, so its rows sit in one partition, and
+    a local sort plus a vectorised running sum per partition needs no
+    shuffle. Across splits, one row per split goes through a small
+    aggregate and a window per file; that table is materialised, counted,
+    and broadcast only when the count proves it small.
     """
     recs = read_records(spark, path, recursive=recursive)
-    end = _page_end(F.col("value"))
+    end = F.instr(F.col("value"), PAGE_CLOSE)
     sizes = recs.select(
         "file_path", "file_block_start", "seq",
         # a record is followed by its "<page>" delimiter (6 bytes)
@@ -145,19 +180,16 @@ def page_index(spark: SparkSession, path: str | list[str], *, recursive: bool =
     )
     scratch_root(spark)  # makes sure a checkpoint folder is set
     sizes = sizes.checkpoint(eager=True)
-    in_split = Window.partitionBy("file_path", "file_block_start").orderBy("seq")
-    local = sizes.withColumn(
-        "local_off",
-        F.coalesce(F.sum("w").over(in_split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    splits = sizes.groupBy("file_path", "file_block_start").agg(F.sum("w").alias("split_total"))
     in_file = Window.partitionBy("file_path").orderBy("file_block_start")
-    bases = splits.select(
-        "file_path", "file_block_start",
-        F.coalesce(F.sum("split_total").over(in_file.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("split_base"),
-    )
-    # The per-record side is already hash-partitioned by split for the
-    # window, so a plain equi-join only moves the per-split table.
+    bases = (sizes.groupBy("file_path", "file_block_start").agg(F.sum("w").alias("split_total"))
+             .select("file_path", "file_block_start",
+                     F.coalesce(F.sum("split_total").over(in_file.rowsBetween(Window.unboundedPreceding, -1)),
+                                F.lit(0)).alias("split_base"))
+             .checkpoint(eager=True))
+    if bases.count() <= MAX_BROADCAST_SPLITS:
+        bases = F.broadcast(bases)
+    local = (sizes.sortWithinPartitions("file_path", "file_block_start", "seq")
+             .mapInPandas(_running_offsets, _LOCAL_SCHEMA))
     return (local.filter(F.col("length").isNotNull())
             .join(bases, ["file_path", "file_block_start"])
             .select(

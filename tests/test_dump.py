@@ -128,3 +128,16 @@ def test_observed_counters(spark, tmpdir_run):
     n_isbns = extract_isbns(arts, "basic").count()
     assert n_isbns == 1
     assert obs.get == {"pages_found": 3, "articles": 2}
+
+
+def test_running_offsets_carry_across_batches():
+    import pandas as pd
+
+    from scriptorium.sources.dump import _running_offsets
+
+    rows = [("a", 0, 1, 10), ("a", 0, 2, 20), ("a", 0, 3, 30), ("a", 64, 9, 5), ("b", 0, 4, 7), ("b", 0, 5, 8)]
+    df = pd.DataFrame(rows, columns=["file_path", "file_block_start", "seq", "w"]).assign(length=1)
+    for cut in range(0, len(rows) + 1):
+        batches = [df.iloc[:cut], df.iloc[cut:]]
+        out = pd.concat(list(_running_offsets(iter(batches))))
+        assert out["local_off"].tolist() == [0, 10, 30, 0, 0, 7], cut
