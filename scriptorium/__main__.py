@@ -47,12 +47,7 @@ def _search(spark, a) -> None:
     out = a.out or "search-" + re.sub(r"[^\w.-]", "_", a.term) + ".txt"
     t0 = time.time()
     arts, obs = read_articles_observed(spark, a.dump)
-    hits = search_kwic(arts, a.term, a.context, unit="bytes" if a.bytes else "chars")
-    if a.bytes:
-        hits.select("title", "match_no", "match_pos", "context", "file_path", "file_block_start", "seq") \
-            .write.mode("overwrite").parquet(out)
-    else:
-        write_search_lines(hits, out)
+    write_search_lines(search_kwic(arts, a.term, a.context, unit="bytes" if a.bytes else "chars"), out)
     _rate(f"search results in {out}", obs, time.time() - t0)
 
 
@@ -108,7 +103,7 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("term")
     s.add_argument("context", type=int)
     s.add_argument("--out")
-    s.add_argument("--bytes", action="store_true", help="context in bytes, as BINARY (Parquet output)")
+    s.add_argument("--bytes", action="store_true", help="context in bytes, as the reference (may cut a character)")
     e = sub.add_parser("extract-isbns")
     e.add_argument("dump")
     e.add_argument("--out", default="isbns.txt")

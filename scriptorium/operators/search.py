@@ -127,10 +127,15 @@ def search_kwic(articles: DataFrame, term: str, context: int = 100, unit: str =
 
 def search_lines(hits: DataFrame) -> DataFrame:
     """The reference's text format, one value per hit:
-    ``Article: <title>\\n...<context>...\\n`` (the writer's newline adds the
-    blank line). Needs character-mode hits."""
-    return hits.select(F.format_string("Article: %s\n...%s...\n", "title", "context").alias("value"),
-                       *ORDER_KEY, "match_no")
+    ``Article: <title>\n...<context>...\n`` (the writer's newline adds the
+    blank line). Byte-mode contexts are carried over byte for byte (``concat``
+    and the text writer do not decode), so a cut character is written as the
+    reference writes it."""
+    ctx = F.col("context")
+    if dict(hits.dtypes)["context"] == "binary":
+        ctx = ctx.cast("string")
+    value = F.concat(F.lit("Article: "), F.col("title"), F.lit("\n..."), ctx, F.lit("...\n"))
+    return hits.select(value.alias("value"), *ORDER_KEY, "match_no")
 
 
 def write_search_lines(hits: DataFrame, path: str) -> None:

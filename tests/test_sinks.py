@@ -63,3 +63,12 @@ def test_summary_text(spark, tmpdir_run):
                     "Total categories: 3\n"
                     "Average categories per article: 1.50\n"
                     "Maximum categories: 2 in article \"Gamma\"\n")
+
+
+def test_search_file_bytes_keeps_cut_characters(spark, tmpdir_run):
+    os.makedirs(os.path.join(tmpdir_run, "dump"))
+    write_files(os.path.join(tmpdir_run, "dump"), {"d.xml": f"<page><title>Ü</title>{T}aüüb</text></page>\n"})
+    out = os.path.join(tmpdir_run, "s")
+    write_search_lines(search_kwic(read_articles(spark, os.path.join(tmpdir_run, "dump")), "üb", 1, unit="bytes"), out)
+    data = b"".join(open(p, "rb").read() for p in sorted(glob.glob(out + "/part-*")))
+    assert data == "Article: Ü\n...".encode() + bytes.fromhex("BCC3BC62") + b"...\n\n"
