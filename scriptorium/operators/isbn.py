@@ -40,7 +40,13 @@ def extract_isbns(articles: DataFrame, dialect: str = "basic") -> DataFrame:
              # pushed below the projection (which would run the regex twice)
              .select("title", *ORDER_KEY, F.posexplode_outer("_isbns").alias("_i", "isbn"))
              .filter(F.col("isbn").isNotNull()))
-    verdict = checksum_valid(F.col("isbn")) if dialect == "extended" else F.lit(None).cast("boolean")
+    if dialect == "extended":
+        # digit strings once per value, then the unrolled checksum sums
+        found = found.selectExpr("*", r"regexp_replace(isbn, '[^0-9]', '') AS _dg",
+                                 r"regexp_replace(substring(isbn, 1, greatest(length(isbn) - 1, 0)), '[^0-9]', '') AS _dgl")
+        verdict = checksum_valid(F.col("isbn"), F.col("_dg"), F.col("_dgl"))
+    else:
+        verdict = F.lit(None).cast("boolean")
     return found.select(
         "title",
         (F.col("_i") + 1).cast("int").alias("hit_no"),

@@ -111,13 +111,14 @@ def q_isbn_lines(spark, sf_dir):
 def q_isbn_checksum(spark, sf_dir):
     """The checksum verdict (X7-X9) on every value of the extended
     extraction, with the recomputed check value (10 stands for X)."""
-    from scriptorium.functions.isbn import checksum_valid, isbn10_check, isbn13_check, isbn_digits
-    found = extract_isbns(articles(spark, sf_dir), "extended")
-    isbn = F.col("isbn")
+    from scriptorium.functions.isbn import checksum_valid, head_digits, isbn10_check, isbn13_check, isbn_digits
+    found = extract_isbns(articles(spark, sf_dir), "extended").select(
+        "title", "isbn", isbn_digits(F.col("isbn")).alias("dg"), head_digits(F.col("isbn")).alias("dgl"))
+    isbn, dg, dgl = F.col("isbn"), F.col("dg"), F.col("dgl")
     return found.select(
         "title", "isbn",
-        checksum_valid(isbn).alias("checksum_valid"),
-        F.when(F.length(isbn_digits(isbn)) == 13, isbn13_check(isbn)).otherwise(isbn10_check(isbn))
+        checksum_valid(isbn, dg, dgl).alias("checksum_valid"),
+        F.when(F.length(dg) == 13, isbn13_check(isbn, dgl)).otherwise(isbn10_check(isbn, dg))
         .cast("int").alias("check_value"),
     )
 
