@@ -47,15 +47,15 @@ def _search(spark, a) -> None:
     out = a.out or "search-" + re.sub(r"[^\w.-]", "_", a.term) + ".txt"
     t0 = time.time()
     arts, obs = read_articles_observed(spark, a.dump)
-    write_search_lines(search_kwic(arts, a.term, a.context, unit="bytes" if a.bytes else "chars"), out)
-    _rate(f"search results in {out}", obs, time.time() - t0)
+    n = write_search_lines(search_kwic(arts, a.term, a.context, unit="bytes" if a.bytes else "chars"), out)
+    _rate(f"{n} hits in {out}", obs, time.time() - t0)
 
 
 def _extract(spark, a) -> None:
     t0 = time.time()
     arts, obs = read_articles_observed(spark, a.dump)
-    write_isbn_lines(extract_isbns(arts, a.dialect), a.out)
-    _rate(f"ISBN lines in {a.out}", obs, time.time() - t0)
+    n = write_isbn_lines(extract_isbns(arts, a.dialect), a.out)
+    _rate(f"{n} ISBNs in {a.out}", obs, time.time() - t0)
 
 
 def _stats(spark, a) -> None:

@@ -138,13 +138,12 @@ def search_lines(hits: DataFrame) -> DataFrame:
     return hits.select(value.alias("value"), *ORDER_KEY, "match_no")
 
 
-def write_search_lines(hits: DataFrame, path: str) -> None:
+def write_search_lines(hits: DataFrame, path: str) -> int:
     """Write S4 lines in article order (file order, then hit order). The
     sort is a range shuffle of the hit rows only, never of article text; the
     lines are checkpointed first, since the sort's sampling job would
-    otherwise parse the dump a second time."""
+    otherwise parse the dump a second time. Returns the number of hits."""
     scratch_root(hits.sparkSession)  # makes sure a checkpoint folder is set
-    (search_lines(hits).checkpoint(eager=True)
-     .orderBy(*ORDER_KEY, "match_no")
-     .select("value")
-     .write.mode("overwrite").text(path))
+    lines = search_lines(hits).checkpoint(eager=True)
+    lines.orderBy(*ORDER_KEY, "match_no").select("value").write.mode("overwrite").text(path)
+    return lines.count()

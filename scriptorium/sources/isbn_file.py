@@ -12,19 +12,18 @@ from scriptorium.session import scratch_root
 from scriptorium.sources.dump import ORDER_KEY
 
 
-def write_isbn_lines(isbns: DataFrame, path: str) -> str:
+def write_isbn_lines(isbns: DataFrame, path: str) -> int:
     """Write ISBN rows as line files in dump order (range-partitioned sort of
     the small ISBN rows: part files follow each other in page order).
 
     The lines are checkpointed first: a sort samples its input in a job of
     its own, which would otherwise scan and parse the dump a second time.
+    Returns the number of lines written (A9, counted on the checkpoint).
     """
     scratch_root(isbns.sparkSession)  # makes sure a checkpoint folder is set
-    (isbn_lines(isbns).checkpoint(eager=True)
-     .orderBy(*ORDER_KEY, "hit_no")
-     .select("value")
-     .write.mode("overwrite").text(path))
-    return path
+    lines = isbn_lines(isbns).checkpoint(eager=True)
+    lines.orderBy(*ORDER_KEY, "hit_no").select("value").write.mode("overwrite").text(path)
+    return lines.count()
 
 
 def read_isbn_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:

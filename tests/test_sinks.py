@@ -32,14 +32,16 @@ def _read_text(folder):
 def test_isbn_file_round_trip(spark, tmpdir_run):
     os.makedirs(os.path.join(tmpdir_run, "dump"))
     dump = _dump(os.path.join(tmpdir_run, "dump"))
-    out = write_isbn_lines(extract_isbns(read_articles(spark, dump), "extended"), os.path.join(tmpdir_run, "isbns"))
+    out = os.path.join(tmpdir_run, "isbns")
+    assert write_isbn_lines(extract_isbns(read_articles(spark, dump), "extended"), out) == 3
     assert _read_text(out) == ("Alpha|3161484100|CHECKSUM_WRONG\n"
                                "Alpha|978-3-16-148410-0\n"
                                "Beta|0-8044-2957-X\n")
     back = read_isbn_lines(spark, out).orderBy("file_path", "file_block_start", "seq").collect()
     assert [(r.title, r.isbn, r.flag) for r in back] == [
         ("Alpha", "3161484100", "CHECKSUM_WRONG"), ("Alpha", "978-3-16-148410-0", None), ("Beta", "0-8044-2957-X", None)]
-    basic = write_isbn_lines(extract_isbns(read_articles(spark, dump), "basic"), os.path.join(tmpdir_run, "basic"))
+    basic = os.path.join(tmpdir_run, "basic")
+    write_isbn_lines(extract_isbns(read_articles(spark, dump), "basic"), basic)
     assert _read_text(basic) == "Alpha|3161484100\nAlpha|978-3-16-148410-0\n"
 
 
