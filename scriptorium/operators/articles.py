@@ -19,16 +19,16 @@ TEXT_OPEN = "<text"
 TEXT_CLOSE = "</text>"
 
 
-def _keep_found(df: DataFrame, found: F.Column, keep: list[str]) -> DataFrame:
-    """Rows where ``found`` (a struct, null = drop) is set, unpacked.
+def _keep_found(df: DataFrame, found: F.Column, keep: list[str], marker: str) -> DataFrame:
+    """Rows where ``found`` (a struct, null = drop) is set, its fields as
+    columns; ``marker`` names a field that is never null in a set struct.
 
-    The struct goes through ``explode_outer`` of a one-element array: a
-    filter on generator output stays above the Generate, so the positions are
+    The struct goes through ``inline_outer`` of a one-element array: a filter
+    on generator output stays above the Generate, so the positions are
     computed once per row instead of being inlined into a pushed-down filter.
     """
-    return (df.select(*keep, F.explode_outer(F.array(found)).alias("_a"))
-              .filter(F.col("_a").isNotNull())
-              .select("_a.*", *keep))
+    return (df.select(F.inline_outer(F.array(found)), *keep)
+              .filter(F.col(marker).isNotNull()))
 
 
 def extract_title(df: DataFrame, col: str = "page") -> DataFrame:
@@ -40,7 +40,7 @@ def extract_title(df: DataFrame, col: str = "page") -> DataFrame:
         f"nullif(locate('{TITLE_CLOSE}', {col}, _ts + {len(TITLE_OPEN)}), 0) AS _te")
     title = F.expr(f"substring({col}, _ts + {len(TITLE_OPEN)}, _te - _ts - {len(TITLE_OPEN)})")
     found = F.when(F.col("_te").isNotNull(), F.struct(title.alias("title")))
-    return _keep_found(pos, found, [c for c in df.columns if c != "title"])
+    return _keep_found(pos, found, [c for c in df.columns if c != "title"], "title")
 
 
 # Longest ``<text ...>`` start tag the fast path looks through for its '>'.
@@ -103,7 +103,7 @@ def _article_columns(df: DataFrame, col: str) -> tuple[DataFrame, F.Column]:
 
 def _articles(df: DataFrame, col: str) -> DataFrame:
     x, found = _article_columns(df, col)
-    return _keep_found(x, found, [c for c in ORDER_KEY if c in df.columns])
+    return _keep_found(x, found, [c for c in ORDER_KEY if c in df.columns], "text")
 
 
 def extract_articles(pages: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def read_articles_observed(spark: SparkSession, path: str | list[str], *, recurs
         obs,
         F.count_if(F.col("_lp") >= 0).alias("pages_found"),
         F.count_if(F.col("_found").isNotNull()).alias("articles"))
-    return _keep_found(x, F.col("_found"), [c for c in ORDER_KEY if c in recs.columns]), obs
+    return _keep_found(x, F.col("_found"), [c for c in ORDER_KEY if c in recs.columns], "text"), obs
 
 
 def scan_counters(pages: DataFrame,
