@@ -88,8 +88,10 @@ def q_search_kwic(spark, sf_dir):
 
 
 def q_search_kwic_bytes(spark, sf_dir):
+    """Byte-unit search; the BINARY context is shown as hex so that it
+    compares as text."""
     hits = search_kwic(articles(spark, sf_dir), SEARCH_TERM, SEARCH_CONTEXT, unit="bytes")
-    return hits.select("title", "match_no", "match_pos", "context")
+    return hits.select("title", "match_no", "match_pos", F.hex("context").alias("context_hex"))
 
 
 def q_search_lines(spark, sf_dir):

@@ -89,7 +89,7 @@ def _sql() -> dict[str, str]:
         "search_kwic": _hits(term, n) + " SELECT title, match_no, match_pos, context FROM hits",
         "search_kwic_bytes": (
             _hits(term, n) + f" SELECT title, match_no, CAST(bpos AS INTEGER) AS match_pos, "
-            f"encode(text)[greatest(1, bpos - {n}) : least(strlen(text), bpos + {kb - 1} + {n})] AS context FROM hits"),
+            f"hex(encode(text)[greatest(1, bpos - {n}) : least(strlen(text), bpos + {kb - 1} + {n})]) AS context_hex FROM hits"),
         "search_lines": (
             _hits(term, n) + " SELECT concat('Article: ', title, chr(10), '...', context, '...', chr(10)) AS value FROM hits"),
         "isbn_extract_basic": (
