@@ -166,8 +166,8 @@ def page_index(spark: SparkSession, path: str | list[str], *, recursive: bool =
     pass: a split is read by one task, so its rows sit in one partition, and
     a local sort plus a vectorised running sum per partition needs no
     shuffle. Across splits, one row per split goes through a small
-    aggregate and a window per file; that table is materialised, counted,
-    and broadcast only when the count proves it small.
+    aggregate and a window per file; that table is counted and broadcast
+    only when the count proves it small.
     """
     recs = read_records(spark, path, recursive=recursive)
     end = F.instr(F.col("value"), PAGE_CLOSE)
@@ -184,8 +184,8 @@ def page_index(spark: SparkSession, path: str | list[str], *, recursive: bool =
     bases = (sizes.groupBy("file_path", "file_block_start").agg(F.sum("w").alias("split_total"))
              .select("file_path", "file_block_start",
                      F.coalesce(F.sum("split_total").over(in_file.rowsBetween(Window.unboundedPreceding, -1)),
-                                F.lit(0)).alias("split_base"))
-             .checkpoint(eager=True))
+                                F.lit(0)).alias("split_base")))
+    # counting reads only the checkpointed sizes (one small aggregate)
     if bases.count() <= MAX_BROADCAST_SPLITS:
         bases = F.broadcast(bases)
     local = (sizes.sortWithinPartitions("file_path", "file_block_start", "seq")
