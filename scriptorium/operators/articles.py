@@ -44,7 +44,7 @@ def extract_title(df: DataFrame, col: str = "page") -> DataFrame:
 
 
 # Longest ``<text ...>`` start tag the fast path looks through for its '>'.
-TEXT_TAG_WINDOW = 4096
+TEXT_TAG_WINDOW = 512
 
 
 def _article_columns(df: DataFrame, col: str) -> tuple[DataFrame, F.Column]:
@@ -69,19 +69,26 @@ def _article_columns(df: DataFrame, col: str) -> tuple[DataFrame, F.Column]:
     # re-analyse the plan per column.
     cols = [
         ("_n", f"octet_length({v})"),
+        # last </page> and last </text> (backward byte search), first <title>,
+        # </title>, <text (forward byte search), all as 0-based byte offsets
         ("_lp", f"_n - octet_length(substring_index({v}, '{PAGE_CLOSE}', -1)) - {n(PAGE_CLOSE)}"),
+        ("_lx", f"_n - octet_length(substring_index({v}, '{TEXT_CLOSE}', -1)) - {n(TEXT_CLOSE)}"),
+        ("_ts", f"octet_length(substring_index({v}, '{TITLE_OPEN}', 1))"),
+        ("_te", f"octet_length(substring_index({v}, '{TITLE_CLOSE}', 1))"),
+        ("_tt", f"octet_length(substring_index({v}, '{TEXT_OPEN}', 1))"),
         ("_bin", f"cast({v} AS binary)"),
-        ("_body", "if(_lp >= 0, cast(substring(_bin, 1, _lp) AS string), null)"),
-        ("_ts", f"octet_length(substring_index(_body, '{TITLE_OPEN}', 1))"),
-        ("_te", f"octet_length(substring_index(_body, '{TITLE_CLOSE}', 1))"),
-        ("_tt", f"octet_length(substring_index(_body, '{TEXT_OPEN}', 1))"),
         ("_w", f"cast(substring(_bin, _tt + 1, {TEXT_TAG_WINDOW}) AS string)"),
         ("_wl", "octet_length(substring_index(_w, '>', 1))"),
         ("_gt", "_tt + _wl"),
-        ("_lx", f"_lp - octet_length(substring_index(_body, '{TEXT_CLOSE}', -1)) - {n(TEXT_CLOSE)}"),
         ("_ftext", "if(_gt < _lx, cast(substring(_bin, _gt + 2, _lx - _gt - 1) AS string), null)"),
-        ("_fast", f"coalesce(_lp >= 0 AND NOT contains(_body, '{PAGE_CLOSE}') AND _ts < _te AND _te < _tt "
-                  f"AND _tt < _lp AND _wl < octet_length(_w) AND NOT contains(_ftext, '{TEXT_CLOSE}'), false)"),
+        # the fast path equals the reference rule when the tags are in order
+        # inside the page and no </page> precedes the last one (checked on the
+        # head, the text and the tail) and the text holds no </text>
+        ("_fast", f"coalesce(_lp >= 0 AND _ts < _te AND _te < _tt AND _tt < _lp AND _wl < octet_length(_w) "
+                  f"AND _lx + {n(TEXT_CLOSE)} <= _lp "
+                  f"AND NOT contains(_ftext, '{TEXT_CLOSE}') AND NOT contains(_ftext, '{PAGE_CLOSE}') "
+                  f"AND NOT contains(cast(substring(_bin, 1, _gt + 1) AS string), '{PAGE_CLOSE}') "
+                  f"AND NOT contains(cast(substring(_bin, _lx + 1, _lp - _lx) AS string), '{PAGE_CLOSE}'), false)"),
         # exact rule (1-based characters); locate() with a null start is 0
         ("_xts", f"if(_fast, null, nullif(instr({v}, '{TITLE_OPEN}'), 0))"),
         ("_xte", f"nullif(locate('{TITLE_CLOSE}', {v}, _xts + {n(TITLE_OPEN)}), 0)"),
