@@ -56,11 +56,6 @@ def read_records(spark: SparkSession, path: str | list[str], *,
     )
 
 
-def _page_end(value: Column) -> Column:
-    """1-based character position of the first ``</page>``, 0 if none."""
-    return F.instr(value, PAGE_CLOSE)
-
-
 def _leading_fragments(records: DataFrame) -> DataFrame:
     """Order keys of each file's first record (the content before its first
     ``<page>``). One row per input file: a bounded, broadcastable table."""
@@ -80,7 +75,7 @@ def page_records(spark: SparkSession, path: str | list[str], *, recursive: bool
         return recs
     firsts = _leading_fragments(recs)
     # one row per input file: broadcast when the file listing proves it small
-    if len(spark.read.text(path if isinstance(path, str) else list(path)).inputFiles()) <= MAX_BROADCAST_FILES:
+    if len(recs.inputFiles()) <= MAX_BROADCAST_FILES:
         firsts = F.broadcast(firsts)
     return recs.join(firsts, ORDER_KEY, "left_anti")
 
@@ -170,13 +165,11 @@ def page_index(spark: SparkSession, path: str | list[str], *, recursive: bool =
     only when the count proves it small.
     """
     recs = read_records(spark, path, recursive=recursive)
-    end = F.instr(F.col("value"), PAGE_CLOSE)
     sizes = recs.select(
         "file_path", "file_block_start", "seq",
         # a record is followed by its "<page>" delimiter (6 bytes)
         (F.octet_length("value") + len(PAGE_OPEN)).cast("long").alias("w"),
-        F.when(end > 0, F.octet_length(F.col("value").substr(F.lit(1), end + 6)) + len(PAGE_OPEN))
-        .cast("long").alias("length"),
+        F.octet_length(page_of(F.col("value"))).cast("long").alias("length"),
     )
     scratch_root(spark)  # makes sure a checkpoint folder is set
     sizes = sizes.checkpoint(eager=True)
