@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import count_nonoverlapping, quote_regex
-from scriptorium.sources.dump import ORDER_KEY
+from scriptorium.sources.dump import order_cols
 
 # Fixed value: the German category link tag the reference counts.
 CATEGORY_TAG = "[[Kategorie:"
@@ -16,7 +16,7 @@ CATEGORY_TAG = "[[Kategorie:"
 def category_counts(articles: DataFrame, tag: str = CATEGORY_TAG) -> DataFrame:
     """Number of category links per article (non-overlapping, case
     sensitive). Columns: ``title, n`` and the order key."""
-    return articles.select("title", count_nonoverlapping(F.col("text"), tag).alias("n"), *ORDER_KEY)
+    return articles.select("title", count_nonoverlapping(F.col("text"), tag).alias("n"), *order_cols(articles))
 
 
 def category_stats(articles: DataFrame, tag: str = CATEGORY_TAG) -> DataFrame:
@@ -29,6 +29,8 @@ def category_stats(articles: DataFrame, tag: str = CATEGORY_TAG) -> DataFrame:
     task.
     """
     counted = category_counts(articles, tag)
+    # file order decides ties; without an order key, the smallest title
+    tie_break = [F.col(c) for c in order_cols(articles)] or [F.col("title")]
     n = F.col("n")
     agg = counted.agg(
         F.count(F.lit(1)).alias("total_articles"),
@@ -36,7 +38,7 @@ def category_stats(articles: DataFrame, tag: str = CATEGORY_TAG) -> DataFrame:
         F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("total_categories"),
         F.coalesce(F.max(n), F.lit(0)).cast("long").alias("max_categories"),
         # min over (-n, file order) among articles with a link
-        F.min_by("title", F.when(n > 0, F.struct((-n).alias("neg_n"), *[F.col(c) for c in ORDER_KEY])))
+        F.min_by("title", F.when(n > 0, F.struct((-n).alias("neg_n"), *tie_break)))
         .alias("_max_title"),
     )
     total, with_cats, links = F.col("total_articles"), F.col("articles_with_cats"), F.col("total_categories")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.isbn import checksum_valid, format_ok, isbn_tokens, may_contain_isbn
-from scriptorium.sources.dump import ORDER_KEY
+from scriptorium.sources.dump import order_cols
 
 # Fixed value: the flag the extended dialect appends to a wrong checksum.
 CHECKSUM_WRONG = "CHECKSUM_WRONG"
@@ -33,12 +33,13 @@ def extract_isbns(articles: DataFrame, dialect: str = "basic") -> DataFrame:
     """One row per ISBN found: ``title, hit_no, isbn, checksum_valid`` and the
     order key. ``checksum_valid`` is null in the basic dialect."""
     text = F.col("text")
+    key = order_cols(articles)
     found = (articles
              .filter(may_contain_isbn(text, dialect))
-             .select("title", *ORDER_KEY, isbn_candidates(text, dialect).alias("_isbns"))
+             .select("title", *key, isbn_candidates(text, dialect).alias("_isbns"))
              # outer + filter keeps the inferred size() > 0 filter from being
              # pushed below the projection (which would run the regex twice)
-             .select("title", *ORDER_KEY, F.posexplode_outer("_isbns").alias("_i", "isbn"))
+             .select("title", *key, F.posexplode_outer("_isbns").alias("_i", "isbn"))
              .filter(F.col("isbn").isNotNull()))
     if dialect == "extended":
         # digit strings once per value, then the unrolled checksum sums
@@ -52,7 +53,7 @@ def extract_isbns(articles: DataFrame, dialect: str = "basic") -> DataFrame:
         (F.col("_i") + 1).cast("int").alias("hit_no"),
         "isbn",
         verdict.alias("checksum_valid"),
-        *ORDER_KEY,
+        *key,
     )
 
 
@@ -64,4 +65,4 @@ def isbn_lines(isbns: DataFrame) -> DataFrame:
     """
     isbn = F.regexp_replace("isbn", r"[\r\n]", " ")
     flag = F.when(F.col("checksum_valid") == F.lit(False), F.lit(CHECKSUM_WRONG))
-    return isbns.select(F.concat_ws("|", "title", isbn, flag).alias("value"), *ORDER_KEY, "hit_no")
+    return isbns.select(F.concat_ws("|", "title", isbn, flag).alias("value"), *order_cols(isbns), "hit_no")

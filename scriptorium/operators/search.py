@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions.text import (contains_term, exclusive_prefix_sums, self_overlaps, split_at,
                                         split_before)
 from scriptorium.session import scratch_root
-from scriptorium.sources.dump import ORDER_KEY
+from scriptorium.sources.dump import order_cols
 
 HIT_SCHEMA = "title string, match_no int, match_pos int, context string"
 
@@ -80,7 +80,7 @@ def search_kwic(articles: DataFrame, term: str, context: int = 100, unit: str =
         # an empty term is never found
         return articles.filter(F.lit(False)).select(
             "title", F.lit(0).alias("match_no"), F.lit(0).alias("match_pos"),
-            F.lit(None).cast("binary" if unit == "bytes" else "string").alias("context"), *ORDER_KEY)
+            F.lit(None).cast("binary" if unit == "bytes" else "string").alias("context"), *order_cols(articles))
 
     text = F.col("text")
     n = F.lit(context)
@@ -107,21 +107,22 @@ def search_kwic(articles: DataFrame, term: str, context: int = 100, unit: str =
             ctx = F.concat(F.right(before, n), F.left(after, F.lit(kc) + n))
             return F.struct(h["c"].alias("pos"), ctx.alias("ctx"))
 
+    key = order_cols(articles)
     hits = (articles
             .filter(contains_term(text, term))
-            .select("title", *ORDER_KEY, text.cast("binary").alias("_bin"),
+            .select("title", *key, text.cast("binary").alias("_bin"),
                     _hit_offsets(text, term, unit == "chars").alias("_hits"))
-            .select("title", *ORDER_KEY, F.transform("_hits", cut).alias("_hits")))
+            .select("title", *key, F.transform("_hits", cut).alias("_hits")))
     # posexplode_outer + filter: the plain explode would get an inferred
     # size(_hits) > 0 filter pushed below this projection, evaluating the
     # offsets (and their UDF) twice
-    return hits.select("title", *ORDER_KEY, F.posexplode_outer("_hits").alias("_i", "_h")).filter(
+    return hits.select("title", *key, F.posexplode_outer("_hits").alias("_i", "_h")).filter(
         F.col("_h").isNotNull()).select(
         "title",
         (F.col("_i") + 1).cast("int").alias("match_no"),
         (F.col("_h.pos") + 1).cast("int").alias("match_pos"),
         F.col("_h.ctx").alias("context"),
-        *ORDER_KEY,
+        *key,
     )
 
 
@@ -135,7 +136,7 @@ def search_lines(hits: DataFrame) -> DataFrame:
     if dict(hits.dtypes)["context"] == "binary":
         ctx = ctx.cast("string")
     value = F.concat(F.lit("Article: "), F.col("title"), F.lit("\n..."), ctx, F.lit("...\n"))
-    return hits.select(value.alias("value"), *ORDER_KEY, "match_no")
+    return hits.select(value.alias("value"), *order_cols(hits), "match_no")
 
 
 def write_search_lines(hits: DataFrame, path: str) -> int:
@@ -145,5 +146,5 @@ def write_search_lines(hits: DataFrame, path: str) -> int:
     otherwise parse the dump a second time. Returns the number of hits."""
     scratch_root(hits.sparkSession)  # makes sure a checkpoint folder is set
     lines = search_lines(hits).checkpoint(eager=True)
-    lines.orderBy(*ORDER_KEY, "match_no").select("value").write.mode("overwrite").text(path)
+    lines.orderBy(*(order_cols(lines) or ["title"]), "match_no").select("value").write.mode("overwrite").text(path)
     return lines.count()

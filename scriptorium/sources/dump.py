@@ -32,6 +32,12 @@ PAGE_CLOSE = "</page>"
 
 ORDER_KEY = ["file_path", "file_block_start", "seq"]
 
+
+def order_cols(df: DataFrame) -> list[str]:
+    """The order-key columns ``df`` carries (all of them for data read by
+    this library; none for a plain title/text table)."""
+    return [c for c in ORDER_KEY if c in df.columns]
+
 # Above this many input files the per-file table of the leading-fragment
 # guard is joined by shuffle instead of broadcast (a row is ~200 bytes).
 MAX_BROADCAST_FILES = 50_000

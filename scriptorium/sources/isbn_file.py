@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators.isbn import isbn_lines
 from scriptorium.session import scratch_root
-from scriptorium.sources.dump import ORDER_KEY
+from scriptorium.sources.dump import order_cols
 
 
 def write_isbn_lines(isbns: DataFrame, path: str) -> int:
@@ -22,7 +22,7 @@ def write_isbn_lines(isbns: DataFrame, path: str) -> int:
     """
     scratch_root(isbns.sparkSession)  # makes sure a checkpoint folder is set
     lines = isbn_lines(isbns).checkpoint(eager=True)
-    lines.orderBy(*ORDER_KEY, "hit_no").select("value").write.mode("overwrite").text(path)
+    lines.orderBy(*(order_cols(lines) or ["value"]), "hit_no").select("value").write.mode("overwrite").text(path)
     return lines.count()
 
 

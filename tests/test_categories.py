@@ -48,3 +48,14 @@ def test_stats_from_materialised_table(spark, tmpdir_run):
     direct = category_stats(_df(spark, rows)).collect()
     table = category_stats(read_articles_table(spark, path)).collect()
     assert direct == table and table[0].max_cat_article == "a"
+
+
+def test_plain_title_text_table(spark):
+    from scriptorium.operators.isbn import extract_isbns
+    from scriptorium.operators.search import search_kwic
+
+    df = spark.createDataFrame([("b", "[[Kategorie:A]] ISBN 3-16-148410-0"), ("a", "[[Kategorie:B]]")], "title string, text string")
+    r = category_stats(df).collect()[0]
+    assert (r.total_articles, r.max_categories, r.max_cat_article) == (2, 1, "a")
+    assert [x.isbn for x in extract_isbns(df, "basic").collect()] == ["3-16-148410-0"]
+    assert search_kwic(df, "Kategorie", 1).count() == 2
