@@ -42,25 +42,33 @@ def count_nonoverlapping(text: Column, needle: str) -> Column:
     return F.when(text.contains(needle), (removed / F.lit(n)).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
-def self_overlaps(term: str) -> bool:
-    """True when two occurrences of ``term`` can overlap, i.e. some proper
-    prefix is also a suffix ("erer": "er")."""
-    return any(term[:k] == term[-k:] for k in range(1, len(term)))
-
+def smallest_period(term: str) -> int:
+    """Smallest p > 0 with term[i] == term[i + p] for every i: two
+    occurrences of ``term`` can start no closer than p characters apart
+    ("erer": 2, "Deutschland": 11)."""
+    n = len(term)
+    return next(p for p in range(1, n + 1) if term[p:] == term[:n - p])
 
-def split_at(text: Column, term: str) -> Column:
-    """``text`` cut at every occurrence of ``term`` (consumed), trailing empty
-    pieces kept: k hits give k + 1 pieces. A literal pattern lets Java's
-    matcher skip ahead (Boyer-Moore). Finds every hit only when the term
-    cannot overlap itself."""
-    return F.split(text, quote_regex(term), -1)
 
-
-def split_before(text: Column, term: str) -> Column:
-    """Pieces of ``text`` cut in front of every occurrence of ``term``,
-    overlapping ones included (zero-width lookahead). Every piece after the
-    first starts at a hit; the first starts at one iff the text does."""
-    return F.split(text, "(?=" + quote_regex(term) + ")", -1)
+def self_overlaps(term: str) -> bool:
+    """True when two occurrences of ``term`` can overlap ("erer")."""
+    return smallest_period(term) < len(term)
+
+
+def split_at_hits(text: Column, term: str) -> Column:
+    """``text`` cut at every occurrence of ``term``, overlapping ones
+    included; k hits give k + 1 pieces, and hit i starts after pieces
+    0..i-1 and i-1 copies of the consumed prefix ``term[:p]``.
+
+    The pattern consumes the first p characters (p = smallest period) and
+    checks the rest by lookahead: no occurrence can start inside the
+    consumed part, so none is lost, and a pattern that opens with a literal
+    lets Java's matcher skip ahead instead of trying a lookahead at every
+    position."""
+    p = smallest_period(term)
+    rest = term[p:]
+    pattern = quote_regex(term[:p]) + (f"(?={quote_regex(rest)})" if rest else "")
+    return F.split(text, pattern, -1)
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))

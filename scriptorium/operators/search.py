@@ -7,8 +7,9 @@ plus ``context`` units on each side, clipped to the article.
 Plan per article, all inside one narrow stage (no shuffle):
 
 1. byte-level ``contains`` filter, so articles without the term cost one scan;
-2. cut the text at every hit: a literal split (Boyer-Moore skipping) when the
-   term cannot overlap itself, else a zero-width lookahead split;
+2. cut the text at every hit with a pattern that consumes the term's first
+   p characters (p = smallest period) and looks ahead for the rest, so
+   overlapping hits survive and the pattern still opens with a literal;
 3. running offsets of the pieces, in characters and in bytes (Arrow UDF on
    integer arrays; the text stays in the JVM);
 4. cut every context out of the article's UTF-8 bytes by offset (constant
@@ -21,8 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import (contains_term, exclusive_prefix_sums, self_overlaps, split_at,
-                                        split_before)
+from scriptorium.functions.text import contains_term, exclusive_prefix_sums, smallest_period, split_at_hits
 from scriptorium.session import scratch_root
 from scriptorium.sources.dump import order_cols
 
@@ -38,28 +38,21 @@ def _check(term: str, context: int) -> None:
 
 def _hit_offsets(text: Column, term: str, with_chars: bool) -> Column:
     """Array of structs (c, b): 0-based character and byte offsets of every
-    hit, in text order.
-
-    A term that cannot overlap itself is cut out with a literal split (the
-    matcher skips ahead); hit i starts after pieces 0..i-1 and i-1 terms.
-    A self-overlapping term ("erer" in "ererer") needs a zero-width
-    lookahead split, where every piece after the first starts at a hit.
-    """
-    kc, kb = len(term), len(term.encode("utf-8"))
-    if self_overlaps(term):
-        pieces = split_before(text, term)
-        c_add, b_add, first = 0, 0, F.when(text.startswith(term), F.lit(1)).otherwise(F.lit(2))
-    else:
-        pieces = split_at(text, term)
-        c_add, b_add, first = kc, kb, F.lit(2)
-    b_starts = exclusive_prefix_sums(F.transform(pieces, lambda p: F.octet_length(p) + F.lit(b_add)))
+    hit, in text order. The text is cut at every hit (``split_at_hits``,
+    consuming the term's first p characters); hit i starts after pieces
+    0..i-1 and i-1 consumed prefixes."""
+    p = smallest_period(term)
+    c_add, b_add = p, len(term[:p].encode("utf-8"))
+    pieces = split_at_hits(text, term)
+    b_starts = exclusive_prefix_sums(F.transform(pieces, lambda x: F.octet_length(x) + F.lit(b_add)))
     if with_chars:
-        c_starts = exclusive_prefix_sums(F.transform(pieces, lambda p: F.length(p) + F.lit(c_add)))
+        c_starts = exclusive_prefix_sums(F.transform(pieces, lambda x: F.length(x) + F.lit(c_add)))
     else:
         c_starts = F.transform(b_starts, lambda b: F.lit(None).cast("long"))
     both = F.zip_with(c_starts, b_starts,
                       lambda c, b: F.struct((c - F.lit(c_add)).alias("c"), (b - F.lit(b_add)).alias("b")))
-    return F.slice(both, first, F.size(both) - first + 1)
+    # piece 0 precedes the first hit
+    return F.slice(both, 2, F.size(both) - 1)
 
 
 def search_kwic(articles: DataFrame, term: str, context: int = 100, unit: str = "chars") -> DataFrame:

@@ -37,7 +37,7 @@ def test_against_brute_force(spark):
     rng = random.Random(3)
     alphabet = ["e", "r", "er", "ü", "é", "中", "😀", " ", "\n", "a"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 80))) for _ in range(300)]
-    for term, n in (("erer", 3), ("ü", 2), ("é中", 0), ("e", 5)):
+    for term, n in (("erer", 3), ("ü", 2), ("é中", 0), ("e", 5), ("ee", 1), ("erere", 2), ("rer", 0)):
         got = _hits(spark, texts, term, n)
         gotb = _hits(spark, texts, term, n, "bytes")
         k, kb = len(term), len(term.encode())
@@ -62,9 +62,10 @@ def test_lines(spark):
 
 
 def test_self_overlap_rule():
-    from scriptorium.functions.text import self_overlaps
+    from scriptorium.functions.text import self_overlaps, smallest_period
     assert self_overlaps("erer") and self_overlaps("aa") and self_overlaps("abcab")
     assert not self_overlaps("e") and not self_overlaps("Deutschland") and not self_overlaps("ab")
+    assert [smallest_period(t) for t in ("erer", "aa", "abcab", "e", "Deutschland", "abab")] == [2, 1, 3, 1, 11, 2]
 
 
 def test_term_at_both_ends_and_regex_chars(spark):
