@@ -88,3 +88,37 @@ def exclusive_prefix_sums(lengths: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()),
                                     pa.array(out, pa.int64()),
                                     mask=lengths.is_null())
+
+
+HIT_OFFSETS_TYPE = T.ArrayType(T.StructType([T.StructField("c", T.LongType()), T.StructField("b", T.LongType())]))
+
+
+def hit_offsets_udf(c_add: int, b_add: int):
+    """Arrow UDF: per row, the pieces' (characters, bytes) lengths -> the
+    0-based (c, b) offsets of the hits between them. Hit i starts after
+    pieces 0..i-1 plus i-1 consumed prefixes of ``c_add`` characters /
+    ``b_add`` bytes. One vectorised numpy pass per Arrow batch."""
+
+    @F.arrow_udf(HIT_OFFSETS_TYPE)
+    def hit_offsets(pieces: pa.Array) -> pa.Array:
+        if isinstance(pieces, pa.ChunkedArray):
+            pieces = pieces.combine_chunks()
+        offsets = np.asarray(pieces.offsets, dtype=np.int64)
+        offsets = offsets - offsets[0]
+        flat = pieces.flatten()
+        lens = np.diff(offsets)
+        starts = offsets[:-1]
+        row = np.repeat(np.arange(len(lens)), lens)
+        keep = (np.arange(len(flat)) - starts[row]) >= 1  # piece 0 precedes the first hit
+        cols = []
+        for name, add in (("c", c_add), ("b", b_add)):
+            v = np.asarray(flat.field(name).fill_null(0), dtype=np.int64) + add
+            csum = np.concatenate(([0], np.cumsum(v)))
+            exclusive = csum[:-1] - csum[starts][row]
+            cols.append(pa.array((exclusive - add)[keep], pa.int64()))
+        new_offsets = np.concatenate(([0], np.cumsum(np.maximum(lens - 1, 0))))
+        return pa.ListArray.from_arrays(pa.array(new_offsets, pa.int32()),
+                                        pa.StructArray.from_arrays(cols, names=["c", "b"]),
+                                        mask=pieces.is_null())
+
+    return hit_offsets

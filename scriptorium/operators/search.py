@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import contains_term, exclusive_prefix_sums, smallest_period, split_at_hits
+from scriptorium.functions.text import contains_term, hit_offsets_udf, smallest_period, split_at_hits
 from scriptorium.session import scratch_root
 from scriptorium.sources.dump import order_cols
 
@@ -39,20 +39,13 @@ def _check(term: str, context: int) -> None:
 def _hit_offsets(text: Column, term: str, with_chars: bool) -> Column:
     """Array of structs (c, b): 0-based character and byte offsets of every
     hit, in text order. The text is cut at every hit (``split_at_hits``,
-    consuming the term's first p characters); hit i starts after pieces
-    0..i-1 and i-1 consumed prefixes."""
+    consuming the term's first p characters); one pass over the pieces takes
+    their lengths, one Arrow UDF turns them into hit offsets."""
     p = smallest_period(term)
-    c_add, b_add = p, len(term[:p].encode("utf-8"))
     pieces = split_at_hits(text, term)
-    b_starts = exclusive_prefix_sums(F.transform(pieces, lambda x: F.octet_length(x) + F.lit(b_add)))
-    if with_chars:
-        c_starts = exclusive_prefix_sums(F.transform(pieces, lambda x: F.length(x) + F.lit(c_add)))
-    else:
-        c_starts = F.transform(b_starts, lambda b: F.lit(None).cast("long"))
-    both = F.zip_with(c_starts, b_starts,
-                      lambda c, b: F.struct((c - F.lit(c_add)).alias("c"), (b - F.lit(b_add)).alias("b")))
-    # piece 0 precedes the first hit
-    return F.slice(both, 2, F.size(both) - 1)
+    char_len = (lambda x: F.length(x)) if with_chars else (lambda x: F.lit(0))
+    lengths = F.transform(pieces, lambda x: F.struct(char_len(x).alias("c"), F.octet_length(x).alias("b")))
+    return hit_offsets_udf(p, len(term[:p].encode("utf-8")))(lengths)
 
 
 def search_kwic(articles: DataFrame, term: str, context: int = 100, unit: str = "chars") -> DataFrame:
@@ -86,19 +79,20 @@ def search_kwic(articles: DataFrame, term: str, context: int = 100, unit: str =
         def cut(h: Column) -> Column:
             start = F.greatest(h["b"] - n, F.lit(0))
             stop = F.least(h["b"] + F.lit(kb) + n, nbytes)
-            return F.struct(h["b"].alias("pos"), F.substring(raw, start + 1, stop - start).alias("ctx"))
+            return F.struct(h["b"].alias("pos"), F.substring(raw, start + 1, stop - start).alias("ctx"),
+                            F.lit(0).alias("k"))
     else:
         # A char window of width N lies inside 4N+3 bytes (UTF-8 chars are at
-        # most 4 bytes); cut generously by bytes, then trim by characters.
-        # A cut through a character only ever falls outside the kept part.
+        # most 4 bytes): cut a byte window around the hit here (bounded size,
+        # so the explode copies O(N) per hit), trim it by characters after the
+        # explode in generated code. A cut through a character only ever falls
+        # outside the kept part.
         span = 4 * context + 4
 
         def cut(h: Column) -> Column:
             b0 = F.greatest(h["b"] - F.lit(span), F.lit(0))
-            before = F.substring(raw, b0 + 1, h["b"] - b0).cast("string")
-            after = F.substring(raw, h["b"] + 1, F.lit(kb + span)).cast("string")
-            ctx = F.concat(F.right(before, n), F.left(after, F.lit(kc) + n))
-            return F.struct(h["c"].alias("pos"), ctx.alias("ctx"))
+            return F.struct(h["c"].alias("pos"), F.substring(raw, b0 + 1, h["b"] - b0 + F.lit(kb + span)).alias("ctx"),
+                            (h["b"] - b0).alias("k"))
 
     key = order_cols(articles)
     hits = (articles
@@ -109,12 +103,20 @@ def search_kwic(articles: DataFrame, term: str, context: int = 100, unit: str =
     # posexplode_outer + filter: the plain explode would get an inferred
     # size(_hits) > 0 filter pushed below this projection, evaluating the
     # offsets (and their UDF) twice
-    return hits.select("title", *key, F.posexplode_outer("_hits").alias("_i", "_h")).filter(
-        F.col("_h").isNotNull()).select(
+    exploded = hits.select("title", *key, F.posexplode_outer("_hits").alias("_i", "_h")).filter(
+        F.col("_h").isNotNull())
+    if unit == "bytes":
+        ctx = F.col("_h.ctx")
+    else:
+        w, k = F.col("_h.ctx"), F.col("_h.k")
+        before = F.substring(w, F.lit(1), k).cast("string")
+        after = F.substring(w, k + 1, F.lit(kb + span)).cast("string")
+        ctx = F.concat(F.right(before, n), F.left(after, F.lit(kc) + n))
+    return exploded.select(
         "title",
         (F.col("_i") + 1).cast("int").alias("match_no"),
         (F.col("_h.pos") + 1).cast("int").alias("match_pos"),
-        F.col("_h.ctx").alias("context"),
+        ctx.alias("context"),
         *key,
     )
 
