@@ -1,10 +1,10 @@
 """Scalar text helpers shared by the operators.
 
-All of them are built-in Spark expressions, except ``exclusive_prefix_sums``,
-an Arrow-batched UDF that turns per-article arrays of integers into running
-offsets in one vectorised numpy pass (Spark SQL has no linear array
-prefix sum: ``aggregate`` + ``array_append`` is quadratic in the array size).
-Only integer arrays cross into Python, never the article text.
+All of them are built-in Spark expressions, except ``hit_offsets_udf``, an
+Arrow-batched UDF that turns per-article arrays of piece lengths into hit
+offsets in one vectorised numpy pass (Spark SQL has no linear array prefix
+sum: ``aggregate`` + ``array_append`` is quadratic in the array size). Only
+integer arrays cross into Python, never the article text.
 """
 
 from __future__ import annotations
@@ -71,25 +71,6 @@ def split_at_hits(text: Column, term: str) -> Column:
     return F.split(text, pattern, -1)
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
-def exclusive_prefix_sums(lengths: pa.Array) -> pa.Array:
-    """Per row, the running sum before each element: [a, b, c] -> [0, a, a+b]."""
-    if isinstance(lengths, pa.ChunkedArray):
-        lengths = lengths.combine_chunks()
-    offsets = np.asarray(lengths.offsets, dtype=np.int64)
-    values = np.asarray(lengths.flatten().fill_null(0), dtype=np.int64)
-    starts = offsets[:-1] - offsets[0]
-    ends = offsets[1:] - offsets[0]
-    csum = np.concatenate(([0], np.cumsum(values)))
-    # exclusive prefix within each list: global running sum minus the sum
-    # before the list's first element
-    row_of = np.repeat(np.arange(len(starts)), ends - starts)
-    out = csum[:-1] - csum[starts][row_of]
-    return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()),
-                                    pa.array(out, pa.int64()),
-                                    mask=lengths.is_null())
-
-
 HIT_OFFSETS_TYPE = T.ArrayType(T.StructType([T.StructField("c", T.LongType()), T.StructField("b", T.LongType())]))
 
 
