@@ -9,8 +9,8 @@ extracted ISBN lines.
 
 from scriptorium.sources.dump import read_pages, page_index
 from scriptorium.sources.isbn_file import read_isbn_lines, write_isbn_lines
-from scriptorium.operators.articles import (extract_articles, per_article, read_articles, read_articles_observed,
-                                            scan_counters)
+from scriptorium.operators.articles import (articles_from_records, extract_articles, per_article, read_articles,
+                                            read_articles_observed, scan_counters)
 from scriptorium.operators.categories import category_counts, category_stats, category_usage
 from scriptorium.operators.search import search_kwic, search_lines, write_search_lines
 from scriptorium.operators.isbn import extract_isbns, isbn_lines
@@ -22,6 +22,7 @@ __all__ = [
     "read_isbn_lines",
     "write_isbn_lines",
     "extract_articles",
+    "articles_from_records",
     "read_articles",
     "read_articles_observed",
     "scan_counters",

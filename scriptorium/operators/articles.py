@@ -123,6 +123,12 @@ def extract_articles(pages: DataFrame) -> DataFrame:
     return _articles(pages, "page")
 
 
+def articles_from_records(records: DataFrame) -> DataFrame:
+    """P1 + F1 on raw records (``value``: the text after a ``<page>`` tag),
+    batch or streaming; the page ends at the record's first ``</page>``."""
+    return _articles(records, "value")
+
+
 def read_articles(spark: SparkSession, path: str | list[str], *, recursive: bool = True,
                   skip_leading_fragment: bool = False) -> DataFrame:
     """S1 + P1 + F1 in one pass: ``extract_articles(read_pages(...))`` without

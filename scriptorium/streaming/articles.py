@@ -15,26 +15,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from scriptorium.operators.articles import extract_articles
+from scriptorium.operators.articles import articles_from_records
 from scriptorium.sources.dump import PAGE_OPEN, pages_of
 
 
 def stream_pages(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming S1: pages of every dump file that appears in ``folder``."""
+    return pages_of(_stream_records(spark, folder, max_files_per_trigger))
+
+
+def _stream_records(spark: SparkSession, folder: str, max_files_per_trigger: int | None) -> DataFrame:
     reader = spark.readStream.format("text").option("lineSep", PAGE_OPEN)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    recs = reader.load(folder).select(
+    return reader.load(folder).select(
         "value",
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("file_block_start"),
     )
-    return pages_of(recs)
 
 
 def stream_articles(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming P1 + F1: (title, text, file_path, file_block_start)."""
-    return extract_articles(stream_pages(spark, folder, max_files_per_trigger))
+    """Streaming S1 + P1 + F1 in one pass over the records (as
+    ``read_articles``): (title, text, file_path, file_block_start)."""
+    return articles_from_records(_stream_records(spark, folder, max_files_per_trigger))
 
 
 def start_article_sink(spark: SparkSession, folder: str, sink: str, checkpoint: str,
