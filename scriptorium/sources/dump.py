@@ -155,7 +155,8 @@ def _running_offsets(batches):
                             "seq": pdf["seq"], "length": pdf["length"], "local_off": off})
 
 
-def page_index(spark: SparkSession, path: str | list[str], *, recursive: bool = True) -> DataFrame:
+def page_index(spark: SparkSession, path: str | list[str], *, recursive: bool = True,
+               skip_leading_fragment: bool = False) -> DataFrame:
     """Byte offset and byte length of every page, per file.
 
     Columns: ``file_path, file_block_start, seq, start_pos, length``.
@@ -168,14 +169,23 @@ def page_index(spark: SparkSession, path: str | list[str], *, recursive: bool =
     a local sort plus a vectorised running sum per partition needs no
     shuffle. Across splits, one row per split goes through a small
     aggregate and a window per file; that table is counted and broadcast
-    only when the count proves it small.
+    only when the count proves it small. With ``skip_leading_fragment`` a
+    file's leading fragment still counts towards the offsets but is not
+    listed as a page (as in ``read_pages``).
     """
     recs = read_records(spark, path, recursive=recursive)
+    length = F.octet_length(page_of(F.col("value")))
+    if skip_leading_fragment:
+        firsts = _leading_fragments(recs).withColumn("_lead", F.lit(True))
+        if len(recs.inputFiles()) <= MAX_BROADCAST_FILES:
+            firsts = F.broadcast(firsts)
+        recs = recs.join(firsts, ORDER_KEY, "left")
+        length = F.when(F.col("_lead").isNull(), length)
     sizes = recs.select(
         "file_path", "file_block_start", "seq",
         # a record is followed by its "<page>" delimiter (6 bytes)
         (F.octet_length("value") + len(PAGE_OPEN)).cast("long").alias("w"),
-        F.octet_length(page_of(F.col("value"))).cast("long").alias("length"),
+        length.cast("long").alias("length"),
     )
     scratch_root(spark)  # makes sure a checkpoint folder is set
     sizes = sizes.checkpoint(eager=True)

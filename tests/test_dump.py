@@ -55,6 +55,9 @@ def test_leading_fragment_guard(spark, tmpdir_run):
     body = "<title>X</title><text>inside</text></page>\n" + page("B", "b")
     write_files(tmpdir_run, {"tail.xml": body})
     assert articles_of(spark, tmpdir_run, skip_leading_fragment=True) == [("B", "b")]
+    idx = page_index(spark, tmpdir_run, skip_leading_fragment=True).collect()
+    start = body.encode().find(b"<page>")
+    assert [(r.start_pos, r.length) for r in idx] == [(start, len(body.encode()) - start - 1)]
 
 
 def _random_dump(rng, n):
