@@ -113,10 +113,13 @@ def test_multistream_bz2_matches_plain(spark, tmpdir_run):
     expected = [(t.decode(), x.decode()) for t, x in (a for a in expected if a)]
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
+        expected_index = [(s0, len(p)) for s0, p in brute.split_pages(data)]
         for split in ("128MB", "2048"):
             spark.conf.set("spark.sql.files.maxPartitionBytes", split)
             assert articles_of(spark, plain_dir) == expected, split
             assert articles_of(spark, bz_dir) == expected, split
+            idx = page_index(spark, bz_dir).orderBy("file_block_start", "seq").collect()
+            assert [(r.start_pos, r.length) for r in idx] == expected_index, split
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
