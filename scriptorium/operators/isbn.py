@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.functions.isbn import checksum_valid, format_ok, isbn_tokens, may_contain_isbn
+from scriptorium.functions.isbn import checksum_steps, format_ok, isbn_tokens, may_contain_isbn
 from scriptorium.sources.dump import order_cols
 
 # Fixed value: the flag the extended dialect appends to a wrong checksum.
@@ -42,10 +42,9 @@ def extract_isbns(articles: DataFrame, dialect: str = "basic") -> DataFrame:
              .select("title", *key, F.posexplode_outer("_isbns").alias("_i", "isbn"))
              .filter(F.col("isbn").isNotNull()))
     if dialect == "extended":
-        # digit strings once per value, then the unrolled checksum sums
-        found = found.selectExpr("*", r"regexp_replace(isbn, '[^0-9]', '') AS _dg",
-                                 r"regexp_replace(substring(isbn, 1, greatest(length(isbn) - 1, 0)), '[^0-9]', '') AS _dgl")
-        verdict = checksum_valid(F.col("isbn"), F.col("_dg"), F.col("_dgl"))
+        # the verdict as a chain of small steps (see checksum_steps)
+        found = found.selectExpr("*", *checksum_steps("isbn", "_verdict"))
+        verdict = F.col("_verdict")
     else:
         verdict = F.lit(None).cast("boolean")
     return found.select(

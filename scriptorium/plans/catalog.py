@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from scriptorium.operators import reports
 from scriptorium.operators.articles import extract_articles, extract_title, per_article, read_articles, scan_counters
 from scriptorium.operators.categories import category_counts, category_stats, category_usage
+from scriptorium.functions.isbn import checksum_steps
 from scriptorium.operators.isbn import extract_isbns, isbn_count, isbn_lines
 from scriptorium.operators.search import search_kwic, search_lines
 from scriptorium.plans.fixtures import _exists, fixture_dump
@@ -113,16 +114,9 @@ def q_isbn_lines(spark, sf_dir):
 def q_isbn_checksum(spark, sf_dir):
     """The checksum verdict (X7-X9) on every value of the extended
     extraction, with the recomputed check value (10 stands for X)."""
-    from scriptorium.functions.isbn import checksum_valid, head_digits, isbn10_check, isbn13_check, isbn_digits
-    found = extract_isbns(articles(spark, sf_dir), "extended").select(
-        "title", "isbn", isbn_digits(F.col("isbn")).alias("dg"), head_digits(F.col("isbn")).alias("dgl"))
-    isbn, dg, dgl = F.col("isbn"), F.col("dg"), F.col("dgl")
-    return found.select(
-        "title", "isbn",
-        checksum_valid(isbn, dg, dgl).alias("checksum_valid"),
-        F.when(F.length(dg) == 13, isbn13_check(isbn, dgl)).otherwise(isbn10_check(isbn, dg))
-        .cast("int").alias("check_value"),
-    )
+    found = extract_isbns(articles(spark, sf_dir), "extended").select("title", "isbn")
+    return found.selectExpr("title", "isbn", *checksum_steps("isbn", "checksum_valid")).selectExpr(
+        "title", "isbn", "checksum_valid", "cast(if(_ck_nd = 13, _ck_c13, _ck_c10) AS int) AS check_value")
 
 
 def q_isbn_file_source(spark, sf_dir):
