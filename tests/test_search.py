@@ -74,3 +74,19 @@ def test_term_at_both_ends_and_regex_chars(spark):
     assert got[0] == [(1, 1, "Deutschland u"), (2, 17, "d Deutschland")]
     assert [h[1] for h in _hits(spark, texts, "a.b", 0)[1]] == [1, 5, 9]
     assert [h[1] for h in _hits(spark, texts, "\\E", 0)[2]] == [2, 5]
+
+
+def test_random_terms_over_small_alphabet(spark):
+    # two letters give every kind of self-overlap: "aa", "aba", "abab", "aabaa", ...
+    rng = random.Random(17)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 40))) for _ in range(120)]
+    df = _df(spark, texts)
+    terms = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(1, 5))) for _ in range(40)})
+    for term in terms[:16]:
+        rows = search_kwic(df, term, 2).orderBy("seq", "match_no").collect()
+        got = {}
+        for r in rows:
+            got.setdefault(r.seq, []).append((r.match_pos, r.context))
+        for i, t in enumerate(texts):
+            exp = [(p + 1, t[max(0, p - 2):p + len(term) + 2]) for p in brute.hits(t, term)]
+            assert got.get(i, []) == exp, (term, t)
