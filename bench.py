@@ -86,6 +86,13 @@ def main() -> None:
     headline = ["category_stats", "search_kwic", "isbn_basic", "isbn_extended"]
     total = round(sum(results[k] for k in headline), 3)
     rates = {f"{k}_articles_per_s": round(n_articles / results[k]) for k in headline + ["scan_extract"]}
+    # result sizes (counted once, untimed): hits/s and ISBNs/s as BASELINE asks
+    n_hits = search_kwic(arts(), SEARCH_TERM, SEARCH_CONTEXT).count()
+    n_basic = extract_isbns(arts(), "basic").count()
+    n_ext = extract_isbns(arts(), "extended").count()
+    rates.update({"search_hits": n_hits, "search_hits_per_s": round(n_hits / results["search_kwic"]),
+                  "isbns_basic": n_basic, "isbns_basic_per_s": round(n_basic / results["isbn_basic"]),
+                  "isbns_extended": n_ext, "isbns_extended_per_s": round(n_ext / results["isbn_extended"])})
 
     # Marginal rate against a 10x smaller input: removes the fixed per-job
     # cost (scheduling, planning), i.e. the rate the jobs scale at.
