@@ -7,7 +7,16 @@ overlapping matches, ISBN extraction in two dialects, and reports over the
 extracted ISBN lines.
 """
 
-from scriptorium.sources.dump import read_pages, page_index
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions of this package that run in Python workers (the Arrow UDF of the
+# search, the page-index running sums, the per-article hook) travel with the
+# task by value, so executors need not have the package installed.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
+from scriptorium.sources.dump import read_pages, page_index  # noqa: E402
 from scriptorium.sources.isbn_file import read_isbn_lines, write_isbn_lines
 from scriptorium.operators.articles import (articles_from_records, extract_articles, per_article, read_articles,
                                             read_articles_observed, scan_counters)
