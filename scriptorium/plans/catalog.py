@@ -20,7 +20,7 @@ from scriptorium.operators.categories import category_counts, category_stats, ca
 from scriptorium.functions.isbn import checksum_steps
 from scriptorium.operators.isbn import extract_isbns, isbn_count, isbn_lines
 from scriptorium.operators.search import search_kwic, search_lines
-from scriptorium.plans.fixtures import _exists, fixture_dump
+from scriptorium.plans.fixtures import _exists, code_tag, fixture_dump
 from scriptorium.session import scratch_root
 from scriptorium.sources.dump import page_index, page_records, read_pages
 from scriptorium.sources.isbn_file import read_isbn_lines, write_isbn_lines
@@ -42,7 +42,9 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ISBN line file of the shared-title dump (extended dialect),
     written once to the scratch folder and read back as the reports do."""
     dump = fixture_dump(spark, sf_dir, grouped_titles=True)
-    path = f"{scratch_root(spark)}/scriptorium/isbn_lines/{hashlib.sha1(dump.encode()).hexdigest()[:16]}"
+    code = code_tag("sources/dump.py", "operators/articles.py", "functions/isbn.py", "operators/isbn.py",
+                    "sources/isbn_file.py")
+    path = f"{scratch_root(spark)}/scriptorium/isbn_lines/{hashlib.sha1((dump + code).encode()).hexdigest()[:16]}"
     if not _exists(spark, path + "/_SUCCESS"):
         write_isbn_lines(extract_isbns(read_articles(spark, dump), "extended"), path)
     return read_isbn_lines(spark, path)

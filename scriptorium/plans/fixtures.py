@@ -104,12 +104,24 @@ def write_dump(wt: DataFrame, path: str, pages_per_file: int = PAGES_PER_FILE) -
     return path
 
 
+def code_tag(*modules: str) -> str:
+    """Short hash of package source files (paths relative to the package):
+    cached outputs are keyed by the code that wrote them."""
+    base = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = hashlib.sha1()
+    for m in modules:
+        with open(os.path.join(base, m), "rb") as f:
+            h.update(f.read())
+    return h.hexdigest()[:12]
+
+
 def fixture_dump(spark: SparkSession, sf_dir: str, grouped_titles: bool = False) -> str:
     """Path of the fixture dump for ``sf_dir`` in the shared scratch folder,
-    written once per scratch folder and input version."""
+    written once per scratch folder, input version and writer code."""
     src = os.path.join(sf_dir, "documents.parquet")
     st = os.stat(src) if os.path.exists(src) else None
-    tag = f"{os.path.abspath(sf_dir)}|{grouped_titles}|{st.st_size if st else 0}|{st.st_mtime_ns if st else 0}|v1"
+    tag = (f"{os.path.abspath(sf_dir)}|{grouped_titles}|{st.st_size if st else 0}|{st.st_mtime_ns if st else 0}|"
+           f"{code_tag('plans/fixtures.py')}")
     key = hashlib.sha1(tag.encode()).hexdigest()[:16]
     path = f"{scratch_root(spark)}/scriptorium/dumps/{key}"
     if not _exists(spark, path + "/_SUCCESS"):
