@@ -37,6 +37,9 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.files.openCostInBytes", str(512 * 1024))
         .config("spark.sql.files.minPartitionNum", str(3 * _cores(master)))
         .config("spark.driver.memory", os.environ.get("SCRIPTORIUM_DRIVER_MEMORY", "8g"))
+        # checkpoints of intermediate rows (page index, sorted writers) are
+        # removed from the shared folder once no longer referenced
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
