@@ -147,3 +147,10 @@ def test_running_offsets_carry_across_batches():
         batches = [df.iloc[:cut], df.iloc[cut:]]
         out = pd.concat(list(_running_offsets(iter(batches))))
         assert out["local_off"].tolist() == [0, 10, 30, 0, 0, 7], cut
+
+
+def test_missing_close_tag_mid_file_is_dropped(spark, tmpdir_run):
+    # documented deviation: the reference would run page A on into page B
+    body = "<page><title>A</title><text>a</text> " + page("B", "b")
+    write_files(tmpdir_run, {"m.xml": body})
+    assert articles_of(spark, tmpdir_run) == [("B", "b")]
