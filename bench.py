@@ -36,6 +36,14 @@ SEARCH_TERM = "erer"
 SEARCH_CONTEXT = 100
 
 
+def _sf_value(sf_dir: str):
+    name = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    try:
+        return float(name)
+    except ValueError:
+        return name
+
+
 def consume(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
@@ -117,7 +125,7 @@ def main() -> None:
         "value": total,
         "unit": "sec",
         "queries": results,
-        "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),
+        "sf": _sf_value(sf_dir),
         "articles": n_articles,
         "cpus": int(cpus),
         "headline": headline,
