@@ -130,7 +130,12 @@ def fixture_dump(spark: SparkSession, sf_dir: str, grouped_titles: bool = False)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(hpath))
+    """Whether ``path`` exists on the session's file system (Hadoop API);
+    a plain local check where no JVM gateway is at hand."""
+    try:
+        jvm = spark.sparkContext._jvm
+        hpath = jvm.org.apache.hadoop.fs.Path(path)
+        fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return bool(fs.exists(hpath))
+    except Exception:  # no py4j gateway (e.g. a remote client session)
+        return os.path.exists(path[len("file:"):] if path.startswith("file:") else path)
