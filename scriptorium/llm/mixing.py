@@ -69,7 +69,7 @@ def _stream(sizes: DataFrame) -> DataFrame:
     base = (d.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
              .select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"),
                      F.coalesce(F.sum("n").over(in_source), F.lit(0)).alias("base")))
-    in_bucket = (Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size")
+    in_bucket = (Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", "row")
                        .rowsBetween(Window.unboundedPreceding, -1))
     d = d.withColumn("before", F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
     return (d.join(base, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
@@ -111,8 +111,9 @@ def slot_table(targets: DataFrame, n_slots: int) -> DataFrame:
 
 
 def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                max_repeats: int = MAX_REPEATS, block_words: int = BLOCK_WORDS, slots: int = SLOTS):
-    """(documents, pieces): ``documents`` has ``doc_id, source, size,
+                max_repeats: int = MAX_REPEATS, block_words: int = BLOCK_WORDS, slots: int = SLOTS,
+                size: Column | None = None, row: Column | None = None):
+    """(documents, pieces): ``documents`` has ``doc_id, source, size, row,
     source_size, target, at`` per input row; ``pieces`` is the mix itself,
     ``slot, source, rank, doc_id, size, at, from_word, words, repeat``: which
     words of which document a slot takes, and in which use of the source.
@@ -120,10 +121,12 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null text has size 0 and a null source is a source. Rows that repeat an
     id are rows of their own. A slot takes ``block_words`` words, or fewer for
     a corpus of under ``slots`` such blocks; the last slot of a source is cut
-    where the target is reached.
+    where the target is reached. ``size`` replaces the count of the text's
+    words; ``row`` is a caller's own number of a row, passed through.
     """
     sizes = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                                    word_count(F.col(text_col)).alias("size")), "sizes")
+                                    (word_count(F.col(text_col)) if size is None else size).alias("size"),
+                                    (F.lit(0).cast("long") if row is None else row).alias("row")), "sizes")
     targets = materialize(source_targets(sizes, max_repeats), "targets")
     total = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     block = max(1, min(block_words, total // slots))
@@ -151,8 +154,8 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mixed(docs: DataFrame, **columns) -> DataFrame:
-    """One row per document: ``doc_id, source, size, source_size, target,
-    taken, at`` (words that the mix takes, repeats counted)."""
+    """One row per document: ``doc_id, source, size, row, source_size, target,
+    taken, at`` (taken: words that the mix takes, repeats counted)."""
     rows, pieces = mixing_plan(docs, **columns)
     keys = ["source", "at", "doc_id", "size"]
     taken = (pieces.groupBy(*keys).agg(F.sum("words").alias("taken"))
@@ -162,7 +165,7 @@ def mixed(docs: DataFrame, **columns) -> DataFrame:
     for c in keys:
         same = same & F.col(c).eqNullSafe(F.col(f"k_{c}"))
     return (rows.join(taken, same, "left")
-                .select("doc_id", "source", "size", "source_size", "target",
+                .select("doc_id", "source", "size", "row", "source_size", "target",
                         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "at"))
 
 
@@ -171,27 +174,18 @@ def repeat_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     use, whole where the use takes all its words and else cut after the words
     taken; documents of which nothing is taken are left out. ``n_chars``, if
     there, follows the text."""
-    whole = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("doc_id"),
-                        F.col(source_col).alias("source"), F.col(text_col).alias("text"),
-                        word_count(F.col(text_col)).alias("size"))
-    # rows that repeat an id and size share what was taken: any of them may
-    # serve, so the k-th such row gets the k-th share
-    m = mixed(whole).where(F.col("taken") > 0)
-    keys = ["doc_id", "source", "size"]
-    nth = Window.partitionBy(*keys)
-    m = m.withColumn("nth", F.row_number().over(nth.orderBy("at")))
-    m = m.select(*[F.col(c).alias(f"k_{c}") for c in keys], F.col("nth").alias("k_nth"), "taken")
-    same = F.col("nth") == F.col("k_nth")
-    for c in keys:
-        same = same & F.col(c).eqNullSafe(F.col(f"k_{c}"))
-    w = whole.withColumn("nth", F.row_number().over(nth.orderBy("text"))).join(m, same)
-    parts = F.sequence(F.lit(0), ((F.col("taken") - 1) / F.col("size")).cast("int"))
-    w = w.withColumn("use", F.explode(parts)).withColumn("part", F.least(F.col("size"), F.col("taken") - F.col("use") * F.col("size")))
-    text = F.when(F.col("part") == F.col("size"), F.col("text")).otherwise(
-        F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1), F.lit(1), F.col("part").cast("int"))))
-    w = w.withColumn("_text", text)
-    out: list[Column] = []
-    for c in docs.columns:
-        col = F.col("_doc").getField(c)
-        out.append({text_col: F.col("_text"), "n_chars": F.length("_text").cast("long")}.get(c, col).alias(c))
-    return w.select(*out)
+    # the written rows have stable numbers, by which they meet what is taken
+    whole = materialize(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("row"),
+                                    word_count(F.col(text_col)).alias("size")), "whole")
+    m = mixed(whole.select("_doc.*", F.col("row").alias("_row"), F.col("size").alias("_size")),
+              id_col=id_col, text_col=text_col, source_col=source_col, size=F.col("_size"), row=F.col("_row"))
+    m = m.where(F.col("taken") > 0).select("row", "taken")
+    w = whole.join(m.hint("shuffle_hash"), "row")
+    w = w.withColumn("use", F.explode(F.sequence(F.lit(0), ((F.col("taken") - 1) / F.col("size")).cast("int"))))
+    w = w.withColumn("part", F.least(F.col("size"), F.col("taken") - F.col("use") * F.col("size")))
+    given = F.col("_doc").getField(text_col)
+    words = F.regexp_extract_all(given, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    text = F.when(F.col("part") == F.col("size"), given).otherwise(
+        F.concat_ws(" ", F.slice(words, F.lit(1), F.col("part").cast("int"))))
+    put = {text_col: text, "n_chars": F.length(text).cast("long")}
+    return w.select(*[put.get(c, F.col("_doc").getField(c)).alias(c) for c in docs.columns])

@@ -39,7 +39,7 @@ SEQUENCE = 64         # tokens of a training sequence
 STEPS = 35
 WORDS = 1 << 14       # buckets of neighbouring words
 BLOCK = 128           # tokens per block of the decoder
-GROUP_BYTES = 4 << 20  # bytes of text decoded at a time
+GROUP_BYTES = 1 << 20  # bytes of text decoded at a time
 
 # Bytes by class: 0 none of the others, 1 lower, 2 upper, 3 digit, 4 one of + / _ . -, 5 beyond ASCII
 CLASS = np.zeros(256, np.uint8)
@@ -310,7 +310,8 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", per_lab
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text").between(1, MAX_CHARS))
     hot = F.col("text").rlike(r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?i:passw(or)?d|secret|token|api_?key)[\"']? *[:=]").cast("int")
     ids = sample_ids(rows.select("doc_id", hot.alias("hot")), "doc_id", "hot", per_label).select("doc_id").distinct()
-    got = [r["text"] for r in rows.join(ids, "doc_id", "left_semi").orderBy("doc_id", "text").collect()]
+    # ids has at most 2 * per_label rows
+    got = [r["text"] for r in rows.join(F.broadcast(ids), "doc_id", "left_semi").orderBy("doc_id", "text").collect()]
     return train(got) if any(base_spans(t) for t in got) else None
 
 

@@ -30,7 +30,7 @@ HIDDEN = 8
 GROUP = 4096             # windows run together
 PER_LABEL = 500          # training documents of a label, at most
 MAX_CHARS = 20_000       # longer documents are not used for training
-BLOCK_WORDS = 200_000    # words of one text scored at a time
+BLOCK_WORDS = 60_000     # words of one text scored at a time
 EPOCHS = 8
 STRIP = b".,;:!?\"'()[]{}<>"
 
@@ -320,7 +320,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn, text_col: str = "text", id_co
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.where(learn & F.length("text").between(1, MAX_CHARS))
     ids = sample_ids(rows.select("doc_id").join(marks, "doc_id").dropDuplicates(["doc_id"]), "doc_id", "y", per_label)
-    got = rows.join(ids, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect()
+    # ids has at most 2 * per_label rows
+    got = rows.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect()
     y = [r["y"] for r in got]
     return train([r["text"] for r in got], y) if 0 < sum(y) < len(y) else None
 
