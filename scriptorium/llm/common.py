@@ -72,7 +72,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
             return label
 
 
-def sample_ids(rows: DataFrame, id_col: str, label_col: str, per_label: int, salts: int = 64) -> DataFrame:
+def sample_ids(rows: DataFrame, id_col: str, label_col: str, per_label: int, salts: int = 16) -> DataFrame:
     """At most ``per_label`` rows of each label, those with the smallest
     64-bit hash of their id: ``(id_col, label_col)``.
 
