@@ -43,6 +43,8 @@ def extract_title(df: DataFrame, col: str = "page") -> DataFrame:
     return _keep_found(pos, found, [c for c in df.columns if c != "title"], "title")
 
 
+ARTICLE_BATCH_BYTES = 16 << 20  # of a Python batch
+
 # Longest ``<text ...>`` start tag the fast path looks through for its '>'.
 TEXT_TAG_WINDOW = 512
 
@@ -183,9 +185,12 @@ def per_article(articles: DataFrame,
 
     ``fn`` takes a pandas DataFrame with the articles' columns and returns a
     pandas DataFrame of ``schema``. Batches are Arrow record batches of one
-    partition, so the work is spread like the scan. State the reference kept
-    in a shared struct becomes an aggregate over the returned rows.
+    partition, so the work is spread like the scan; they are bounded by bytes
+    (a longer article is a batch of its own). State the reference kept in a
+    shared struct becomes an aggregate over the returned rows.
     """
+    articles.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARTICLE_BATCH_BYTES))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield fn(batch)

@@ -30,7 +30,7 @@ def category_stats(articles: DataFrame, tag: str = CATEGORY_TAG) -> DataFrame:
     """
     counted = category_counts(articles, tag)
     # file order decides ties; without an order key, the smallest title
-    tie_break = [F.col(c) for c in order_cols(articles)] or [F.col("title")]
+    tie_break = [*[F.col(c) for c in order_cols(articles)], F.col("title")]
     n = F.col("n")
     agg = counted.agg(
         F.count(F.lit(1)).alias("total_articles"),
@@ -53,12 +53,15 @@ def category_stats(articles: DataFrame, tag: str = CATEGORY_TAG) -> DataFrame:
 
 def category_usage(articles: DataFrame, tag: str = CATEGORY_TAG) -> DataFrame:
     """A2: links per category name; the name is what follows the tag up to
-    the next ``|`` or ``]``. Columns: ``category, n``.
+    the next ``|`` or ``]``, or the next tag. Every link counted by A1c has a
+    name, so the sum of ``n`` is A1c. Columns: ``category, n``.
 
     Only names leave the article (the text never reaches the shuffle), and
     the partial aggregate collapses a hot category before the exchange.
     """
-    names = F.regexp_extract_all(F.col("text"), F.lit(quote_regex(tag) + "([^\\]|]*)"), F.lit(1))
+    pieces = F.split("text", quote_regex(tag), -1)  # each piece but the first follows a tag
+    names = F.transform(F.slice(pieces, F.lit(2), F.size(pieces) - 1),
+                        lambda x: F.substring_index(F.substring_index(x, "|", 1), "]", 1))
     return (articles.filter(F.col("text").contains(tag))
             # outer + filter: keeps the extraction from being evaluated twice
             .select(F.explode_outer(names).alias("category"))

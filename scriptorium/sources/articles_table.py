@@ -9,6 +9,7 @@ XML. The order key is kept, so file-order tie breaks are unchanged.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scriptorium.sources.dump import ORDER_KEY
 
@@ -23,5 +24,7 @@ def write_articles(articles: DataFrame, path: str, mode: str = "overwrite") -> s
 
 def read_articles_table(spark: SparkSession, path: str) -> DataFrame:
     """Read articles written by ``write_articles``; same columns as
-    ``read_articles``."""
-    return spark.read.parquet(path).select(*ARTICLE_COLUMNS)
+    ``read_articles``. A table written by the stream has no ``seq``: it is 0
+    there, and ties within a split fall to the title."""
+    df = spark.read.parquet(path)
+    return (df if "seq" in df.columns else df.withColumn("seq", F.lit(0).cast("long"))).select(*ARTICLE_COLUMNS)

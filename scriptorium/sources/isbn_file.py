@@ -4,37 +4,37 @@ CSV (titles hold quotes, rows have two or three fields)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.operators.isbn import isbn_lines
-from scriptorium.session import scratch_root
 from scriptorium.sources.dump import order_cols
 
 
-def write_isbn_lines(isbns: DataFrame, path: str) -> int:
-    """Write ISBN rows as line files in dump order (range-partitioned sort of
-    the small ISBN rows: part files follow each other in page order).
-
-    The lines are checkpointed first: a sort samples its input in a job of
-    its own, which would otherwise scan and parse the dump a second time.
-    Returns the number of lines written (A9, counted on the checkpoint).
-    """
-    scratch_root(isbns.sparkSession)  # makes sure a checkpoint folder is set
-    lines = isbn_lines(isbns).checkpoint(eager=True)
-    lines.orderBy(*(order_cols(lines) or ["value"]), "hit_no").select("value").write.mode("overwrite").text(path)
-    return lines.count()
+def write_isbn_lines(isbns: DataFrame, path: str, ordered: bool = False) -> int:
+    """Write ISBN rows as line files from the scan's own tasks: one pass over
+    the dump, no shuffle, rows of a task in file order. ``ordered``: part files
+    follow each other in dump order (a range shuffle of the ISBN rows, whose
+    sampling reads the dump once more). Returns the number of lines (A9),
+    counted while writing."""
+    lines = isbn_lines(isbns)
+    if ordered:
+        lines = lines.orderBy(*(order_cols(lines) or ["value"]), "hit_no")
+    seen = Observation("isbn_lines")
+    lines.observe(seen, F.count(F.lit(1)).alias("n")).select("value").write.mode("overwrite").text(path)
+    return seen.get["n"]
 
 
 def read_isbn_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """S6 + P2: the lines with their fields. ``title`` is everything before
-    the first ``|`` (a line without ``|`` is all title, as ``cut -f1``).
+    the first ``|`` (a line without ``|`` is all title, as ``cut -f1``). Only
+    a newline ends a line; a carriage return is part of it.
 
     Columns: ``value, title, isbn, flag`` and a file-order key
     ``file_path, file_block_start, seq``.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    df = spark.read.text(paths)
+    df = spark.read.option("lineSep", "\n").text(paths)
     fields = F.split(F.col("value"), r"\|", 3)
     return df.select(
         "value",
