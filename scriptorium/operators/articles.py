@@ -131,23 +131,21 @@ def articles_from_records(records: DataFrame) -> DataFrame:
     return _articles(records, "value")
 
 
-def read_articles(spark: SparkSession, path: str | list[str], *, recursive: bool = True,
-                  skip_leading_fragment: bool = False) -> DataFrame:
+def read_articles(spark: SparkSession, path: str | list[str], *, recursive: bool = True) -> DataFrame:
     """S1 + P1 + F1 in one pass: ``extract_articles(read_pages(...))`` without
     materialising the page string (the tags are located in the raw record and
     checked against its first ``</page>``). Same rows, fewer passes over the
     text."""
-    recs = page_records(spark, path, recursive=recursive, skip_leading_fragment=skip_leading_fragment)
+    recs = page_records(spark, path, recursive=recursive)
     return _articles(recs, "value")
 
 
-def read_articles_observed(spark: SparkSession, path: str | list[str], *, recursive: bool = True,
-                           skip_leading_fragment: bool = False) -> tuple[DataFrame, Observation]:
+def read_articles_observed(spark: SparkSession, path: str | list[str], *, recursive: bool = True) -> tuple[DataFrame, Observation]:
     """``read_articles`` plus S7's counters, gathered while any job runs over
     the articles (``DataFrame.observe``: no extra pass). After the job's
     action, ``observation.get`` holds ``pages_found`` and ``articles``.
     Rates are these counts over the job's wall time, taken by the caller."""
-    recs = page_records(spark, path, recursive=recursive, skip_leading_fragment=skip_leading_fragment)
+    recs = page_records(spark, path, recursive=recursive)
     x, found = _article_columns(recs, "value")
     obs = Observation("scan_counters")
     x = x.withColumn("_found", found).observe(

@@ -1,19 +1,19 @@
 """Dump source (S1) and page offset index.
 
-A MediaWiki export is split into pages by the file reader itself: records
-are delimited by the literal ``<page>`` tag, so every split of a (possibly
-compressed, splittable) dump is parsed in parallel and no record ever
-crosses a task. A record is a page when it contains ``</page>``; the page
-is ``<page>`` plus the record up to and including its first ``</page>``.
-
-This reproduces the reference's page scan (first ``<page>`` from the cursor,
-then the first ``</page>`` after it) for complete dumps and for dumps cut
-off at the end: an unterminated last page has no ``</page>`` and is dropped
-in the same single pass. The content before the first ``<page>`` of a file
-(the header) is the file's first record; it is only taken for a page if it
-holds a ``</page>``, which happens for a file that starts in the middle of a
-page. ``skip_leading_fragment=True`` removes that record exactly, at the
-price of a second (metadata-light) pass over the files.
+A MediaWiki export is split by the file reader itself: records are delimited
+by the literal ``</page>`` tag, so every split of a (possibly compressed,
+splittable) dump is parsed in parallel and no record ever crosses a task. A
+record is a page when it contains ``<page>``; the page runs from its first
+``<page>`` to the delimiter. That is the reference's scan (first ``<page>``
+from the cursor, then the first ``</page>`` after it) also for damaged files:
+a page whose closing tag is missing runs on into the next one, a stray closing
+tag or a file that starts inside a page yields nothing.
+
+Only the end of a file needs a look at more than one record: a last page that
+is not closed is no page. Read by ``<page>``, the last record of such a file
+holds no ``</page>``. A light scan finds it per file; the records of the main
+scan are held against these few rows (none for a complete dump, which removes
+the comparison at run time).
 
 Every page keeps an order key ``(file_path, file_block_start, seq)`` taken
 on the scan itself: sorting by it gives file order, which decides ties.
@@ -24,8 +24,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.session import scratch_root
-
 # The tags the reference searches for, byte for byte.
 PAGE_OPEN = "<page>"
 PAGE_CLOSE = "</page>"
@@ -38,52 +36,73 @@ def order_cols(df: DataFrame) -> list[str]:
     this library; none for a plain title/text table)."""
     return [c for c in ORDER_KEY if c in df.columns]
 
-# Above this many input files the per-file table of the leading-fragment
-# guard is joined by shuffle instead of broadcast (a row is ~200 bytes).
-MAX_BROADCAST_FILES = 50_000
-
 
-def read_records(spark: SparkSession, path: str | list[str], *,
-                 recursive: bool = True) -> DataFrame:
-    """Raw records between ``<page>`` tags, with the order key.
+def read_records(spark: SparkSession, path: str | list[str], *, recursive: bool = True,
+                 separator: str = PAGE_CLOSE) -> DataFrame:
+    """Raw records between ``separator`` tags, with the order key.
 
-    Columns: ``value, file_path, file_block_start, seq``.
+    Columns: ``value, file_path, file_block_start, seq, file_size``.
     """
-    reader = spark.read.option("lineSep", PAGE_OPEN)
+    reader = spark.read.option("lineSep", separator)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     paths = [path] if isinstance(path, str) else list(path)
     df = reader.text(paths)
     return df.select(
-        F.col("value"),
+        "value",
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("file_block_start"),
         F.monotonically_increasing_id().alias("seq"),
+        F.col("_metadata.file_size").alias("file_size"),
     )
 
 
-def _leading_fragments(records: DataFrame) -> DataFrame:
-    """Order keys of each file's first record (the content before its first
-    ``<page>``). One row per input file: a bounded, broadcastable table."""
-    return (records.filter(F.col("file_block_start") == 0)
-            .groupBy("file_path", "file_block_start")
-            .agg(F.min("seq").alias("seq")))
+def _after_open(value: Column) -> Column:
+    """What follows the first ``<page>`` of a record (empty without one)."""
+    at = F.octet_length(F.substring_index(value, PAGE_OPEN, 1)) + len(PAGE_OPEN)
+    return F.substring(value.cast("binary"), at + 1, F.octet_length(value)).cast("string")
 
 
-def page_records(spark: SparkSession, path: str | list[str], *, recursive: bool = True,
-                 skip_leading_fragment: bool = False) -> DataFrame:
-    """Raw records (``value`` and the order key), optionally without each
-    file's leading fragment. A record holds a page iff it contains
-    ``</page>``; the page is ``<page>`` + the record up to its first
-    ``</page>``."""
-    recs = read_records(spark, path, recursive=recursive)
-    if not skip_leading_fragment:
-        return recs
-    firsts = _leading_fragments(recs)
-    # one row per input file: broadcast when the file listing proves it small
-    if len(recs.inputFiles()) <= MAX_BROADCAST_FILES:
-        firsts = F.broadcast(firsts)
-    return recs.join(firsts, ORDER_KEY, "left_anti")
+def _after_last_open(value: Column) -> list[Column]:
+    rest = F.substring_index(value, PAGE_OPEN, -1)
+    return [F.octet_length(rest), F.xxhash64(rest)]
+
+
+def open_ends(spark: SparkSession, path: str | list[str], *, recursive: bool = True) -> DataFrame:
+    """``file_path, size, hash`` of what follows the last ``<page>`` in each
+    file that ends inside a page: one short row per damaged file."""
+    recs = read_records(spark, path, recursive=recursive, separator=PAGE_OPEN)
+    last = F.max_by(F.struct(F.octet_length("value").alias("size"), F.xxhash64("value").alias("hash"),
+                             F.col("value").contains(PAGE_CLOSE).alias("closed")), F.struct("file_block_start", "seq"))
+    return (recs.groupBy("file_path").agg(last.alias("last")).where(~F.col("last.closed"))
+                .select("file_path", F.col("last.size").alias("size"), F.col("last.hash").alias("hash")))
+
+
+def closed_records(spark: SparkSession, path: str | list[str], *, recursive: bool = True) -> DataFrame:
+    """``read_records`` that hold a ``<page>``, without the open end of a
+    file. Of equal records in a file with that very open end, the last goes.
+
+    The open ends are broadcast: a row of three numbers and a path per file
+    whose dump is cut off inside a page, far less than the file listing that
+    Spark keeps on the driver for the scan itself.
+    """
+    recs = read_records(spark, path, recursive=recursive).where(F.col("value").contains(PAGE_OPEN))
+    ends = F.broadcast(open_ends(spark, path, recursive=recursive).select(
+        F.col("file_path").alias("e_path"), "size", "hash"))
+    size, digest = _after_last_open(F.col("value"))
+    same = (F.col("file_path") == F.col("e_path")) & (size == F.col("size")) & (digest == F.col("hash"))
+    again = (recs.join(ends, same)
+                 .withColumn("_n", F.row_number().over(Window.partitionBy("e_path").orderBy(
+                     F.desc("file_block_start"), F.desc("seq"))))
+                 .where(F.col("_n") > 1).select(*recs.columns))
+    return recs.join(ends, same, "left_anti").unionByName(again)
+
+
+def page_records(spark: SparkSession, path: str | list[str], *, recursive: bool = True) -> DataFrame:
+    """One row per page: ``value``, the page without its opening tag (it ends
+    with the first and only ``</page>``), and the order key."""
+    recs = closed_records(spark, path, recursive=recursive)
+    return recs.select(F.concat(_after_open(F.col("value")), F.lit(PAGE_CLOSE)).alias("value"), *ORDER_KEY)
 
 
 def page_of(value: Column) -> Column:
@@ -113,26 +132,24 @@ def pages_of(records: DataFrame) -> DataFrame:
             .select("page", *keep))
 
 
-def read_pages(spark: SparkSession, path: str | list[str], *, recursive: bool = True,
-               skip_leading_fragment: bool = False) -> DataFrame:
+def read_pages(spark: SparkSession, path: str | list[str], *, recursive: bool = True) -> DataFrame:
     """The pages of a dump, in parallel.
 
     Columns: ``page`` (from ``<page>`` to ``</page>`` inclusive) and the order
     key ``file_path, file_block_start, seq``.
     """
-    return pages_of(page_records(spark, path, recursive=recursive, skip_leading_fragment=skip_leading_fragment))
+    recs = page_records(spark, path, recursive=recursive)
+    return recs.select(F.concat(F.lit(PAGE_OPEN), F.col("value")).alias("page"), *ORDER_KEY)
 
 
-# Above this many splits the per-split offset table is joined by shuffle
-# instead of broadcast (a row is one path and two numbers).
-MAX_BROADCAST_SPLITS = 1_000_000
+BOM = 3  # bytes of a UTF-8 byte order mark, which the reader strips
 
-_LOCAL_SCHEMA = "file_path string, file_block_start long, seq long, length long, local_off long"
+_LOCAL_SCHEMA = "split long, seq long, page_at long, length long, local_off long"
 
 
 def _running_offsets(batches):
-    """Per partition (sorted by split and seq): exclusive running sum of the
-    record sizes within each split, carried across Arrow batches."""
+    """Rows of a split follow each other in one task: exclusive running sum of
+    their sizes ``w`` within each split, carried across Arrow batches."""
     import numpy as np
     import pandas as pd
 
@@ -140,7 +157,7 @@ def _running_offsets(batches):
     for pdf in batches:
         if pdf.empty:
             continue
-        key = pd.MultiIndex.from_arrays([pdf["file_path"], pdf["file_block_start"]])
+        key = pdf["split"].to_numpy()
         w = pdf["w"].to_numpy(dtype=np.int64)
         start = np.ones(len(pdf), dtype=bool)
         start[1:] = key[1:] != key[:-1]
@@ -151,59 +168,49 @@ def _running_offsets(batches):
         if last_key is not None and key[0] == last_key:
             off[group == 0] += carry
         last_key, carry = key[-1], int(off[-1] + w[-1])
-        yield pd.DataFrame({"file_path": pdf["file_path"], "file_block_start": pdf["file_block_start"],
-                            "seq": pdf["seq"], "length": pdf["length"], "local_off": off})
+        yield pd.DataFrame({"split": key, "seq": pdf["seq"], "page_at": pdf["page_at"], "length": pdf["length"],
+                            "local_off": off})
 
 
-def page_index(spark: SparkSession, path: str | list[str], *, recursive: bool = True,
-               skip_leading_fragment: bool = False) -> DataFrame:
+def page_index(spark: SparkSession, path: str | list[str], *, recursive: bool = True) -> DataFrame:
     """Byte offset and byte length of every page, per file.
 
     Columns: ``file_path, file_block_start, seq, start_pos, length``.
-    ``start_pos`` is 0-based like a file offset.
-
-    Offsets are a two-level prefix sum over record byte lengths. The
-    per-record sizes (four numbers, never the text) are checkpointed once to
-    the shared checkpoint folder. Within a split the running sum is a narrow
-    pass: a split is read by one task, so its rows sit in one partition, and
-    a local sort plus a vectorised running sum per partition needs no
-    shuffle. Across splits, one row per split goes through a small
-    aggregate and a window per file; that table is counted and broadcast
-    only when the count proves it small. With ``skip_leading_fragment`` a
-    file's leading fragment still counts towards the offsets but is not
-    listed as a page (as in ``read_pages``).
+    ``start_pos`` is 0-based like a file offset (of the uncompressed content).
+
+    Offsets are a two-level prefix sum over record byte lengths; only numbers
+    travel, never text or paths. Within a split the running sum is a narrow,
+    vectorised pass over the scan (a split is read by one task, in order).
+    Across splits, one row per split goes through a small aggregate and a
+    window per file. A byte order mark, which the reader strips, shows in the
+    difference between a plain file's size and its records and is added back.
+    Nothing runs before the result is asked for.
     """
+    split = F.xxhash64("file_path", "file_block_start").alias("split")
     recs = read_records(spark, path, recursive=recursive)
-    length = F.octet_length(page_of(F.col("value")))
-    if skip_leading_fragment:
-        firsts = _leading_fragments(recs).withColumn("_lead", F.lit(True))
-        if len(recs.inputFiles()) <= MAX_BROADCAST_FILES:
-            firsts = F.broadcast(firsts)
-        recs = recs.join(firsts, ORDER_KEY, "left")
-        length = F.when(F.col("_lead").isNull(), length)
-    sizes = recs.select(
-        "file_path", "file_block_start", "seq",
-        # a record is followed by its "<page>" delimiter (6 bytes)
-        (F.octet_length("value") + len(PAGE_OPEN)).cast("long").alias("w"),
-        length.cast("long").alias("length"),
-    )
-    scratch_root(spark)  # makes sure a checkpoint folder is set
-    sizes = sizes.checkpoint(eager=True)
+    at = F.octet_length(F.substring_index("value", PAGE_OPEN, 1))
+    n = F.octet_length("value")
+    sizes = recs.select(split, "seq", (n + len(PAGE_CLOSE)).cast("long").alias("w"),
+                        F.when(F.col("value").contains(PAGE_OPEN), at).cast("long").alias("page_at"),
+                        (n - at + len(PAGE_CLOSE)).cast("long").alias("length"))
+    per_split = (recs.groupBy("file_path", "file_block_start")
+                     .agg(F.sum((n + len(PAGE_CLOSE)).cast("long")).alias("n"), F.first("file_size").alias("file_size")))
     in_file = Window.partitionBy("file_path").orderBy("file_block_start")
-    bases = (sizes.groupBy("file_path", "file_block_start").agg(F.sum("w").alias("split_total"))
-             .select("file_path", "file_block_start",
-                     F.coalesce(F.sum("split_total").over(in_file.rowsBetween(Window.unboundedPreceding, -1)),
-                                F.lit(0)).alias("split_base")))
-    # counting reads only the checkpointed sizes (one small aggregate)
-    if bases.count() <= MAX_BROADCAST_SPLITS:
-        bases = F.broadcast(bases)
-    local = (sizes.sortWithinPartitions("file_path", "file_block_start", "seq")
-             .mapInPandas(_running_offsets, _LOCAL_SCHEMA))
-    return (local.filter(F.col("length").isNotNull())
-            .join(bases, ["file_path", "file_block_start"])
-            .select(
-                *ORDER_KEY,
-                # the page's "<page>" precedes the record
-                (F.col("split_base") + F.col("local_off") - len(PAGE_OPEN)).alias("start_pos"),
-                F.col("length"),
-            ))
+    whole = Window.partitionBy("file_path")
+    # the reader's records add up to the file, with or without a last closing tag
+    missing = F.col("file_size") - F.sum("n").over(whole)
+    plain = ~F.col("file_path").rlike(r"\.(bz2|gz|deflate|zst|lz4|snappy|xz)$")
+    bases = per_split.select(
+        split, "file_path", "file_block_start",
+        (F.coalesce(F.sum("n").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+         + F.when(plain & missing.isin(BOM, BOM - len(PAGE_CLOSE)), F.lit(BOM)).otherwise(F.lit(0))).alias("base"))
+    local = sizes.mapInPandas(_running_offsets, _LOCAL_SCHEMA).where(F.col("page_at").isNotNull())
+    found = (local.join(bases, "split")
+                  .withColumn("start_pos", F.col("base") + F.col("local_off") + F.col("page_at")))
+    # a compressed file's size says nothing about its end: ask the scan
+    ends = F.broadcast(open_ends(spark, path, recursive=recursive).select(F.col("file_path").alias("e_path")))
+    last = Window.partitionBy("file_path").orderBy(F.desc("start_pos"))
+    cut = (found.join(ends, F.col("file_path") == F.col("e_path"))
+                .withColumn("_n", F.row_number().over(last)).where(F.col("_n") > 1).drop("_n", "e_path"))
+    kept = found.join(ends, F.col("file_path") == F.col("e_path"), "left_anti").unionByName(cut)
+    return kept.select(*ORDER_KEY, "start_pos", "length")

@@ -6,7 +6,8 @@ split by the reader, and every micro-batch appends its articles to the
 sink. Per-article jobs (categories, search, ISBNs) compose on the stream
 the same way. The streaming order key is ``(file_path, file_block_start)``
 (no per-row sequence number in streaming). A file must be complete when it
-lands in the folder: a half-written last page would count as dropped.
+lands in the folder: a stream reads records only, so a last page that is not
+closed is taken for a page (the batch scan drops it).
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from scriptorium.operators.articles import articles_from_records
-from scriptorium.sources.dump import PAGE_OPEN, pages_of
+from scriptorium.sources.dump import PAGE_CLOSE, PAGE_OPEN, _after_open, pages_of
 
 
 def stream_pages(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -25,11 +26,11 @@ def stream_pages(spark: SparkSession, folder: str, max_files_per_trigger: int |
 
 
 def _stream_records(spark: SparkSession, folder: str, max_files_per_trigger: int | None) -> DataFrame:
-    reader = spark.readStream.format("text").option("lineSep", PAGE_OPEN)
+    reader = spark.readStream.format("text").option("lineSep", PAGE_CLOSE)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return reader.load(folder).select(
-        "value",
+    return reader.load(folder).where(F.col("value").contains(PAGE_OPEN)).select(
+        F.concat(_after_open(F.col("value")), F.lit(PAGE_CLOSE)).alias("value"),
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("file_block_start"),
     )

@@ -59,3 +59,12 @@ def test_plain_title_text_table(spark):
     assert (r.total_articles, r.max_categories, r.max_cat_article) == (2, 1, "a")
     assert [x.isbn for x in extract_isbns(df, "basic").collect()] == ["3-16-148410-0"]
     assert search_kwic(df, "Kategorie", 1).count() == 2
+
+
+def test_usage_sums_to_the_links(spark):
+    from scriptorium.operators.categories import category_stats, category_usage
+
+    df = spark.createDataFrame([("t", "[[Kategorie:[[Kategorie:X]] [[Kategorie:Y|Z]]"), ("u", "none")], "title string, text string")
+    used = {r.category: r.n for r in category_usage(df).collect()}
+    assert sum(used.values()) == category_stats(df).collect()[0].total_categories == 3
+    assert used["X"] == used["Y"] == 1

@@ -54,8 +54,8 @@ def test_leading_fragment_guard(spark, tmpdir_run):
     # a file that starts in the middle of a page
     body = "<title>X</title><text>inside</text></page>\n" + page("B", "b")
     write_files(tmpdir_run, {"tail.xml": body})
-    assert articles_of(spark, tmpdir_run, skip_leading_fragment=True) == [("B", "b")]
-    idx = page_index(spark, tmpdir_run, skip_leading_fragment=True).collect()
+    assert articles_of(spark, tmpdir_run) == [("B", "b")]
+    idx = page_index(spark, tmpdir_run).collect()
     start = body.encode().find(b"<page>")
     assert [(r.start_pos, r.length) for r in idx] == [(start, len(body.encode()) - start - 1)]
 
@@ -141,19 +141,36 @@ def test_running_offsets_carry_across_batches():
 
     from scriptorium.sources.dump import _running_offsets
 
-    rows = [("a", 0, 1, 10), ("a", 0, 2, 20), ("a", 0, 3, 30), ("a", 64, 9, 5), ("b", 0, 4, 7), ("b", 0, 5, 8)]
-    df = pd.DataFrame(rows, columns=["file_path", "file_block_start", "seq", "w"]).assign(length=1)
+    rows = [(1, 1, 10), (1, 2, 20), (1, 3, 30), (2, 9, 5), (3, 4, 7), (3, 5, 8)]
+    df = pd.DataFrame(rows, columns=["split", "seq", "w"]).assign(page_at=0, length=1)
     for cut in range(0, len(rows) + 1):
         batches = [df.iloc[:cut], df.iloc[cut:]]
         out = pd.concat(list(_running_offsets(iter(batches))))
         assert out["local_off"].tolist() == [0, 10, 30, 0, 0, 7], cut
 
 
-def test_missing_close_tag_mid_file_is_dropped(spark, tmpdir_run):
-    # documented deviation: the reference would run page A on into page B
-    body = "<page><title>A</title><text>a</text> " + page("B", "b")
+def test_missing_close_tag_mid_file(spark, tmpdir_run):
+    # page A runs on to the next closing tag
+    body = "<page><title>A</title><text>a</text> " + page("B", "b") + page("C", "c")
     write_files(tmpdir_run, {"m.xml": body})
-    assert articles_of(spark, tmpdir_run) == [("B", "b")]
+    assert articles_of(spark, tmpdir_run) == [("A", "a"), ("C", "c")]
+
+
+def test_ends_of_files(spark, tmpdir_run):
+    whole = page("A", "a").strip()
+    files = {"exact.xml": whole,                                   # ends at </page>
+             "cut.xml": whole + "<page><title>B</title><text>b</text>",     # ends inside a page
+             "same.xml": whole + "\n" + whole[:-len("</page>")],           # an open end equal to a page
+             "bom.xml": b"\xef\xbb\xbf" + ("<m>" + whole + "\n</m>").encode(),
+             "none.xml": "<mediawiki></mediawiki>", "empty.xml": ""}
+    write_files(tmpdir_run, files)
+    assert articles_of(spark, tmpdir_run) == [("A", "a")] * 4
+    got = {}
+    for r in page_index(spark, tmpdir_run).collect():
+        got.setdefault(r.file_path.rsplit("/", 1)[1], []).append((r.start_pos, r.length))
+    for name, data in files.items():
+        data = data if isinstance(data, bytes) else data.encode()
+        assert got.get(name, []) == [(s, len(p)) for s, p in brute.split_pages(data)], name
 
 
 def test_malformed_pages_against_brute_force(spark, tmpdir_run):
@@ -170,15 +187,13 @@ def test_malformed_pages_against_brute_force(spark, tmpdir_run):
         pages_.append("<page>" + body + ("</page>\n" if rng.random() < 0.9 else "\n"))
     data = ("<mediawiki>\n" + "".join(pages_) + "</mediawiki>\n").encode("utf-8")
     write_files(tmpdir_run, {"r.xml": data})
-    # expected: the reference's extraction rule on each <page> record's page (a page
-    # running on past the next <page> is the documented deviation, so the split is
-    # the record split)
     got_rows = articles_of(spark, tmpdir_run)
-    recs = data.split(b"<page>")[1:]
-    expected = []
-    for r in recs:
-        if b"</page>" in r:
-            a = brute.extract(b"<page>" + r[:r.index(b"</page>") + 7])
-            if a:
-                expected.append((a[0].decode(), a[1].decode()))
-    assert got_rows == expected
+    expected = [brute.extract(p) for _, p in brute.split_pages(data)]
+    assert got_rows == [(t.decode(), x.decode()) for t, x in (a for a in expected if a)]
+
+
+def test_text_tag_length(spark, tmpdir_run):
+    # start tags around the 512 bytes that the fast path looks through
+    pages_ = "".join(f"<page><title>T{n}</title><text a='{'y' * n}'>x{n}</text></page>\n" for n in range(490, 530))
+    write_files(tmpdir_run, {"t.xml": pages_})
+    assert articles_of(spark, tmpdir_run) == [(f"T{n}", f"x{n}") for n in range(490, 530)]

@@ -90,3 +90,21 @@ def test_random_terms_over_small_alphabet(spark):
         for i, t in enumerate(texts):
             exp = [(p + 1, t[max(0, p - 2):p + len(term) + 2]) for p in brute.hits(t, term)]
             assert got.get(i, []) == exp, (term, t)
+
+
+def test_bytes_that_are_not_utf8(spark):
+    raw = b"ab\xff\xffcd erer tail \xc3erer"
+    df = spark.createDataFrame([("t", raw, "f", 0, 0)], "title string, text binary, file_path string, file_block_start long, seq long")
+    df = df.selectExpr("title", "cast(text AS string) AS text", "file_path", "file_block_start", "seq")
+    got = [(r.match_pos, r.context) for r in search_kwic(df, "erer", 2, "bytes").orderBy("match_no").collect()]
+    assert got == [(8, raw[5:13]), (19, raw[16:])]
+    with pytest.raises(Exception, match="INVALID_UTF8_STRING"):
+        search_kwic(df, "erer", 2).collect()
+
+
+def test_many_hits_in_groups(spark):
+    text = "aab" * 700
+    for unit in ("chars", "bytes"):
+        got = _hits(spark, [text], "a", 5, unit)[0]
+        exp = [(j + 1, p + 1, text[max(0, p - 5):p + 6]) for j, p in enumerate(brute.hits(text, "a"))]
+        assert [(a, b, c if unit == "chars" else bytes(c).decode()) for a, b, c in got] == exp
