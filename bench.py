@@ -1,18 +1,19 @@
 """Benchmark: the reference's three per-article jobs (and the two reports)
 over a MediaWiki dump derived from ``$BENCH_SF_DIR``, on ``local[$BENCH_CPUS]``.
 
-Every timed run is the whole job, dump scan included: read the XML, split
-pages, extract title and text, run the job, and consume every result row
-with Spark's ``noop`` sink (no collect to the driver). Writing the input
-dump is set-up and not timed. One cold pass over all jobs, then per job one
-more warm run and the median of 3 timed runs. Prints one JSON line.
+The dump holds ``$BENCH_ARTICLES`` articles (default one million): the
+documents of the table, repeated under distinct ids. Every timed run is the
+whole job, dump scan included: read the XML, split pages, extract title and
+text, run the job, and consume every result row with Spark's ``noop`` sink (no
+collect to the driver). Writing the dump is set-up and not timed. All jobs run
+on the small dump of the table first (code compilation), then once on the
+large one, timed. Prints one JSON line.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import statistics
 import sys
 import time
 
@@ -27,9 +28,8 @@ from scriptorium.operators.categories import category_stats, category_usage  # n
 from scriptorium.operators.isbn import extract_isbns  # noqa: E402
 from scriptorium.operators.search import search_kwic  # noqa: E402
 from scriptorium.plans.catalog import report_lines  # noqa: E402
-from scriptorium.plans.fixtures import fixture_dump  # noqa: E402
+from scriptorium.plans.fixtures import fixture_dump, wikitext, write_dump  # noqa: E402
 from scriptorium.session import build_session, scratch_root  # noqa: E402
-from scriptorium.sources.articles_table import read_articles_table, write_articles  # noqa: E402
 from scriptorium.sources.dump import page_index  # noqa: E402
 
 SEARCH_TERM = "erer"
@@ -48,14 +48,15 @@ def consume(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def timed(fn, runs: int = 3) -> float:
-    fn()  # warm run: codegen cache, Python workers
-    samples = []
-    for _ in range(runs):
-        t0 = time.perf_counter()
-        fn()
-        samples.append(time.perf_counter() - t0)
-    return statistics.median(samples)
+def repeated(spark, sf_dir: str, articles: int, path: str) -> int:
+    """Dump of ``articles`` articles at ``path``: the table's wikitext under new ids and titles."""
+    wt = wikitext(spark, sf_dir).select("doc_id", "title", "text")
+    n = wt.count()
+    times = max(1, -(-articles // n))
+    wt = wt.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).select(
+        (F.col("k") * n + F.col("doc_id")).alias("doc_id"), F.concat("title", F.lit(" "), F.col("k")).alias("title"), "text")
+    write_dump(wt, path, pages_per_file=25_000)
+    return n * times
 
 
 def main() -> None:
@@ -63,70 +64,46 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus),
                           extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
-    dump = fixture_dump(spark, sf_dir)
-    scratch = scratch_root(spark)
-
-    def arts() -> DataFrame:
-        return read_articles(spark, dump)
+    small = fixture_dump(spark, sf_dir)
+    large = f"{scratch_root(spark)}/scriptorium/bench_dump"
+    n_articles = repeated(spark, sf_dir, int(os.environ.get("BENCH_ARTICLES", "1000000")), large)
+    size = sum(os.path.getsize(f.removeprefix("file:").replace("///", "/")) for f in spark.read.text(large).inputFiles())
+    lines = report_lines(spark, sf_dir)
 
-    n_articles = arts().count()
-    parquet = f"{scratch}/scriptorium/bench_articles/{os.path.basename(dump)}"
-    write_articles(arts(), parquet)
-    report_lines(spark, sf_dir)  # writes the ISBN line file once
+    def reports_of(df: DataFrame) -> None:
+        consume(reports.isbn_stats(df))
+        consume(reports.isbn_top_articles(df, 10))
+        consume(reports.isbn_format_distribution(df))
 
     jobs = {
-        "scan_extract": lambda: consume(arts().select(F.octet_length("text").alias("n"))),
-        "category_stats": lambda: consume(category_stats(arts())),
-        "category_stats_parquet": lambda: consume(category_stats(read_articles_table(spark, parquet))),
-        "category_usage": lambda: consume(category_usage(arts())),
-        "search_kwic": lambda: consume(search_kwic(arts(), SEARCH_TERM, SEARCH_CONTEXT)),
-        "search_kwic_bytes": lambda: consume(search_kwic(arts(), SEARCH_TERM, SEARCH_CONTEXT, unit="bytes")),
-        "isbn_basic": lambda: consume(extract_isbns(arts(), "basic")),
-        "isbn_extended": lambda: consume(extract_isbns(arts(), "extended")),
-        "page_index": lambda: consume(page_index(spark, dump)),
-        "isbn_report": lambda: (consume(reports.isbn_stats(report_lines(spark, sf_dir))),
-                                consume(reports.isbn_top_articles(report_lines(spark, sf_dir), 10)),
-                                consume(reports.isbn_format_distribution(report_lines(spark, sf_dir)))),
+        "scan_extract": lambda d: consume(read_articles(spark, d).select(F.octet_length("text").alias("n"))),
+        "category_stats": lambda d: consume(category_stats(read_articles(spark, d))),
+        "category_usage": lambda d: consume(category_usage(read_articles(spark, d))),
+        "search_kwic": lambda d: consume(search_kwic(read_articles(spark, d), SEARCH_TERM, SEARCH_CONTEXT)),
+        "search_kwic_bytes": lambda d: consume(search_kwic(read_articles(spark, d), SEARCH_TERM, SEARCH_CONTEXT, unit="bytes")),
+        "isbn_basic": lambda d: consume(extract_isbns(read_articles(spark, d), "basic")),
+        "isbn_extended": lambda d: consume(extract_isbns(read_articles(spark, d), "extended")),
+        "page_index": lambda d: consume(page_index(spark, d)),
+        "isbn_report": lambda d: reports_of(lines),
     }
-    for fn in jobs.values():  # one cold pass over every job first: the JIT warms up on all paths
-        fn()
-    results = {name: round(timed(fn), 3) for name, fn in jobs.items()}
+    for fn in jobs.values():
+        fn(small)
+    results = {}
+    for name, fn in jobs.items():
+        t0 = time.perf_counter()
+        fn(large)
+        results[name] = round(time.perf_counter() - t0, 3)
     headline = ["category_stats", "search_kwic", "isbn_basic", "isbn_extended"]
-    total = round(sum(results[k] for k in headline), 3)
-    rates = {f"{k}_articles_per_s": round(n_articles / results[k]) for k in headline + ["scan_extract"]}
-    # result sizes (counted once, untimed): hits/s and ISBNs/s as BASELINE asks
-    n_hits = search_kwic(arts(), SEARCH_TERM, SEARCH_CONTEXT).count()
-    n_basic = extract_isbns(arts(), "basic").count()
-    n_ext = extract_isbns(arts(), "extended").count()
-    rates.update({"search_hits": n_hits, "search_hits_per_s": round(n_hits / results["search_kwic"]),
-                  "isbns_basic": n_basic, "isbns_basic_per_s": round(n_basic / results["isbn_basic"]),
-                  "isbns_extended": n_ext, "isbns_extended_per_s": round(n_ext / results["isbn_extended"])})
-
-    # Marginal rate against a 10x smaller input: removes the fixed per-job
-    # cost (scheduling, planning), i.e. the rate the jobs scale at.
-    small_dir = os.environ.get("BENCH_SMALL_SF_DIR", os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.01"))
-    if os.path.isdir(small_dir) and os.path.abspath(small_dir) != os.path.abspath(sf_dir):
-        small_dump = fixture_dump(spark, small_dir)
-        n_small = read_articles(spark, small_dump).count()
-        small_jobs = {
-            "scan_extract": lambda: consume(read_articles(spark, small_dump).select(F.octet_length("text").alias("n"))),
-            "category_stats": lambda: consume(category_stats(read_articles(spark, small_dump))),
-            "search_kwic": lambda: consume(search_kwic(read_articles(spark, small_dump), SEARCH_TERM, SEARCH_CONTEXT)),
-            "isbn_basic": lambda: consume(extract_isbns(read_articles(spark, small_dump), "basic")),
-            "isbn_extended": lambda: consume(extract_isbns(read_articles(spark, small_dump), "extended")),
-        }
-        for k, fn in small_jobs.items():
-            # a difference of two short timings: more runs against noise
-            t_small, t_big = timed(fn, runs=5), timed(jobs[k], runs=5)
-            dt = t_big - t_small
-            rates[f"{k}_marginal_articles_per_s"] = round((n_articles - n_small) / dt) if dt > 0 else None
+    rates = {f"{k}_articles_per_s": round(n_articles / results[k]) for k in [*headline, "search_kwic_bytes", "scan_extract", "page_index"]}
     print(json.dumps({
         "metric": "dump_jobs_total_sec",
-        "value": total,
+        "value": round(sum(results[k] for k in headline), 3),
         "unit": "sec",
         "queries": results,
         "sf": _sf_value(sf_dir),
         "articles": n_articles,
+        "dump_mb": round(size / 1e6),
+        "scan_mb_per_s": round(size / 1e6 / results["scan_extract"]),
         "cpus": int(cpus),
         "headline": headline,
         **rates,

@@ -51,8 +51,9 @@ TEXT_TAG_WINDOW = 512
 
 def _article_columns(df: DataFrame, col: str) -> tuple[DataFrame, F.Column]:
     """Helper columns and the ``found`` struct (title, text; null = no
-    article) for every page in ``col`` (a page string or a raw record whose
-    page ends at its first ``</page>``). ``_lp >= 0`` marks a page.
+    article) for every page in ``col``: a page string that ends at its first
+    ``</page>``, or (``value``) a record that holds no ``</page>``, whose end
+    is the page's end. ``_lp >= 0`` marks a page.
 
     Fast path, in byte offsets: the page end and the text end are found from
     the back (``substring_index(.., -1)``; they sit at the end of a page), the
@@ -66,6 +67,13 @@ def _article_columns(df: DataFrame, col: str) -> tuple[DataFrame, F.Column]:
     """
     v = col
     n = len
+    record = col == "value"
+    page_end = "_n" if record else f"_n - octet_length(substring_index({v}, '{PAGE_CLOSE}', -1)) - {n(PAGE_CLOSE)}"
+    no_close = "" if record else (
+        f"AND NOT contains(_ftext, '{PAGE_CLOSE}') "
+        f"AND NOT contains(cast(substring(_bin, 1, _gt + 1) AS string), '{PAGE_CLOSE}') "
+        f"AND NOT contains(cast(substring(_bin, _lx + 1, _lp - _lx) AS string), '{PAGE_CLOSE}')")
+    before_end = "true" if record else f"coalesce(_xxe < nullif(instr({v}, '{PAGE_CLOSE}'), 0), false)"
     # One projection list with lateral column aliases (each expression may
     # name the ones before it): analysed once, where a withColumn chain would
     # re-analyse the plan per column.
@@ -73,7 +81,7 @@ def _article_columns(df: DataFrame, col: str) -> tuple[DataFrame, F.Column]:
         ("_n", f"octet_length({v})"),
         # last </page> and last </text> (backward byte search), first <title>,
         # </title>, <text (forward byte search), all as 0-based byte offsets
-        ("_lp", f"_n - octet_length(substring_index({v}, '{PAGE_CLOSE}', -1)) - {n(PAGE_CLOSE)}"),
+        ("_lp", page_end),
         ("_lx", f"_n - octet_length(substring_index({v}, '{TEXT_CLOSE}', -1)) - {n(TEXT_CLOSE)}"),
         ("_ts", f"octet_length(substring_index({v}, '{TITLE_OPEN}', 1))"),
         ("_te", f"octet_length(substring_index({v}, '{TITLE_CLOSE}', 1))"),
@@ -88,16 +96,14 @@ def _article_columns(df: DataFrame, col: str) -> tuple[DataFrame, F.Column]:
         # head, the text and the tail) and the text holds no </text>
         ("_fast", f"coalesce(_lp >= 0 AND _ts < _te AND _te < _tt AND _tt < _lp AND _wl < octet_length(_w) "
                   f"AND _lx + {n(TEXT_CLOSE)} <= _lp "
-                  f"AND NOT contains(_ftext, '{TEXT_CLOSE}') AND NOT contains(_ftext, '{PAGE_CLOSE}') "
-                  f"AND NOT contains(cast(substring(_bin, 1, _gt + 1) AS string), '{PAGE_CLOSE}') "
-                  f"AND NOT contains(cast(substring(_bin, _lx + 1, _lp - _lx) AS string), '{PAGE_CLOSE}'), false)"),
+                  f"AND NOT contains(_ftext, '{TEXT_CLOSE}') {no_close}, false)"),
         # exact rule (1-based characters); locate() with a null start is 0
         ("_xts", f"if(_fast, null, nullif(instr({v}, '{TITLE_OPEN}'), 0))"),
         ("_xte", f"nullif(locate('{TITLE_CLOSE}', {v}, _xts + {n(TITLE_OPEN)}), 0)"),
         ("_xtt", f"nullif(locate('{TEXT_OPEN}', {v}, _xte), 0)"),
         ("_xgt", f"nullif(locate('>', {v}, _xtt), 0)"),
         ("_xxe", f"nullif(locate('{TEXT_CLOSE}', {v}, _xgt + 1), 0)"),
-        ("_xok", f"if(_xxe IS NULL, false, coalesce(_xxe < nullif(instr({v}, '{PAGE_CLOSE}'), 0), false))"),
+        ("_xok", f"if(_xxe IS NULL, false, {before_end})"),
     ]
     x = df.selectExpr("*", *[f"{e} AS {k}" for k, e in cols])
     found = F.expr(
@@ -126,16 +132,14 @@ def extract_articles(pages: DataFrame) -> DataFrame:
 
 
 def articles_from_records(records: DataFrame) -> DataFrame:
-    """P1 + F1 on raw records (``value``: the text after a ``<page>`` tag),
-    batch or streaming; the page ends at the record's first ``</page>``."""
+    """P1 + F1 on raw records (``value``: what stands between the page tags),
+    batch or streaming."""
     return _articles(records, "value")
 
 
 def read_articles(spark: SparkSession, path: str | list[str], *, recursive: bool = True) -> DataFrame:
     """S1 + P1 + F1 in one pass: ``extract_articles(read_pages(...))`` without
-    materialising the page string (the tags are located in the raw record and
-    checked against its first ``</page>``). Same rows, fewer passes over the
-    text."""
+    materialising the page string. Same rows, fewer passes over the text."""
     recs = page_records(spark, path, recursive=recursive)
     return _articles(recs, "value")
 

@@ -72,8 +72,9 @@ def open_ends(spark: SparkSession, path: str | list[str], *, recursive: bool = T
     """``file_path, size, hash`` of what follows the last ``<page>`` in each
     file that ends inside a page: one short row per damaged file."""
     recs = read_records(spark, path, recursive=recursive, separator=PAGE_OPEN)
-    last = F.max_by(F.struct(F.octet_length("value").alias("size"), F.xxhash64("value").alias("hash"),
-                             F.col("value").contains(PAGE_CLOSE).alias("closed")), F.struct("file_block_start", "seq"))
+    closed = F.col("value").contains(PAGE_CLOSE)
+    last = F.max_by(F.struct(F.octet_length("value").alias("size"), F.when(~closed, F.xxhash64("value")).alias("hash"),
+                             closed.alias("closed")), F.struct("file_block_start", "seq"))
     return (recs.groupBy("file_path").agg(last.alias("last")).where(~F.col("last.closed"))
                 .select("file_path", F.col("last.size").alias("size"), F.col("last.hash").alias("hash")))
 
@@ -99,37 +100,14 @@ def closed_records(spark: SparkSession, path: str | list[str], *, recursive: boo
 
 
 def page_records(spark: SparkSession, path: str | list[str], *, recursive: bool = True) -> DataFrame:
-    """One row per page: ``value``, the page without its opening tag (it ends
-    with the first and only ``</page>``), and the order key."""
+    """One row per page: ``value``, what stands between its tags, and the order key."""
     recs = closed_records(spark, path, recursive=recursive)
-    return recs.select(F.concat(_after_open(F.col("value")), F.lit(PAGE_CLOSE)).alias("value"), *ORDER_KEY)
-
-
-def page_of(value: Column) -> Column:
-    """The page of a record (null if it holds none).
-
-    A page ends at the record's first ``</page>``. In a dump that is the only
-    one, at the end of the record: it is found by a byte search from the back
-    and confirmed by a byte-level ``contains`` on the part before it; only
-    records with several ``</page>`` search from the front by characters.
-    """
-    n = len(PAGE_CLOSE)
-    last = F.octet_length(value) - F.octet_length(F.substring_index(value, PAGE_CLOSE, -1)) - n
-    body = F.when(last >= 0, value.cast("binary").substr(F.lit(1), last).cast("string"))
-    exact = F.when(F.instr(value, PAGE_CLOSE) > 0,
-                   value.substr(F.lit(1), F.instr(value, PAGE_CLOSE) - 1))
-    inner = F.when(~body.contains(PAGE_CLOSE), body).otherwise(exact)
-    return F.concat(F.lit(PAGE_OPEN), inner, F.lit(PAGE_CLOSE))
+    return recs.select(_after_open(F.col("value")).alias("value"), *ORDER_KEY)
 
 
 def pages_of(records: DataFrame) -> DataFrame:
-    """Records -> (``page`` and the order key), records without a page
-    dropped behind a generate barrier (a plain filter would be pushed below
-    the projection and evaluate the page twice)."""
-    keep = [c for c in ORDER_KEY if c in records.columns]
-    return (records.select(*keep, F.explode_outer(F.array(page_of(F.col("value")))).alias("page"))
-            .filter(F.col("page").isNotNull())
-            .select("page", *keep))
+    """``page_records`` as whole pages: ``page`` and the order key."""
+    return records.select(F.concat(F.lit(PAGE_OPEN), F.col("value"), F.lit(PAGE_CLOSE)).alias("page"), *order_cols(records))
 
 
 def read_pages(spark: SparkSession, path: str | list[str], *, recursive: bool = True) -> DataFrame:
@@ -138,8 +116,7 @@ def read_pages(spark: SparkSession, path: str | list[str], *, recursive: bool =
     Columns: ``page`` (from ``<page>`` to ``</page>`` inclusive) and the order
     key ``file_path, file_block_start, seq``.
     """
-    recs = page_records(spark, path, recursive=recursive)
-    return recs.select(F.concat(F.lit(PAGE_OPEN), F.col("value")).alias("page"), *ORDER_KEY)
+    return pages_of(page_records(spark, path, recursive=recursive))
 
 
 BOM = 3  # bytes of a UTF-8 byte order mark, which the reader strips

@@ -30,7 +30,7 @@ def _stream_records(spark: SparkSession, folder: str, max_files_per_trigger: int
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return reader.load(folder).where(F.col("value").contains(PAGE_OPEN)).select(
-        F.concat(_after_open(F.col("value")), F.lit(PAGE_CLOSE)).alias("value"),
+        _after_open(F.col("value")).alias("value"),
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("file_block_start"),
     )
