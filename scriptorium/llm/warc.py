@@ -119,11 +119,12 @@ def write_warc(chunks: DataFrame, folder: str, level: int = 3) -> int:
     ``chunk_table`` makes them) to ``folder``, one archive per task; returns
     the number of records. One job over ``chunks``."""
     bounded_batches(chunks.sparkSession, rows=64, mb=16)
+    fs, base = _open(folder)
+    fs.create_dir(base, recursive=True)  # also there when no record is
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ctx = TaskContext.get()
         fs, base = _open(folder)
-        fs.create_dir(base, recursive=True)
         tmp = f"{base}/.{ctx.partitionId():06d}-{ctx.taskAttemptId()}-{uuid.uuid4().hex}.tmp"
         n, gz, out = 0, None, None
         for batch in batches:
