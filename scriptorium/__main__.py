@@ -58,6 +58,7 @@ def _extract(spark, a) -> None:
     _rate(f"{n} ISBNs in {a.out}", obs, time.time() - t0)
 
 
+# The labels of the two report scripts, here and in _filter.
 def _stats(spark, a) -> None:
     lines = read_isbn_lines(spark, a.file)
     s = reports.isbn_stats(lines).collect()[0]

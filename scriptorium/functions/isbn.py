@@ -108,53 +108,6 @@ def format_ok(isbn: Column, dialect: str) -> Column:
     return basic_format_ok(isbn) if _dialect(dialect) == "basic" else extended_format_ok(isbn)
 
 
-def _digit(digits: Column, i: int) -> Column:
-    """Value of the i-th (1-based) character of a digit string, 0 past its end."""
-    return F.when(F.length(digits) >= i, F.ascii(F.substring(digits, i, 1)) - 48).otherwise(F.lit(0))
-
-
-def isbn10_check(isbn: Column, dg: Column | None = None) -> Column:
-    """(11 - sum(d_i * (11 - i), i = 1..9) mod 11) mod 11; 10 means X.
-    ``dg``: the value's digits, if already computed."""
-    dg = isbn_digits(isbn) if dg is None else dg
-    total = sum((_digit(dg, i) * (11 - i) for i in range(1, 10)), F.lit(0))
-    return (F.lit(11) - total % 11) % 11
-
-
-def head_digits(isbn: Column) -> Column:
-    """Digits of all characters but the last (the ISBN-13 check input)."""
-    return isbn_digits(F.substring(isbn, F.lit(1), F.greatest(F.length(isbn) - 1, F.lit(0))))
-
-
-def isbn13_check(isbn: Column, dgl: Column | None = None) -> Column:
-    """Weights 1, 3, 1, ... over the digits of all characters but the
-    last; (10 - sum mod 10) mod 10. A trailing non-digit therefore lets the
-    13th digit into the sum (reference behaviour). ``dgl``: those digits, if
-    already computed."""
-    dgl = head_digits(isbn) if dgl is None else dgl
-    total = sum((_digit(dgl, i) * (1 if i % 2 == 1 else 3) for i in range(1, 14)), F.lit(0))
-    return (F.lit(10) - total % 10) % 10
-
-
-def checksum_valid(isbn: Column, dg: Column | None = None, dgl: Column | None = None) -> Column:
-    """Checksum verdict of a value that passed F3 (null otherwise).
-
-    ISBN-10 (10 digits, or 9 and a final X/x): the check value is 10 for a
-    final X, else the last digit. ISBN-13: never valid with a final X.
-    Pass ``dg``/``dgl`` (``isbn_digits``/``head_digits`` as columns) to
-    compute the digit strings once per value.
-    """
-    dg = isbn_digits(isbn) if dg is None else dg
-    n = F.length(dg)
-    x = _ends_with_x(isbn)
-    last = F.ascii(F.right(dg, F.lit(1))) - 48
-    return (F.when(~_length_ok(isbn), F.lit(None).cast("boolean"))
-            .when((n == 10) | ((n == 9) & x),
-                  isbn10_check(isbn, dg) == F.when(x, F.lit(10)).otherwise(last))
-            .when(n == 13, ~x & (isbn13_check(isbn, dgl) == last))
-            .otherwise(F.lit(None).cast("boolean")))
-
-
 def _digit_sum_sql(col: str, weights: list[int]) -> str:
     width = len(weights)
     return " + ".join(f"(({col} div {10 ** (width - 1 - k)}) % 10) * {w}" for k, w in enumerate(weights))
@@ -164,9 +117,15 @@ def checksum_steps(isbn: str = "isbn", out: str = "checksum_valid") -> list[str]
     """X7-X9 as a chain of small SQL columns (lateral aliases), for
     ``DataFrame.selectExpr``: the digit strings once, the leading 9 / 13
     digits as one long, weighted digit sums by integer division, then the
-    verdict in ``out``. Same result as ``checksum_valid``, but each step is
-    small generated code (one large expression is several times slower).
-    Helper columns start with ``_ck``."""
+    verdict in ``out``. Each step is small generated code (one large
+    expression is several times slower).
+
+    ISBN-10 (10 digits, or 9 and a final X/x): (11 - sum of d_i * (11 - i) over
+    the first nine digits, mod 11) mod 11 must be the last digit, or 10 for a
+    final X. ISBN-13: (10 - sum of the digits of all characters but the last,
+    weighted 1, 3, 1, ..., mod 10) mod 10 must be the last digit; never valid
+    with a final X. A trailing non-digit lets the 13th digit into the sum
+    (reference behaviour). Helper columns start with ``_ck``."""
     w10 = [11 - i for i in range(1, 10)]
     w13 = [1 if i % 2 == 0 else 3 for i in range(13)]
     return [

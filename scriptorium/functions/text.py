@@ -50,11 +50,6 @@ def smallest_period(term: str) -> int:
     return next(p for p in range(1, n + 1) if term[p:] == term[:n - p])
 
 
-def self_overlaps(term: str) -> bool:
-    """True when two occurrences of ``term`` can overlap ("erer")."""
-    return smallest_period(term) < len(term)
-
-
 def split_at_hits(text: Column, term: str) -> Column:
     """``text`` cut at every occurrence of ``term``, overlapping ones
     included; k hits give k + 1 pieces, and hit i starts after pieces

@@ -48,7 +48,7 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "sources/isbn_file.py")
     path = f"{scratch_root(spark)}/scriptorium/isbn_lines/{hashlib.sha1((dump + code).encode()).hexdigest()[:16]}"
     if not _exists(spark, path + "/_SUCCESS"):
-        write_isbn_lines(extract_isbns(read_articles(spark, dump), "extended"), path)
+        write_isbn_lines(extract_isbns(read_articles(spark, dump), "extended"), path, ordered=True)
     return read_isbn_lines(spark, path)
 
 

@@ -83,12 +83,20 @@ def wikitext(spark: SparkSession, sf_dir: str, grouped_titles: bool = False) ->
     return spark.sql(wikitext_sql(view, grouped_titles))
 
 
-def write_dump(wt: DataFrame, path: str, pages_per_file: int = PAGES_PER_FILE) -> str:
+# Every DROPPED_EVERY-th document is followed by two pages that yield no
+# article: one without a title and one whose text element is self-closing.
+DROPPED_EVERY = 50
+DROPPED_PAGES = ("  <page><ns>0</ns><revision><text>no title</text></revision></page>",
+                 "  <page><title>Dropped</title><revision><text bytes=\"0\" /></revision></page>")
+
+
+def write_dump(wt: DataFrame, path: str, pages_per_file: int = PAGES_PER_FILE, dropped: bool = False) -> str:
     """Write ``wt`` (doc_id, title, text) as a MediaWiki XML dump.
 
     One file per ``pages_per_file`` consecutive doc_ids, pages in doc_id
-    order, each file with header and footer. Files are named by their first
-    page, so path order is page order.
+    order, each file with header and footer, with ``dropped`` also pages that
+    yield no article. Files are named by their first page, so path order is
+    page order.
     """
     part = F.lpad((F.col("doc_id") / F.lit(pages_per_file)).cast("long").cast("string"), 8, "0")
     pages = wt.select(part.alias("part"), F.col("doc_id").cast("double").alias("k"),
@@ -96,6 +104,10 @@ def write_dump(wt: DataFrame, path: str, pages_per_file: int = PAGES_PER_FILE) -
     parts = pages.select("part").distinct()
     edges = (parts.select("part", F.lit(float("-inf")).alias("k"), F.lit(DUMP_HEADER).alias("value"))
              .unionByName(parts.select("part", F.lit(float("inf")).alias("k"), F.lit(DUMP_FOOTER).alias("value"))))
+    if dropped:
+        more = F.explode(F.array(*[F.struct(F.lit((i + 1) / 4).alias("d"), F.lit(x).alias("x")) for i, x in enumerate(DROPPED_PAGES)]))
+        edges = edges.unionByName(wt.where(F.col("doc_id") % DROPPED_EVERY == 0).select("doc_id", part.alias("part"), more.alias("m"))
+                                    .select("part", (F.col("doc_id") + F.col("m.d")).alias("k"), F.col("m.x").alias("value")))
     (pages.unionByName(edges)
         .repartition("part")
         .sortWithinPartitions("part", "k")
@@ -115,27 +127,31 @@ def code_tag(*modules: str) -> str:
     return h.hexdigest()[:12]
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of ``path`` and the path in it."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists; an error of the file system is an error here."""
+    fs, hpath = _file_system(spark, path)
+    return bool(fs.exists(hpath))
+
+
+def _stamp(spark: SparkSession, path: str) -> str:
+    """Qualified path, size and newest change of a file or folder."""
+    fs, hpath = _file_system(spark, path)
+    newest = max([fs.getFileStatus(hpath).getModificationTime(), *[f.getModificationTime() for f in fs.listStatus(hpath)]])
+    return f"{fs.makeQualified(hpath)}|{fs.getContentSummary(hpath).getLength()}|{newest}"
+
+
 def fixture_dump(spark: SparkSession, sf_dir: str, grouped_titles: bool = False) -> str:
     """Path of the fixture dump for ``sf_dir`` in the shared scratch folder,
     written once per scratch folder, input version and writer code."""
-    src = os.path.join(sf_dir, "documents.parquet")
-    st = os.stat(src) if os.path.exists(src) else None
-    tag = (f"{os.path.abspath(sf_dir)}|{grouped_titles}|{st.st_size if st else 0}|{st.st_mtime_ns if st else 0}|"
-           f"{code_tag('plans/fixtures.py')}")
+    tag = f"{_stamp(spark, sf_dir.rstrip('/') + '/documents.parquet')}|{grouped_titles}|{code_tag('plans/fixtures.py')}"
     key = hashlib.sha1(tag.encode()).hexdigest()[:16]
     path = f"{scratch_root(spark)}/scriptorium/dumps/{key}"
     if not _exists(spark, path + "/_SUCCESS"):
-        write_dump(wikitext(spark, sf_dir, grouped_titles), path)
+        write_dump(wikitext(spark, sf_dir, grouped_titles), path, dropped=True)
     return path
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether ``path`` exists on the session's file system (Hadoop API);
-    a plain local check where no JVM gateway is at hand."""
-    try:
-        jvm = spark.sparkContext._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(path)
-        fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        return bool(fs.exists(hpath))
-    except Exception:  # no py4j gateway (e.g. a remote client session)
-        return os.path.exists(path[len("file:"):] if path.startswith("file:") else path)

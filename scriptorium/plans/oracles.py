@@ -10,7 +10,7 @@ own string search, and page offsets add up the written line lengths.
 from __future__ import annotations
 
 from scriptorium.plans import catalog
-from scriptorium.plans.fixtures import DUMP_HEADER, PAGES_PER_FILE, page_xml_sql, wikitext_sql
+from scriptorium.plans.fixtures import DROPPED_EVERY, DROPPED_PAGES, DUMP_HEADER, PAGES_PER_FILE, page_xml_sql, wikitext_sql
 
 
 def _fx(grouped: bool = False) -> str:
@@ -58,12 +58,17 @@ def _sql() -> dict[str, str]:
     page = page_xml_sql(nbytes="strlen")
     hlen = len(DUMP_HEADER.encode("utf-8"))
     with_cats = "count(*) FILTER (WHERE doc_id % 4 > 0)"
+    # the written lines of all pages, those that yield no article included
+    lines = (f"pagelines AS (SELECT doc_id, 0 AS d, {page} AS line FROM fx" + "".join(
+        f" UNION ALL SELECT doc_id, {i + 1}, '{x}' FROM fx WHERE doc_id % {DROPPED_EVERY} = 0"
+        for i, x in enumerate(DROPPED_PAGES)) + ")")
+    # Fixed value: the reports' ISBN-13 line pattern.
     is13 = r"regexp_matches(value, '\|97[89][-0-9]{10,14}$')"
     return {
-        "dump_scan": f"WITH {_fx()} SELECT substr({page}, 3) AS page FROM fx",
+        "dump_scan": f"WITH {_fx()}, {lines} SELECT substr(line, 3) AS page FROM pagelines",
         "page_index": (
-            f"WITH {_fx()}, l AS (SELECT doc_id, doc_id // {PAGES_PER_FILE} AS part, strlen({page}) AS n FROM fx) "
-            f"SELECT CAST({hlen} + 1 + coalesce(sum(n + 1) OVER (PARTITION BY part ORDER BY doc_id "
+            f"WITH {_fx()}, {lines}, l AS (SELECT doc_id, d, doc_id // {PAGES_PER_FILE} AS part, strlen(line) AS n FROM pagelines) "
+            f"SELECT CAST({hlen} + 1 + coalesce(sum(n + 1) OVER (PARTITION BY part ORDER BY doc_id, d "
             f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 2 AS BIGINT) AS start_pos, "
             f"CAST(n - 2 AS BIGINT) AS length FROM l"),
         "article_extract": f"WITH {_fx()} SELECT title, text FROM fx",
@@ -71,7 +76,8 @@ def _sql() -> dict[str, str]:
             "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages "
             "WHERE regexp_matches(html, '(?s)<title>.*?</title>')"),
         "scan_counters": (
-            f"WITH {_fx()} SELECT count(*) AS pages_found, count(*) AS articles, "
+            f"WITH {_fx()} SELECT count(*) + {len(DROPPED_PAGES)} * count(*) FILTER (WHERE doc_id % {DROPPED_EVERY} = 0) "
+            f"AS pages_found, count(*) AS articles, "
             f"count(*) FILTER (WHERE {_EXT_WHERE}) AS isbns FROM fx"),
         "category_counts": f"WITH {_fx()} SELECT title, CAST(doc_id % 4 AS BIGINT) AS n FROM fx",
         "category_stats": (

@@ -3,6 +3,7 @@
 import duckdb
 
 import __spark_entry__ as E
+from scriptorium.plans.catalog import QUERIES
 from scriptorium.plans.fixtures import fixture_dump
 from scriptorium.sources.dump import read_pages
 from scriptorium.operators.articles import extract_articles
@@ -24,8 +25,7 @@ def test_oracles_small(spark):
     con = duckdb.connect()
     for t in ("documents", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
-    for name in ("category_stats", "isbn_extract_basic", "isbn_extract_extended", "search_kwic",
-                 "page_index", "isbn_top_articles", "per_article"):
+    for name in QUERIES:
         df = E.queries()[name](spark, SF)
         got = sorted(tuple(str(v) for v in r) for r in df.select(sorted(df.columns)).collect())
         rel = con.sql(E.oracle_sql()[name])
