@@ -11,7 +11,7 @@ from contextlib import redirect_stdout
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from scriptorium.plans.catalog import QUERIES  # noqa: E402
 from scriptorium.session import build_session  # noqa: E402
 
 WIDTH = 160
@@ -23,7 +23,7 @@ def main() -> None:
     print("# Physical plans of the registered queries\n")
     print(f"Generated by `python tools/show_plans.py {sf_dir}` (local session, AQE on; "
           f"the final plan may change at run time). Long lines are cut at {WIDTH} characters.\n")
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         buf = io.StringIO()
         with redirect_stdout(buf):
             fn(spark, sf_dir).explain()
