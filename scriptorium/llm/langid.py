@@ -23,6 +23,7 @@ BUCKETS = 1 << 16
 DIM = 16
 EPOCHS = 12
 PER_LABEL = 400       # training documents of a language, at most
+SAMPLE = 8000         # training documents of all languages together, at most
 MAX_LABELS = 500      # languages that are learned: the most frequent ones
 MAX_CHARS = 20_000    # longer documents are not used for training
 BLOCK = 1 << 20       # bytes hashed at a time
@@ -115,13 +116,14 @@ def train(texts: list[str], labels: list[str], seed: int = 3, epochs: int = EPOC
 def fit(docs: DataFrame, learn, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
         per_label: int = PER_LABEL) -> Model | None:
     """Model from a bounded sample of the rows where ``learn`` holds and the
-    language is known: at most ``per_label`` documents of a language, of at
-    most MAX_CHARS characters each. None if there are none."""
+    language is known: at most ``per_label`` documents of a language and SAMPLE
+    of all, of at most MAX_CHARS characters each. None if there are none."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(learn & F.col("lang").isNotNull() & (F.length("text").between(1, MAX_CHARS)))
     top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LABELS).select("lang")
     rows = rows.join(F.broadcast(top), "lang", "left_semi")
-    # ids has at most MAX_LABELS * per_label rows
+    per_label = min(per_label, SAMPLE // max(1, top.count()))
+    # ids has at most SAMPLE rows
     ids = sample_ids(rows, "doc_id", "lang", per_label).select("doc_id").distinct()
     got = rows.join(F.broadcast(ids), "doc_id", "left_semi").orderBy("doc_id", "lang", "text").collect()
     got = [r for r in got if has_letter(r["text"])]

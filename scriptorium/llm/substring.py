@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import bounded_batches, materialize
+from scriptorium.llm.common import bounded_batches, materialize, release
 
 WINDOW = 50
 MAX_SYMBOL = 4
@@ -287,11 +287,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     bounded_batches(docs.sparkSession, rows=1000, mb=2)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    keys = shared_anchors(d)
-    seen = materialize(_windows(_pack(d).join(keys.hint("shuffle_hash"), "doc_id", "left")), "windows")
+    seen = materialize(_windows(_pack(d).join(shared_anchors(d).hint("shuffle_hash"), "doc_id", "left")), "windows")
+    release(docs.sparkSession)
     found = seen.where(F.col("at").isNotNull()).select("doc_id", "rid", "at", "h1", "h2")
     first = materialize(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
                              .where("lo < hi").select("h1", "h2", "lo"), "repeats")
+    release(docs.sparkSession)
     starts = (found.join(first, ["h1", "h2"]).where(F.col("doc_id") > F.col("lo"))
                    .groupBy("doc_id", "rid").agg(F.collect_list("at").alias("starts")))
     texts = seen.where(F.col("at").isNull())
