@@ -3,7 +3,6 @@ byte-bounded Arrow batches, connected components, bounded training samples."""
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,14 +33,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps whose results are written:
-    its cleaner acts on collected references, and a driver with little garbage
-    may not collect for half an hour. Drop the references first."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 8) -> None:
     """Bound the Arrow batches that Python tasks get by rows and by bytes
     (a single longer text still makes a batch of its own)."""

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import bounded_batches, materialize, release
+from scriptorium.llm.common import bounded_batches, materialize
 
 WINDOW = 50
 MAX_SYMBOL = 4
@@ -167,8 +167,9 @@ def _rows(table: pa.RecordBatch, column: int = 1) -> list[bytes]:
 
 
 def shared_anchors(docs: DataFrame) -> DataFrame:
-    """``doc_id, keys``: for each document the names of its anchors that
-    another document has as well (documents without any are left out)."""
+    """``doc_id, keys, later``: for each document the names of its anchors
+    that another document has as well, and of those that a document with a
+    smaller id has (documents without any are left out)."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches:
@@ -183,24 +184,27 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
 
     found = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(anchors, "key long, doc_id long")
     shared = materialize(found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-                              .where("lo < hi").select("key"), "anchors")
-    return found.join(shared, "key").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+                              .where("lo < hi").select("key", "lo"), "anchors")
+    return (found.join(shared, "key").groupBy("doc_id")
+                 .agg(F.collect_list("key").alias("keys"),
+                      F.collect_list(F.when(F.col("doc_id") > F.col("lo"), F.col("key"))).alias("later")))
 
 
-PASS_SCHEMA = "doc_id long, rid int, n_words long, full_sha256 string, packed binary, at int, h1 long, h2 long"
+PASS_SCHEMA = "doc_id long, rid int, n_words long, full_sha256 string, packed binary, at int, later boolean, h1 long, h2 long"
 OUT_SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary"
 
 
 def _windows(with_keys: DataFrame) -> DataFrame:
     """One row per document (``at`` null; the packed text only if an anchor is
-    shared) and one per window under a shared anchor."""
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
+    shared) and one per window under a shared anchor; ``later`` if a document
+    with a smaller id has the anchor, without which the window cannot repeat one."""
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
     names = [c.split()[0] for c in PASS_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for table in batches:
-            ids, packed, keys = (table.column(i).to_pylist() for i in range(3))
+            ids, packed, keys, later = (table.column(i).to_pylist() for i in range(4))
             texts = [unpack.decompress(p) for p in packed]
             rid = [xxhash.xxh32_intdigest(t) - (1 << 31) for t in texts]
             words = [t.split() for t in texts]
@@ -208,7 +212,7 @@ def _windows(with_keys: DataFrame) -> DataFrame:
             n_words = [len(w) for w in words]
             del words
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(
-                (ids, rid, n_words, full, [p if k else None for p, k in zip(packed, keys)], *[[None] * len(ids)] * 3), types)], names)
+                (ids, rid, n_words, full, [p if k else None for p, k in zip(packed, keys)], *[[None] * len(ids)] * 4), types)], names)
             some = [i for i, k in enumerate(keys) if k]
             batch = Batch([texts[i] for i in some])
             piece, w, index, key = batch.anchors()
@@ -218,11 +222,15 @@ def _windows(with_keys: DataFrame) -> DataFrame:
             of = np.empty(len(key), np.int64)
             of[index] = batch.owner[piece]
             pairs = np.stack([of.astype(np.uint64), key], 1)
-            wanted = np.concatenate([np.stack([np.full(len(keys[i]), j, np.uint64), np.array(keys[i], np.int64).view(np.uint64)], 1)
-                                     for j, i in enumerate(some)])
             as_rows = lambda x: np.ascontiguousarray(x).view("V16").ravel()
-            hit = np.isin(as_rows(pairs), as_rows(wanted))[index]
-            w, d = w[hit], batch.owner[piece[hit]]
+
+            def among(lists: list[list[int]]) -> np.ndarray:
+                wanted = [np.stack([np.full(len(lists[i]), j, np.uint64), np.array(lists[i], np.int64).view(np.uint64)], 1)
+                          for j, i in enumerate(some)]
+                return np.isin(as_rows(pairs), as_rows(np.concatenate(wanted)))[index]
+
+            hit = among(keys)
+            w, d, repeats = w[hit], batch.owner[piece[hit]], among(later)[hit]
             if not len(w):
                 continue
             at = w - batch.base[piece[hit]] + batch.offset[piece[hit]]
@@ -234,9 +242,9 @@ def _windows(with_keys: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.array(ids)[doc].astype(np.int64)), pa.array(np.array(rid, np.int32)[doc]), none,
                     pa.nulls(len(doc), pa.string()), pa.nulls(len(doc), pa.binary()), pa.array(at[s].astype(np.int32)),
-                    pa.array(h1[s].view(np.int64)), pa.array(h2[s].view(np.int64))], names)
+                    pa.array(repeats[s]), pa.array(h1[s].view(np.int64)), pa.array(h2[s].view(np.int64))], names)
 
-    return with_keys.select("doc_id", "packed", "keys").mapInArrow(run, PASS_SCHEMA)
+    return with_keys.select("doc_id", "packed", "keys", "later").mapInArrow(run, PASS_SCHEMA)
 
 
 def _pack(docs: DataFrame) -> DataFrame:
@@ -288,12 +296,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bounded_batches(docs.sparkSession, rows=1000, mb=2)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     seen = materialize(_windows(_pack(d).join(shared_anchors(d).hint("shuffle_hash"), "doc_id", "left")), "windows")
-    release(docs.sparkSession)
-    found = seen.where(F.col("at").isNotNull()).select("doc_id", "rid", "at", "h1", "h2")
+    found = seen.where(F.col("at").isNotNull()).select("doc_id", "rid", "at", "later", "h1", "h2")
     first = materialize(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
                              .where("lo < hi").select("h1", "h2", "lo"), "repeats")
-    release(docs.sparkSession)
-    starts = (found.join(first, ["h1", "h2"]).where(F.col("doc_id") > F.col("lo"))
+    starts = (found.where("later").drop("later").join(first, ["h1", "h2"]).where(F.col("doc_id") > F.col("lo"))
                    .groupBy("doc_id", "rid").agg(F.collect_list("at").alias("starts")))
     texts = seen.where(F.col("at").isNull())
     cut = texts.where(F.col("packed").isNotNull()).select("doc_id", "rid", "packed")
