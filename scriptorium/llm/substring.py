@@ -182,7 +182,9 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
                 pairs = np.unique(np.stack([of, key.view(np.int64)], 1), axis=0) if len(key) else np.zeros((0, 2), np.int64)
                 yield pa.RecordBatch.from_pydict({"key": pa.array(pairs[:, 1]), "doc_id": pa.array(ids[pairs[:, 0]])})
 
-    found = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(anchors, "key long, doc_id long")
+    # written once: two numbers per anchor are cheaper than a second parse
+    found = materialize(docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+                            .mapInArrow(anchors, "key long, doc_id long"), "anchor_rows")
     shared = materialize(found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
                               .where("lo < hi").select("key", "lo"), "anchors")
     return (found.join(shared, "key").groupBy("doc_id")
