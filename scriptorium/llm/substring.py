@@ -39,7 +39,9 @@ MARGIN = MAX_SYMBOL * (1 + PAIR_ROUNDS)          # words disturbed at either end
 CHOICES = WINDOW - 2 * MARGIN - MAX_SYMBOL + 1   # places where a window's anchor can start
 PIECE = 1 << 18                                  # windows of one text that are parsed together
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-POS_BITS = np.uint64(24)
+POS_BITS = np.uint64(32)
+SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # masks
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -53,36 +55,42 @@ def _name(a: np.ndarray, b: np.ndarray, level: int) -> np.ndarray:
     return _mix(_mix(a + np.uint64(level * 2 + 1)) + b)
 
 
+def word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First word of every text, two 64-bit names of every word, and the number
+    of words of every text. Words of up to 16 bytes are named from their bytes
+    and length, longer ones by XXH3 (128 bits)."""
+    joined = b" ".join([b"", *texts, bytes(16)])
+    raw = np.frombuffer(joined, np.uint8)[:-16]
+    space = SPACE[raw]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1  # the first and the last byte are spaces
+    start, end = edge[::2], edge[1::2]
+    length = end - start
+    eight = np.ndarray(len(joined) - 7, "<u8", joined, strides=(1,))  # the 8 bytes from every byte on
+    low = eight[start] & FIRST_BYTES[np.minimum(length, 8)]
+    high = eight[start + np.minimum(length, 8)] & FIRST_BYTES[np.clip(length - 8, 0, 8)]
+    n = length.astype(np.uint64)
+    a, b = _name(_name(low, high, 500), n, 501), _name(_name(high, low, 502), n, 503)
+    long = np.flatnonzero(length > 16)
+    digests = b"".join([xxhash.xxh3_128_digest(joined[i:j]) for i, j in zip(start[long].tolist(), end[long].tolist())])
+    a[long], b[long] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+    at = np.cumsum([1, *(len(t) + 1 for t in texts)])   # where texts start
+    first = np.searchsorted(start, at)
+    return first[:-1], a, b, np.diff(first)
+
+
 class Batch:
     """Words of some texts laid end to end, cut into pieces that overlap by a
     window less one word, so that every window lies in exactly one piece."""
 
     def __init__(self, texts: list[bytes]):
-        known: dict[bytes, int] = {}
-        digests: list[bytes] = []
-        self.n_words = np.zeros(len(texts), np.int64)
-        ids = []
-        for i, text in enumerate(texts):
-            words = text.split()
-            self.n_words[i] = len(words)
-            for w in words:
-                if w not in known:
-                    known[w] = len(known)
-                    digests.append(xxhash.xxh3_128_digest(w))
-            ids.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
-        both = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
-        parts, self.owner, self.offset = [], [], []
-        for i, x in enumerate(ids):
-            for at in range(0, len(x) - WINDOW + 1, PIECE):
-                parts.append(x[at:at + PIECE + WINDOW - 1])
-                self.owner.append(i)
-                self.offset.append(at)
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        first, a, b, self.n_words = word_names(texts)
+        pieces = [(i, at) for i, n in enumerate(self.n_words.tolist()) for at in range(0, n - WINDOW + 1, PIECE)]
+        self.owner, self.offset = (np.array(x, np.int64) for x in (zip(*pieces) if pieces else ((), ())))
+        size = np.minimum(PIECE + WINDOW - 1, self.n_words[self.owner] - self.offset)
         self.base = np.concatenate(([0], np.cumsum(size)))
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        self.a, self.b = both[flat, 0], both[flat, 1]
-        self.piece = np.repeat(np.arange(len(parts)), size)
-        self.owner, self.offset = np.array(self.owner, np.int64), np.array(self.offset, np.int64)
+        flat = np.arange(self.base[-1]) + np.repeat(first[self.owner] + self.offset - self.base[:-1], size)
+        self.a, self.b = a[flat], b[flat]
+        self.piece = np.repeat(np.arange(len(pieces)), size)
 
     def parse(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbols after all rounds: name, first word, number of words."""
