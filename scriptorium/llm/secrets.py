@@ -206,8 +206,17 @@ class Field:
         return out.reshape(-1)[:n]
 
 
-def _code_points(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    return [(len(raw[:a].decode("utf-8", "replace")), len(raw[:b].decode("utf-8", "replace"))) for a, b in spans]
+def _code_points(raw: bytes) -> np.ndarray:
+    """Number of code points before every byte of ``raw``, and of all of them."""
+    return np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
+
+
+def tagged_runs(t: Tokens, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last token of every run begin-inside; a run ends with its line."""
+    begin = np.flatnonzero(state == B)
+    goes_on = (state == I) & (t.ids["gap_before"] & 4 == 0)  # a text's first token counts as on a new line
+    stops = np.flatnonzero(np.append(~goes_on, True))
+    return begin, stops[np.searchsorted(stops, begin, side="right")] - 1
 
 
 def train(texts: list[str], steps: int = STEPS, rate: float = 0.1, l2: float = 1e-4) -> Field:
@@ -275,8 +284,8 @@ def train(texts: list[str], steps: int = STEPS, rate: float = 0.1, l2: float = 1
 
 def scan(texts: list[str], field: Field | None) -> list[list[tuple[int, int, int, int]]]:
     """All spans per text, ``base_spans`` and those that the field adds (kind
-    crf): runs begin-inside that touch no base span and are no longer than a
-    line. By start, then kind."""
+    crf): runs begin-inside that share no character with a base span and end
+    with their line. By start, then kind."""
     out = [base_spans(t) for t in texts]
     if field is None:
         return out
@@ -289,15 +298,16 @@ def scan(texts: list[str], field: Field | None) -> list[list[tuple[int, int, int
             end += 1
         t = tokenise(raws[at:end])
         state = field.decode(t)
-        begin = np.flatnonzero(state == B)
-        for i in begin:
-            j = i + 1
-            while j < len(state) and state[j] == I:
-                j += 1
-            d = at + t.text[i]
-            (span,) = _code_points(raws[d], [(t.start[i], t.end[j - 1])])
-            if all(span[1] <= s or span[0] >= e for s, _, e, _ in out[d] if _ != 3):
-                out[d].append((span[0], 3, span[1], span[0]))
+        begin, last = tagged_runs(t, state)
+        for part in np.split(np.arange(len(begin)), np.flatnonzero(np.diff(t.text[begin])) + 1) if len(begin) else ():
+            d = at + int(t.text[begin[part[0]]])
+            points = _code_points(raws[d])
+            lo, hi = points[t.start[begin[part]]], points[t.end[last[part]]]
+            if out[d]:  # of the base spans that start before a run's end, none may end after its start
+                before = np.searchsorted([s[0] for s in out[d]], hi)
+                furthest = np.maximum.accumulate([0, *(s[2] for s in out[d])])
+                lo, hi = lo[clear := furthest[before] <= lo], hi[clear]
+            out[d] += [(s, 3, e, s) for s, e in zip(lo.tolist(), hi.tolist())]
         at = end
     for spans in out:
         spans.sort()
