@@ -62,7 +62,9 @@ class Model:
     def probabilities(self, text: str) -> np.ndarray:
         total, n = np.zeros(len(self.labels)), 0
         for ids in buckets(text):
-            total += self.table[ids].sum(axis=0, dtype=np.float64)
+            times = np.bincount(ids, minlength=len(self.table))
+            used = np.flatnonzero(times)  # a bucket's scores are looked up once a block
+            total += times[used] @ self.table[used]
             n += len(ids)
         s = (total / max(n, 1) + self.bias) / self.temperature
         e = np.exp(s - s.max())
