@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scriptorium.llm import ann, common, langid, mixing, packing, secrets, simhash, topk, toxicity, vectors, warc
+from scriptorium.llm import ann, common, langid, mixing, packing, secrets, simhash, substring, topk, toxicity, vectors, warc
 from scriptorium.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -291,6 +291,31 @@ def test_substring_small_alphabets(spark, tmpdir_run):
         assert got[d] == gone.sum(), d
 
 
+def test_substring_word_names():
+    rng = random.Random(3)
+    texts = [b"", b"   ", b" a", b"a\0 a a\0\0", "Ünïcode ßtraße".encode(), b" ".join(b"x" * n for n in range(1, 40)) + b"\n", b"\x1c q\x85 \xc2\xa0 z"]
+    texts += [bytes(rng.choice(b"ab\0 \t\n\v\f\rxyz\x1c\x1f\xff") for _ in range(rng.randint(0, 400))) for _ in range(200)]
+    first, a, b, n = substring.word_names(texts)
+    words = [t.split() for t in texts]
+    assert n.tolist() == [len(w) for w in words] and first.tolist() == np.cumsum([0, *n])[:-1].tolist()
+    names = list(zip(a.tolist(), b.tolist()))
+    flat = [w for x in words for w in x]
+    assert len(names) == len(flat) and len(set(zip(flat, names))) == len(set(flat)) == len(set(a.tolist())) == len(set(b.tolist()))
+
+
+def test_substring_text_in_several_pieces(spark, tmpdir_run, monkeypatch):
+    monkeypatch.setattr(substring, "PIECE", 64)
+    base = [f"w{i}" for i in range(700)]
+    batch = substring.Batch([" ".join(base).encode(), b"few words", " ".join(base[300:500]).encode()])
+    piece, w, index, key = batch.anchors()
+    at = (w - batch.base[piece] + batch.offset[piece]).tolist()
+    names, seen = list(zip(*(x.tolist() for x in batch.window_names(w)))), {}
+    for i, name, owner, k in zip(at, names, batch.owner[piece].tolist(), key[index].tolist()):
+        seen.setdefault(owner, {})[i] = (name, k)
+    assert sorted(seen) == [0, 2] and sorted(seen[0]) == list(range(651)) and sorted(seen[2]) == list(range(151))
+    assert all(seen[2][i] == seen[0][300 + i] for i in range(151))
+
+
 # 5 and 9
 def _vectors(spark, folder):
     out = {}
@@ -482,6 +507,30 @@ def test_secrets_field_finds_what_the_patterns_miss():
     assert secrets.redact("a token=abcdefg b", secrets.base_spans("a token=abcdefg b")) == "a token=[SECRET] b"
 
 
+def test_secrets_runs_end_with_their_line_and_spare_base_spans():
+    class Fixed:
+        """Tags every first token of a pair of tokens as begin, the second as inside."""
+        def decode(self, t):
+            return np.where(np.arange(len(t.start)) % 2 == 0, secrets.B, secrets.I)
+
+    texts = ["ab cd\nü ef\ngh", "", "x = " + "0" * 24 + " yy zz", "ö one two three\nfour"]
+    t = secrets.tokenise([x.encode() for x in texts])
+    got = secrets.scan(texts, Fixed())
+    n = 0
+    for text, spans in zip(texts, got):
+        base = [s for s in secrets.base_spans(text)]
+        own, exp = list(re.finditer(r"\w+", text)), []
+        for i, m in enumerate(own):
+            if (n + i) % 2 == 0:
+                inside = i + 1 < len(own) and "\n" not in text[m.end():own[i + 1].start()]
+                s, e = m.start(), own[i + 1].end() if inside else m.end()
+                if all(e <= x[0] or s >= x[2] for x in base):
+                    exp.append((s, 3, e, s))
+        assert spans == sorted(base + exp)
+        n += len(own)
+    assert n == len(t.start)
+
+
 # 8
 def test_langid_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
@@ -500,6 +549,10 @@ def test_langid_edge(spark, edge):
     old, langid.BLOCK = langid.BLOCK, 1000
     try:
         assert sorted(np.concatenate(list(langid.buckets(LONG))).tolist()) == sorted(blocks.tolist())
+        model = langid.train(["the house " * 30, "das haus " * 30] * 10, ["en", "de"] * 10)
+        mean = model.table[blocks].mean(0, dtype=np.float64) + model.bias
+        e = np.exp((mean - mean.max()) / model.temperature)
+        assert np.allclose(model.probabilities(LONG), e / e.sum())
     finally:
         langid.BLOCK = old
 
