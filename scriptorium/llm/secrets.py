@@ -30,7 +30,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 ACCESS_LEAST = 20
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run is matched whole, so the least length can stand in the pattern
 KINDS = ("assign", "access", "hex", "crf")
-KEYWORD = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
+KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")  # one is in every text that ASSIGN matches
 
 B, I, O = 0, 1, 2
 PER_LABEL = 200       # training documents with and without a pattern's match, at most
@@ -57,7 +57,8 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, start of the secret part) of the patterns' matches,
     leftmost non-overlapping per kind, by start, then kind; in code points."""
     out = []
-    if KEYWORD.search(text):
+    lower = text.lower()
+    if any(k in lower for k in KEYWORDS):
         out += [(m.start(), 0, m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
@@ -170,40 +171,41 @@ class Field:
         begins = np.concatenate(([True], t.text[1:] != t.text[:-1]))
         blocks = -(-n // BLOCK)
         pad = blocks * BLOCK - n
-        e = np.vstack([e, np.zeros((pad, 3), np.float32)]).reshape(blocks, BLOCK, 3)
-        begins = np.append(begins, np.zeros(pad, bool)).reshape(blocks, BLOCK)
-        # Step matrices: a text's first token forgets the state before it.
-        start = np.broadcast_to(self.first, (3, 3))
-
-        def step(at: int) -> np.ndarray:
-            return np.where(begins[:, at, None, None], start, self.trans) + e[:, at, None, :]
-
-        total = step(0)  # best scores from the state before the block to each state in it
-        for at in range(1, BLOCK):
-            total = (total[:, :, :, None] + step(at)[:, None, :, :]).max(2)
+        # place in the block first and the block last: every step runs along all blocks
+        e = np.vstack([e, np.zeros((pad, 3), np.float32)]).reshape(blocks, BLOCK, 3).transpose(1, 2, 0)
+        begins = np.append(begins, np.zeros(pad, bool)).reshape(blocks, BLOCK).T
+        # Step scores (place, from, to, block): a text's first token forgets the state before it.
+        step = np.where(begins[:, None, None], self.first[:, None], self.trans[:, :, None]) + e[:, None]
+        total = step[0]  # best scores from the state before the block to each state in it
+        for s in step[1:]:
+            by = [total[:, x, None] + s[x] for x in range(3)]
+            total = np.maximum(np.maximum(by[0], by[1]), by[2])
         alpha = np.zeros((blocks + 1, 3), np.float32)
-        for b in range(blocks):
-            alpha[b + 1] = (alpha[b][:, None] + total[b]).max(0)
+        for b, block in enumerate(np.ascontiguousarray(total.transpose(2, 0, 1))):
+            alpha[b + 1] = (alpha[b][:, None] + block).max(0)
             alpha[b + 1] -= alpha[b + 1].max()
         # inside the blocks again, now with the scores at their start
-        score, back = alpha[:-1], np.zeros((blocks, BLOCK, 3), np.int8)
-        for at in range(BLOCK):
-            x = score[:, :, None] + step(at)
-            back[:, at] = x.argmax(1)
-            score = x.max(1)
+        score, back = alpha[:-1].T, np.zeros((BLOCK, 3, blocks), np.int8)
+        for at, s in enumerate(step):
+            by = [score[x] + s[x] for x in range(3)]
+            best = np.maximum(by[0], by[1])
+            back[at] = np.where(by[2] > best, 2, by[1] > by[0])
+            score = np.maximum(best, by[2])
         # the state at the end of each block: from the last block backwards
-        into = back[:, BLOCK - 1]
+        every = np.arange(blocks)
+        into = back[-1]
         for at in range(BLOCK - 2, -1, -1):  # state before the block for each state at its end
-            into = np.take_along_axis(back[:, at], into, 1)
-        last = np.zeros(blocks, np.int64)
-        last[-1] = int(score[-1].argmax())
+            into = back[at][into, every]
+        into = into.T.tolist()
+        last = [0] * blocks
+        last[-1] = int(score[:, -1].argmax())
         for b in range(blocks - 1, 0, -1):
-            last[b - 1] = into[b, last[b]]
-        out, s = np.zeros((blocks, BLOCK), np.int8), last
+            last[b - 1] = into[b][last[b]]
+        out, s = np.zeros((BLOCK, blocks), np.int8), np.array(last)
         for at in range(BLOCK - 1, -1, -1):
-            out[:, at] = s
-            s = back[np.arange(blocks), at, s].astype(np.int64)
-        return out.reshape(-1)[:n]
+            out[at] = s
+            s = back[at][s, every]
+        return out.T.reshape(-1)[:n]
 
 
 def _code_points(raw: bytes) -> np.ndarray:
