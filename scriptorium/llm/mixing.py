@@ -4,7 +4,9 @@ A schedule of slots, all of the same number of words: slot k has the k-th
 point of a golden-ratio sequence, the point falls into a source's interval of
 the cumulative target weights, and the slot's rank among the source's slots
 names the block of the source's shuffled word stream that it takes (the
-stream starts over when it is used up). DataFrame functions only.
+stream starts over when it is used up). Blocks that a source's slots do not
+reach follow in slots after the schedule, so every target is taken whole.
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -77,8 +79,11 @@ def _stream(sizes: DataFrame) -> DataFrame:
              .drop("h", "bucket", "base", "before", "b_source", "b_bucket"))
 
 
-def slot_table(targets: DataFrame, n_slots: int) -> DataFrame:
-    """``slot, source, rank``: the schedule of ``n_slots`` slots.
+def slot_table(targets: DataFrame, n_slots: int, need: str | None = None) -> DataFrame:
+    """``slot, source, rank``: the schedule of ``n_slots`` slots. With ``need``,
+    a column of ``targets``, every source has at least so many: points miss an
+    interval by a few slots (and one under 1 / GRID wholly), and the ranks left
+    over are slots from ``n_slots`` on.
 
     Points and the intervals of the cumulative weights meet by cell of [0, 1)
     (an interval is a row in each cell it touches), and points are spread
@@ -105,9 +110,22 @@ def slot_table(targets: DataFrame, n_slots: int) -> DataFrame:
              .select(F.col("source").alias("b_source"), F.col("run").alias("b_run"),
                      F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base")))
     own = F.row_number().over(Window.partitionBy("source", "run").orderBy("slot")) - 1
-    return (s.withColumn("own", own)
-             .join(base, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("run") == F.col("b_run")))
-             .select("slot", "source", (F.col("base") + F.col("own")).alias("rank")))
+    ranked = (s.withColumn("own", own)
+               .join(base, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("run") == F.col("b_run")))
+               .select("slot", "source", (F.col("base") + F.col("own")).alias("rank")))
+    if need is None:
+        return ranked
+    # one row per source, then one per missing rank
+    has = s.groupBy(F.col("source").alias("h_source")).agg(F.count("*").alias("has"))
+    gap = (targets.select("source", F.col(need).alias("need"))
+                  .join(has, F.col("source").eqNullSafe(F.col("h_source")), "left")
+                  .select("source", "need", F.coalesce("has", F.lit(0).cast("long")).alias("has"))
+                  .where(F.col("need") > F.col("has")))
+    ahead = F.sum(F.col("need") - F.col("has")).over(by_name.rowsBetween(Window.unboundedPreceding, -1))
+    tail = (gap.withColumn("ahead", F.coalesce(ahead, F.lit(0).cast("long")))
+               .withColumn("rank", F.explode(F.sequence(F.col("has"), F.col("need") - 1)))
+               .select((F.lit(n_slots) + F.col("ahead") + F.col("rank") - F.col("has")).alias("slot"), "source", "rank"))
+    return ranked.unionByName(tail)
 
 
 def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -121,7 +139,7 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null text has size 0 and a null source is a source. Rows that repeat an
     id are rows of their own. A slot takes ``block_words`` words, or fewer for
     a corpus of under ``slots`` such blocks; the last slot of a source is cut
-    where the target is reached. ``size`` replaces the count of the text's
+    where the target is reached, and every source's whole target is taken. ``size`` replaces the count of the text's
     words; ``row`` is a caller's own number of a row, passed through.
     """
     sizes = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
@@ -134,6 +152,7 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_slots += -(-n_slots // SPARE)
     t = targets.select(F.col("source").alias("t_source"), "source_size", "target",
                        F.floor("target").cast("long").alias("quota"))
+    need = targets.withColumn("need", F.ceil(F.floor("target") / block).cast("long"))
     rows = materialize(_stream(sizes).join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source"), "stream")
     # uses of the source's stream, then the blocks that a use of the document touches
     first = F.col("use") * F.col("source_size") + F.col("at")
@@ -145,7 +164,7 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              .withColumn("rank", F.explode(F.sequence(F.expr(f"first div {block}"), F.expr(f"(last - 1) div {block}"))))
              .withColumn("lo", F.greatest("first", F.col("rank") * block))
              .withColumn("hi", F.least("last", (F.col("rank") + 1) * block)))
-    s = slot_table(targets, n_slots).select(F.col("source").alias("s_source"), F.col("rank").alias("s_rank"), "slot")
+    s = slot_table(need, n_slots, "need").select(F.col("source").alias("s_source"), F.col("rank").alias("s_rank"), "slot")
     pieces = (p.join(s, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("rank") == F.col("s_rank")))
                .select("slot", "source", "rank", "doc_id", "size", "at",
                        (F.col("lo") - F.col("first")).alias("from_word"),

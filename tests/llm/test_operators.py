@@ -234,6 +234,27 @@ def test_mixing_schedule(spark, edge):
         assert all(abs(sum(r.source == s for r in t[:m]) - n * m / 1000) <= 5 for m in (10, 100, 500))
 
 
+def test_mixing_takes_whole_targets_in_large_blocks(spark, tmpdir_run):
+    # blocks of 305 words, as a corpus of 80 million has: small sources beside large ones
+    sizes = {"a": 90_000, "b": 313, "c": 40_000, "d": 700, "e": 5, "f": 2_900, None: 611}
+    rows = [(i * 1000 + k, s, n // 7 + (k < n % 7)) for i, (s, n) in enumerate(sizes.items()) for k in range(7)]
+    spark.createDataFrame(rows, "doc_id long, source string, n long").write.parquet(tmpdir_run + "/d")
+    docs = spark.read.parquet(tmpdir_run + "/d").withColumn("text", F.lit(None).cast("string"))
+    rows, pieces = mixing.mixing_plan(docs, block_words=305, slots=1, size=F.col("n"))
+    quota = {r.source: int(r.target) for r in rows.select("source", "target").distinct().collect()}
+    got = pieces.collect()
+    taken = Counter()
+    for p in got:
+        taken[p.source] += p.words
+    assert taken == quota and len(quota) == len(sizes)
+    # a slot is one block of one source, and no slot is used twice
+    assert len({p.slot for p in got}) == len({(p.source, p.rank) for p in got})
+    # sources that no point meets have slots after the schedule
+    targets = spark.createDataFrame([("a", 1e12, 3), ("b", 1.0, 2), (None, 1.0, 1)], "source string, target double, need long")
+    t = {r.slot: (r.source, r.rank) for r in mixing.slot_table(targets, 50, "need").collect()}
+    assert sorted(t) == list(range(53)) and [t[k] for k in (50, 51, 52)] == [("b", 0), ("b", 1), (None, 0)]
+
+
 def test_repeated_texts(spark, edge):
     docs = spark.read.parquet(f"{edge}/documents.parquet")
     out = mixing.repeat_texts(docs)
