@@ -286,8 +286,8 @@ def train(texts: list[str], steps: int = STEPS, rate: float = 0.1, l2: float = 1
 
 def scan(texts: list[str], field: Field | None) -> list[list[tuple[int, int, int, int]]]:
     """All spans per text, ``base_spans`` and those that the field adds (kind
-    crf): runs begin-inside that share no character with a base span and end
-    with their line. By start, then kind."""
+    crf): runs begin-inside, which end with their line, less the base spans.
+    By start, then kind."""
     out = [base_spans(t) for t in texts]
     if field is None:
         return out
@@ -304,18 +304,42 @@ def scan(texts: list[str], field: Field | None) -> list[list[tuple[int, int, int
         for part in np.split(np.arange(len(begin)), np.flatnonzero(np.diff(t.text[begin])) + 1) if len(begin) else ():
             d = at + int(t.text[begin[part[0]]])
             points = _code_points(raws[d])
-            lo, hi = points[t.start[begin[part]]], points[t.end[last[part]]]
-            if out[d]:  # of the base spans that start before a run's end, none may end after its start
-                before = np.searchsorted([s[0] for s in out[d]], hi)
-                furthest = np.maximum.accumulate([0, *(s[2] for s in out[d])])
-                lo, hi = lo[clear := furthest[before] <= lo], hi[clear]
-            out[d] += [(s, 3, e, s) for s, e in zip(lo.tolist(), hi.tolist())]
+            out[d] += _parts(texts[d], points, t, begin[part], last[part], out[d])
         at = end
     for spans in out:
         spans.sort()
     return out
 
 
+def _parts(text: str, points: np.ndarray, t: Tokens, begin: np.ndarray, last: np.ndarray,
+           base: list[tuple]) -> list[tuple]:
+    """Spans of one text's runs (first and last token), less the base spans. Of
+    a run that meets base spans, those parts stay that hold some of a token and
+    go on from a base span without white space: the rest of a secret in which a
+    pattern stops or begins."""
+    lo, hi = points[t.start[begin]], points[t.end[last]]
+    if not base:
+        return [(s, 3, e, s) for s, e in zip(lo.tolist(), hi.tolist())]
+    # the union of the base spans, as disjoint stretches in order
+    start, end = np.array([s[0] for s in base]), np.maximum.accumulate([s[2] for s in base])
+    opens = np.concatenate(([True], start[1:] > end[:-1]))
+    start, end = start[opens], end[np.append(opens[1:], True)]
+    out = []
+    first, stop = np.searchsorted(end, lo, side="right"), np.searchsorted(start, hi)
+    for s, e, i, j, b, z in zip(*(x.tolist() for x in (lo, hi, first, stop, begin, last))):
+        if i >= j:
+            out.append((s, 3, e, s))
+            continue
+        opened, closed = points[t.start[b:z + 1]], points[t.end[b:z + 1]]
+        lows, highs = [s, *end[i:j].tolist()], [*start[i:j].tolist(), e]
+        for k, (x, y) in enumerate(zip(lows, highs)):
+            if x < y and np.searchsorted(closed, x, side="right") < np.searchsorted(opened, y) \
+                    and (k > 0 and not text[x].isspace() or k < j - i and not text[y - 1].isspace()):
+                x, y = y - len(text[x:y].lstrip()), x + len(text[x:y].rstrip())
+                out.append((x, 3, y, x))
+    return out
+
+
 def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", per_label: int = PER_LABEL) -> Field | None:
     """Field from a bounded sample: at most ``per_label`` documents in which a
     pattern may match and as many others, of at most MAX_CHARS characters."""

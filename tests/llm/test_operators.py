@@ -552,6 +552,21 @@ def test_secrets_runs_end_with_their_line_and_spare_base_spans():
     assert n == len(t.start)
 
 
+def test_secrets_keep_the_rest_of_a_run_that_meets_base_spans():
+    class Fixed:
+        """Tags all tokens of a text as one run."""
+        def decode(self, t):
+            return np.where(np.append(True, t.text[1:] != t.text[:-1]), secrets.B, secrets.I)
+
+    key, hexes = "AKIA" + "Z" * 16, "0" * 24
+    texts = ["password = abcdef$Xyz!123", "é$" + key + "$b c", hexes + "XYZ", key + "," + hexes, f"{key}%q w%{hexes}\nn", "none here"]
+    got = [[t[s:e] for s, k, e, _ in f if k == 3] for t, f in zip(texts, secrets.scan(texts, Fixed()))]
+    assert got == [["$Xyz!123"], ["é$", "$b c"], ["XYZ"], [], ["%q w%"], ["none here"]]
+    for t, f in zip(texts, secrets.scan(texts, Fixed())):
+        assert [s for s in f if s[1] < 3] == secrets.base_spans(t)
+    assert secrets.redact(texts[0], secrets.scan(texts, Fixed())[0]) == "password = [SECRET][SECRET]"
+
+
 # 8
 def test_langid_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
