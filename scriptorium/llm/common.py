@@ -72,15 +72,19 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
             return label
 
 
-def sample_ids(rows: DataFrame, id_col: str, label_col: str, per_label: int, salts: int = 16) -> DataFrame:
+def sample_ids(rows: DataFrame, id_col: str, label_col: str, per_label: int, salts: int = 16,
+               last: str | None = None) -> DataFrame:
     """At most ``per_label`` rows of each label, those with the smallest
-    64-bit hash of their id: ``(id_col, label_col)``.
+    64-bit hash of their id: ``(id_col, label_col)``. Rows where the boolean
+    column ``last`` holds are taken only where a label has too few others.
 
     Two levels, so that a label with a third of all rows is not ranked in one
     task: first inside (label, salt), then among the survivors of a label.
     """
     order = [F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.col(id_col)]
-    r = (rows.select(id_col, label_col).where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+    if last is not None:
+        order = [F.col("_last"), *order]
+    r = (rows.select(id_col, label_col, (F.lit(False) if last is None else F.col(last)).alias("_last")).where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
              .withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col), F.lit("salt")), F.lit(salts))))
     w1 = Window.partitionBy(label_col, "_salt").orderBy(*order)
     w2 = Window.partitionBy(label_col).orderBy(*order)
@@ -89,6 +93,15 @@ def sample_ids(rows: DataFrame, id_col: str, label_col: str, per_label: int, sal
              .select(id_col, label_col))
 
 
+def training_text(text: Column, max_chars: int, pieces: int = 8) -> Column:
+    """``text``, or of one of more than ``max_chars`` characters that many in
+    ``pieces`` spread evenly from its start to its end, a line each."""
+    size = max_chars // pieces - 1
+    room = F.length(text) - size
+    cut = [F.substring(text, F.floor(room * i / (pieces - 1)).cast("int") + 1, F.lit(size)) for i in range(pieces)]
+    return F.when(F.length(text) <= max_chars, text).otherwise(F.concat_ws("\n", *cut))
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model learns from: crc32 of the id as text, modulo 5, is 0
     (rows without an id are held out as well)."""

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import bounded_batches, sample_ids
+from scriptorium.llm.common import bounded_batches, sample_ids, training_text
 
 BUCKETS = 1 << 16
 DIM = 16
@@ -25,7 +25,7 @@ EPOCHS = 12
 PER_LABEL = 400       # training documents of a language, at most
 SAMPLE = 8000         # training documents of all languages together, at most
 MAX_LABELS = 500      # languages that are learned: the most frequent ones
-MAX_CHARS = 20_000    # longer documents are not used for training
+MAX_CHARS = 20_000    # of a longer document so many characters are used for training
 BLOCK = 1 << 20       # bytes hashed at a time
 MULTIPLIER = np.uint32(2654435761)
 LETTERS_ONLY = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -119,15 +119,18 @@ def fit(docs: DataFrame, learn, text_col: str = "text", lang_col: str = "lang",
         per_label: int = PER_LABEL) -> Model | None:
     """Model from a bounded sample of the rows where ``learn`` holds and the
     language is known: at most ``per_label`` documents of a language and SAMPLE
-    of all, of at most MAX_CHARS characters each. None if there are none."""
+    of all. Those of more than MAX_CHARS characters are taken last, and in
+    pieces of that many. None if there are none."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.where(learn & F.col("lang").isNotNull() & (F.length("text").between(1, MAX_CHARS)))
+    rows = rows.where(learn & F.col("lang").isNotNull() & (F.length("text") >= 1)).withColumn("long", F.length("text") > MAX_CHARS)
     top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LABELS).select("lang")
     rows = rows.join(F.broadcast(top), "lang", "left_semi")
     per_label = min(per_label, SAMPLE // max(1, top.count()))
     # ids has at most SAMPLE rows
-    ids = sample_ids(rows, "doc_id", "lang", per_label).select("doc_id").distinct()
-    got = rows.join(F.broadcast(ids), "doc_id", "left_semi").orderBy("doc_id", "lang", "text").collect()
+    ids = sample_ids(rows, "doc_id", "lang", per_label, last="long").select("doc_id").distinct()
+    got = (rows.join(F.broadcast(ids), "doc_id", "left_semi")
+               .select("doc_id", "lang", training_text(F.col("text"), MAX_CHARS).alias("text")))
+    got = got.orderBy("doc_id", "lang", "text").collect()
     got = [r for r in got if has_letter(r["text"])]
     return train([r["text"] for r in got], [r["lang"] for r in got]) if got else None
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import bounded_batches, sample_ids
+from scriptorium.llm.common import bounded_batches, sample_ids, training_text
 
 # The patterns, and the least length of what they must find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -34,7 +34,7 @@ KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")  # one is in every
 
 B, I, O = 0, 1, 2
 PER_LABEL = 200       # training documents with and without a pattern's match, at most
-MAX_CHARS = 20_000    # longer documents are not used for training
+MAX_CHARS = 20_000    # of a longer document so many characters are used for training
 SEQUENCE = 64         # tokens of a training sequence
 STEPS = 35
 WORDS = 1 << 14       # buckets of neighbouring words
@@ -342,12 +342,21 @@ def _parts(text: str, points: np.ndarray, t: Tokens, begin: np.ndarray, last: np
 
 def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", per_label: int = PER_LABEL) -> Field | None:
     """Field from a bounded sample: at most ``per_label`` documents in which a
-    pattern may match and as many others, of at most MAX_CHARS characters."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text").between(1, MAX_CHARS))
-    hot = F.col("text").rlike(r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?i:passw(or)?d|secret|token|api_?key)[\"']? *[:=]").cast("int")
-    ids = sample_ids(rows.select("doc_id", hot.alias("hot")), "doc_id", "hot", per_label).select("doc_id").distinct()
+    pattern may match and as many others. Those of more than MAX_CHARS
+    characters are taken last: that many around the first place where a
+    pattern may match, or in pieces without one."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") >= 1)
+    may = r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?i:passw(or)?d|secret|token|api_?key)[\"']? *[:=]"
+    marked = rows.select("doc_id", F.col("text").rlike(may).cast("int").alias("hot"), (F.length("text") > MAX_CHARS).alias("long"))
+    ids = sample_ids(marked, "doc_id", "hot", per_label, last="long").select("doc_id").distinct()
     # ids has at most 2 * per_label rows
-    got = [r["text"] for r in rows.join(F.broadcast(ids), "doc_id", "left_semi").orderBy("doc_id", "text").collect()]
+    # a text is split once before the match: what stands before it gives its place
+    place = F.length(F.split("text", may, 2)[0])
+    around = F.substring("text", F.greatest(F.lit(1), place - MAX_CHARS // 2), F.lit(MAX_CHARS))
+    cut = F.when((F.length("text") > MAX_CHARS) & F.col("text").rlike(may), around).otherwise(
+        training_text(F.col("text"), MAX_CHARS))
+    got = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", cut.alias("text"))
+    got = [r["text"] for r in got.orderBy("doc_id", "text").collect()]
     return train(got) if any(base_spans(t) for t in got) else None
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import bounded_batches, sample_ids
+from scriptorium.llm.common import bounded_batches, sample_ids, training_text
 
 WINDOW, STRIDE = 32, 24
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 16
@@ -29,7 +29,7 @@ WORD_DIM = CHAR_DIM = 8
 HIDDEN = 8
 GROUP = 4096             # windows run together
 PER_LABEL = 500          # training documents of a label, at most
-MAX_CHARS = 20_000       # longer documents are not used for training
+MAX_CHARS = 20_000       # of a longer document so many characters are used for training
 BLOCK_WORDS = 60_000     # words of one text scored at a time
 EPOCHS = 8
 STRIP = b".,;:!?\"'()[]{}<>"
@@ -312,16 +312,18 @@ def _subset(x: Inputs, words: np.ndarray) -> Inputs:
 def fit(docs: DataFrame, labels: DataFrame, learn, text_col: str = "text", id_col: str = "doc_id",
         label_col: str = "toxic", per_label: int = PER_LABEL) -> Network | None:
     """Network from a bounded sample of labelled rows where ``learn`` holds:
-    at most ``per_label`` documents of label 1 and of label 0, of at most
-    MAX_CHARS characters each. None without both labels. An id labelled both
-    ways counts as toxic."""
+    at most ``per_label`` documents of label 1 and of label 0. Those of more
+    than MAX_CHARS characters are taken last, and in pieces of that many. None
+    without both labels. An id labelled both ways counts as toxic."""
     marks = (labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
                    .where(F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.max("y").alias("y")))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.where(learn & F.length("text").between(1, MAX_CHARS))
-    ids = sample_ids(rows.select("doc_id").join(marks, "doc_id").dropDuplicates(["doc_id"]), "doc_id", "y", per_label)
+    rows = rows.where(learn & (F.length("text") >= 1)).withColumn("long", F.length("text") > MAX_CHARS)
+    marked = rows.select("doc_id", "long").groupBy("doc_id").agg(F.min("long").alias("long")).join(marks, "doc_id")
+    ids = sample_ids(marked, "doc_id", "y", per_label, last="long")
     # ids has at most 2 * per_label rows
-    got = rows.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect()
+    got = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "y", training_text(F.col("text"), MAX_CHARS).alias("text"))
+    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect()
     y = [r["y"] for r in got]
     return train([r["text"] for r in got], y) if 0 < sum(y) < len(y) else None
 

@@ -643,6 +643,31 @@ def test_toxicity_windows_and_blocks(spark, edge):
         toxicity.BLOCK_WORDS = old
 
 
+def test_labels_of_long_documents_only_are_learned(spark):
+    rng = random.Random(4)
+    text = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    plain, other, bad = ["the", "house", "of", "river"], ["das", "haus", "und", "fluss"], ["awful", "nasty", "vile"]
+    key = lambda: "AKIA" + "".join(rng.choice("ABCDEFGH12345678") for _ in range(16))
+    rows = [(i, text(plain, 60), "en", 0) for i in range(30)]
+    rows += [(100 + i, text(other, 5000) + f" {key()} " + text(other + bad, 5000), "de", 1) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    assert min(len(r[1]) for r in rows if r[3]) > 20_000
+    model = langid.fit(docs, F.lit(True))
+    assert model.labels == ["de", "en"] and model.probabilities(text(other, 50)).argmax() == 0
+    net = toxicity.fit(docs, docs.select("doc_id", "toxic"), F.lit(True))
+    assert net is not None and net.scores([text(bad + other, 40)])[0] > net.scores([text(plain, 40)])[0]
+    assert secrets.fit(docs.select("doc_id", "text")) is not None
+    # shorter documents come first, and a cut text is bounded and reaches from end to end
+    marks = docs.select("doc_id", F.lit("x").alias("label"), (F.length("text") > 20_000).alias("long"))
+    ids = common.sample_ids(marks, "doc_id", "label", 35, last="long")
+    assert sorted(r.doc_id >= 100 for r in ids.collect()) == [False] * 30 + [True] * 5
+    got = docs.select("text", common.training_text(F.col("text"), 800).alias("cut")).collect()
+    for r in got:
+        assert r.cut == r.text if len(r.text) <= 800 else (
+            len(r.cut) <= 800 and r.text.startswith(r.cut[:99]) and r.text.endswith(r.cut[-99:])
+            and all(x in r.text for x in r.cut.split("\n")))
+
+
 # the pipeline
 def test_pipeline_edge(spark, edge):
     rows = corpus_pipeline.run(spark, edge).collect()
