@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.common import bounded_batches, sample_ids, training_text
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16  # every run of WINDOW - STRIDE + 1 words lies whole in a window
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 16
 WORD_DIM = CHAR_DIM = 8
 HIDDEN = 8

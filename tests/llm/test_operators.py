@@ -668,6 +668,13 @@ def test_labels_of_long_documents_only_are_learned(spark):
             and all(x in r.text for x in r.cut.split("\n")))
 
 
+def test_toxicity_passages_lie_whole_in_a_window():
+    n = 17  # half a window and one word more
+    for size in (17, 32, 33, 48, 49, 200):
+        w = [set(x.tolist()) for x in toxicity.windows(np.arange(size), 999)]
+        assert all(any(set(range(at, at + n)) <= x for x in w) for at in range(size - n + 1))
+
+
 # the pipeline
 def test_pipeline_edge(spark, edge):
     rows = corpus_pipeline.run(spark, edge).collect()
