@@ -3,8 +3,8 @@ softmax, trained by stochastic gradient descent in numpy, with a calibrated
 rejection threshold.
 
 Subwords are the byte 2-, 3- and 4-grams of the lower-cased text with every
-ASCII non-letter as a space. As the average of embeddings is linear, a trained
-model is one table of class scores per bucket.
+ASCII non-letter as a space. Every language that is known of a training row is
+a class.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ BUCKETS = 1 << 16
 DIM = 16
 EPOCHS = 12
 PER_LABEL = 400       # training documents of a language, at most
-SAMPLE = 8000         # training documents of all languages together, at most
-MAX_LABELS = 500      # languages that are learned: the most frequent ones
 MAX_CHARS = 20_000    # of a longer document so many characters are used for training
 BLOCK = 1 << 20       # bytes hashed at a time
 MULTIPLIER = np.uint32(2654435761)
@@ -54,28 +52,35 @@ def has_letter(text: str | None) -> bool:
 @dataclass
 class Model:
     labels: list[str]
-    table: np.ndarray      # class scores per bucket
+    emb: np.ndarray        # embedding per bucket
+    out: np.ndarray        # class scores per dimension
     bias: np.ndarray
     temperature: float     # divides the scores; fitted on held-back training rows
     threshold: float       # probability below which a prediction counts as rejected
 
+    @property
+    def table(self) -> np.ndarray:
+        """Class scores per bucket."""
+        return self.emb @ self.out
+
     def probabilities(self, text: str) -> np.ndarray:
-        total, n = np.zeros(len(self.labels)), 0
+        total, n = np.zeros(self.emb.shape[1]), 0
         for ids in buckets(text):
-            times = np.bincount(ids, minlength=len(self.table))
-            used = np.flatnonzero(times)  # a bucket's scores are looked up once a block
-            total += times[used] @ self.table[used]
+            times = np.bincount(ids, minlength=len(self.emb))
+            used = np.flatnonzero(times)  # a bucket's embedding is looked up once a block
+            total += times[used] @ self.emb[used]
             n += len(ids)
-        s = (total / max(n, 1) + self.bias) / self.temperature
+        s = (total / max(n, 1) @ self.out + self.bias) / self.temperature
         e = np.exp(s - s.max())
         return e / e.sum()
 
 
 def train(texts: list[str], labels: list[str], seed: int = 3, epochs: int = EPOCHS, rate: float = 0.5) -> Model:
-    """SGD over the documents; every fifth is held back to fit the temperature
-    and the threshold that 99 of 100 right predictions reach."""
-    names = sorted(set(labels))
-    y = np.array([names.index(v) for v in labels])
+    """SGD over the documents; every fifth, but none of a language of fewer
+    than five, is held back to fit the temperature and the threshold that 99
+    of 100 right predictions reach."""
+    names, y = np.unique(np.array(labels, dtype=object), return_inverse=True)
+    names = names.tolist()
     feats = []
     for t in texts:
         ids, n = np.unique(np.concatenate([*buckets(t), np.zeros(0, np.uint32)]), return_counts=True)
@@ -83,7 +88,7 @@ def train(texts: list[str], labels: list[str], seed: int = 3, epochs: int = EPOC
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     out, bias = rng.normal(0, 0.1, (DIM, len(names))).astype(np.float32), np.zeros(len(names), np.float32)
-    back = np.arange(len(y)) % 5 == 4
+    back = (np.arange(len(y)) % 5 == 4) & (np.bincount(y)[y] >= 5)
     learn = np.flatnonzero(~back)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
@@ -99,9 +104,8 @@ def train(texts: list[str], labels: list[str], seed: int = 3, epochs: int = EPOC
             bias -= step * 0.1 * p
             # an average over thousands of subwords: scale the step up again
             emb[ids] -= (step * 50 * w)[:, None] * to_hidden[None, :]
-    table = emb @ out
     held = np.flatnonzero(back) if back.any() else learn
-    scores = np.stack([feats[i][1] @ table[feats[i][0]] + bias for i in held])
+    scores = np.stack([feats[i][1] @ emb[feats[i][0]] @ out + bias for i in held])
     right = scores.argmax(1) == y[held]
 
     def prob(t: float) -> np.ndarray:
@@ -112,21 +116,18 @@ def train(texts: list[str], labels: list[str], seed: int = 3, epochs: int = EPOC
     loss = [-np.log(np.maximum(prob(t)[np.arange(len(held)), y[held]], 1e-12)).mean() for t in grid]
     t = float(grid[int(np.argmin(loss))])
     sure = np.sort(prob(t).max(1)[right])
-    return Model(names, table, bias, t, float(sure[int(0.01 * len(sure))]) if len(sure) else 1.0)
+    return Model(names, emb, out, bias, t, float(sure[int(0.01 * len(sure))]) if len(sure) else 1.0)
 
 
 def fit(docs: DataFrame, learn, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
         per_label: int = PER_LABEL) -> Model | None:
     """Model from a bounded sample of the rows where ``learn`` holds and the
-    language is known: at most ``per_label`` documents of a language and SAMPLE
-    of all. Those of more than MAX_CHARS characters are taken last, and in
-    pieces of that many. None if there are none."""
+    language is known: all languages, at most ``per_label`` documents of each.
+    Those of more than MAX_CHARS characters are taken last, and in pieces of
+    that many. None if there are none."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(learn & F.col("lang").isNotNull() & (F.length("text") >= 1)).withColumn("long", F.length("text") > MAX_CHARS)
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LABELS).select("lang")
-    rows = rows.join(F.broadcast(top), "lang", "left_semi")
-    per_label = min(per_label, SAMPLE // max(1, top.count()))
-    # ids has at most SAMPLE rows
+    # ids has at most per_label rows a language
     ids = sample_ids(rows, "doc_id", "lang", per_label, last="long").select("doc_id").distinct()
     got = (rows.join(F.broadcast(ids), "doc_id", "left_semi")
                .select("doc_id", "lang", training_text(F.col("text"), MAX_CHARS).alias("text")))

@@ -593,6 +593,25 @@ def test_langid_edge(spark, edge):
         langid.BLOCK = old
 
 
+def test_langid_learns_every_language(spark):
+    rng = random.Random(6)
+    name = lambda i: f"l{i:03d}"
+    words = {i: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(12)) for i in range(520)}
+    # the rarest languages have the names that come last among equals
+    rows = [(i * 10 + k, f"{words[i]} {words[i]}", name(i)) for i in range(520) for k in range(2 if i < 500 else 1)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert model.labels == [name(i) for i in range(520)]
+    # as many documents a language with many languages as with few
+    docs = spark.createDataFrame([(i, "", name(i % 30)) for i in range(30 * 300)], "doc_id long, text string, lang string")
+    seen, old = [], langid.train
+    langid.train = lambda texts, labels: seen.extend(labels)
+    try:
+        langid.fit(docs.withColumn("text", F.lit("a b")), F.lit(True))
+    finally:
+        langid.train = old
+    assert Counter(seen) == {name(i): 300 for i in range(30)}
+
+
 # 10
 def test_toxicity_gradients():
     words = [w.encode() for w in "the of and bad worse worst fine good".split()]
