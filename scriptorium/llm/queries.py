@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import ann, langid, mixing, packing, secrets, simhash, substring, topk, toxicity, warc
+from scriptorium.llm import ann, divergence, langid, mixing, packing, phrases, secrets, simhash, substring, topk, toxicity, warc
 from scriptorium.llm.common import held_out, table_path, word_count
 
 TOP_K = 20
@@ -84,8 +84,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collocations of every language, from all documents."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergences of all sources, from all documents."""
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op3_mixing, op4_substring, op5_topk, op6_packing,
-                                   op7_secrets, op8_langid, op9_ann, op10_toxicity)}
+                                   op7_secrets, op8_langid, op9_ann, op10_toxicity, op12_phrases, op13_divergence)}
 
 ORACLES = {
     "op1_warc": """
@@ -114,4 +124,47 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::bigin
   FROM e q JOIN e c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank, vec_id, score
 FROM s QUALIFY rank <= 20""",
+    "op12_phrases": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(ps), '[^\x20\x09]+') AS w FROM d),
+g1 AS (SELECT lang, unnest(w) AS phrase FROM p),
+g2 AS (SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM p),
+g3 AS (SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS phrase FROM p),
+t AS (SELECT lang, count(*) AS n FROM g1 GROUP BY 1),
+f AS (SELECT lang, phrase, 1 AS words, count(*) AS f FROM g1 GROUP BY 1, 2
+  UNION ALL SELECT lang, phrase, 2, count(*) FROM g2 GROUP BY 1, 2 HAVING count(*) >= 10
+  UNION ALL SELECT lang, phrase, 3, count(*) FROM g3 GROUP BY 1, 2 HAVING count(*) >= 10),
+c AS (SELECT lang, phrase, words, f AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1),
+k AS (SELECT *, unnest(range(1, words)) AS k FROM c),
+s AS (SELECT k.lang, k.phrase, k.a, k.k, x.f AS l, y.f AS r, (1000000::hugeint * a * a) // (x.f::hugeint * y.f) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.w[1:k.k], ' ')
+  JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.w[k.k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, w[1] || ' ' || w[2] AS phrase FROM c WHERE words = 3
+  UNION ALL SELECT lang, a, w[2] || ' ' || w[3] FROM c WHERE words = 3) GROUP BY 1, 2),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT o.lang, rank, phrase, a, l, r, n, score::bigint AS score FROM o JOIN t ON t.lang = o.lang WHERE rank <= 2000""",
+    "op13_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+o AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM o GROUP BY 1, 2 HAVING count(DISTINCT id) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(total)::bigint AS ln FROM k GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT lang, source, coalesce((SELECT sum(n) FROM c WHERE c.lang = x.lang AND c.source = x.source), 0)::hugeint AS gn
+  FROM (SELECT DISTINCT lang, source FROM d) x),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+  (1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (g.gn + 2 * v.v))::hugeint AS p,
+  (1 + (1000000000::hugeint * (k.total + 2)) // (v.ln::hugeint + 2 * v.v))::hugeint AS q
+  FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pr AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pa AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::bigint AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN pr ON pr.lang = x.lang AND pr.source = x.source AND pr.item = y.source),
+te AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::bigint AS value FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::int AS rank
+  FROM (SELECT * FROM pa UNION ALL SELECT * FROM te))
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10""",
 }
