@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import ann, divergence, langid, mixing, packing, phrases, secrets, simhash, substring, topk, toxicity, warc
+from scriptorium.llm import ann, divergence, htmltext, langid, mixing, packing, phrases, secrets, simhash, substring, topk, toxicity, warc
 from scriptorium.llm.common import held_out, table_path, word_count
 
 TOP_K = 20
@@ -84,6 +84,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = _table(spark, sf_dir, "pages")
+    return htmltext.extract_text(pages.select("page_id", "url", "html"), htmltext.fit(pages)).select(
+        "page_id", "url", "text", "n_chars")
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collocations of every language, from all documents."""
     return phrases.collocations(_table(spark, sf_dir, "documents"))
@@ -95,7 +102,7 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op3_mixing, op4_substring, op5_topk, op6_packing,
-                                   op7_secrets, op8_langid, op9_ann, op10_toxicity, op12_phrases, op13_divergence)}
+                                   op7_secrets, op8_langid, op9_ann, op10_toxicity, op11_html, op12_phrases, op13_divergence)}
 
 ORACLES = {
     "op1_warc": """
@@ -124,6 +131,14 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::bigin
   FROM e q JOIN e c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank, vec_id, score
 FROM s QUALIFY rank <= 20""",
+    # the given pages hold their main text in one article element of headings and paragraphs
+    "op11_html": r"""
+WITH a AS (SELECT page_id, url, coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '') AS body FROM pages),
+b AS (SELECT page_id, url, string_split_regex(regexp_replace(regexp_replace(body, '</?b>', '', 'g'), '<br>', ' ', 'g'), '<[^<>]*>') AS parts FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(
+  replace(regexp_replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;?', '"', 'g'), '&amp;', '&'), '\s+', ' ', 'g'))),
+  lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text)::bigint AS n_chars FROM t""",
     "op12_phrases": r"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
 p AS (SELECT lang, regexp_extract_all(unnest(ps), '[^\x20\x09]+') AS w FROM d),
