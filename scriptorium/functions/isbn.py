@@ -4,7 +4,9 @@ checksums are unrolled weighted sums, so they stay inside whole-stage
 codegen (no higher-order functions, no UDF).
 
 Lengths are UTF-8 bytes (``octet_length``), as in the reference; digits are
-ASCII 0-9 only.
+ASCII 0-9 only. Values are cut from the original bytes: a text that is not
+valid UTF-8 is read with one character per byte (the patterns only name ASCII
+characters, so both readings cut the same bytes from a valid text).
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scriptorium.functions.entities import bytes_view, from_bytes_view
+
 # The marker grammar of the two reference dialects.
 #
 # basic: markers "ISBN", "{{BibISBN|", "ISBN="; the nearest marker wins and
@@ -71,7 +75,13 @@ def _tokens(text: Column, pattern: str, group: int, marker: str) -> Column:
 
 def isbn_tokens(text: Column, dialect: str) -> Column:
     """All candidate ISBN values of a text, markers and separators removed,
-    in text order (before the format check)."""
+    in text order (before the format check), byte for byte as they stand
+    in the text."""
+    cut = F.transform(_valid_tokens(bytes_view(text), dialect), from_bytes_view)
+    return F.when(F.is_valid_utf8(text), _valid_tokens(text, dialect)).otherwise(cut)
+
+
+def _valid_tokens(text: Column, dialect: str) -> Column:
     if _dialect(dialect) == "basic":
         return _tokens(text, BASIC_TOKEN, 0, BASIC_MARKER)
     return (F.when(text.contains("isbn="), _tokens(text, EXTENDED_TOKEN, 1, EXTENDED_MARKER))
@@ -83,8 +93,8 @@ def isbn_digits(isbn: Column) -> Column:
 
 
 def _ends_with_x(isbn: Column) -> Column:
-    # not rlike '[Xx]$': Java's $ also matches before a final line break
-    return F.right(isbn, F.lit(1)).isin("X", "x")
+    # the last byte; not rlike '[Xx]$': Java's $ also matches before a final line break
+    return F.hex(F.substring(isbn.cast("binary"), -1, 1)).isin("58", "78")
 
 
 def _length_ok(isbn: Column) -> Column:
@@ -113,7 +123,7 @@ def _digit_sum_sql(col: str, weights: list[int]) -> str:
     return " + ".join(f"(({col} div {10 ** (width - 1 - k)}) % 10) * {w}" for k, w in enumerate(weights))
 
 
-def checksum_steps(isbn: str = "isbn", out: str = "checksum_valid") -> list[str]:
+def checksum_steps(isbn: str = "isbn", out: str = "checksum_valid", strict: bool = False) -> list[str]:
     """X7-X9 as a chain of small SQL columns (lateral aliases), for
     ``DataFrame.selectExpr``: the digit strings once, the leading 9 / 13
     digits as one long, weighted digit sums by integer division, then the
@@ -125,20 +135,28 @@ def checksum_steps(isbn: str = "isbn", out: str = "checksum_valid") -> list[str]
     final X. ISBN-13: (10 - sum of the digits of all characters but the last,
     weighted 1, 3, 1, ..., mod 10) mod 10 must be the last digit; never valid
     with a final X. A trailing non-digit lets the 13th digit into the sum
-    (reference behaviour). Helper columns start with ``_ck``."""
+    (reference behaviour); ``strict`` takes spaces and hyphens off both ends
+    of the value first, so it does not. Helper columns start with ``_ck``,
+    those of the strict verdict with ``_sk``."""
+    k = "_sk" if strict else "_ck"
+    # one character per byte where the value is no UTF-8: "all but the last byte" needs that
+    value = f"if(is_valid_utf8({isbn}), {isbn}, decode(cast({isbn} AS binary), 'ISO-8859-1'))"
+    if strict:
+        value = f"trim(BOTH ' -' FROM {value})"
     w10 = [11 - i for i in range(1, 10)]
     w13 = [1 if i % 2 == 0 else 3 for i in range(13)]
     return [
-        f"regexp_replace({isbn}, '[^0-9]', '') AS _ck_dg",
-        f"regexp_replace(substring({isbn}, 1, greatest(length({isbn}) - 1, 0)), '[^0-9]', '') AS _ck_dgl",
-        "length(_ck_dg) AS _ck_nd",
-        f"right({isbn}, 1) IN ('X', 'x') AS _ck_x",
-        "ascii(right(_ck_dg, 1)) - 48 AS _ck_last",
-        "cast(rpad(substring(_ck_dg, 1, 9), 9, '0') AS bigint) AS _ck_n9",
-        "cast(rpad(substring(_ck_dgl, 1, 13), 13, '0') AS bigint) AS _ck_n13",
-        f"(11 - ({_digit_sum_sql('_ck_n9', w10)}) % 11) % 11 AS _ck_c10",
-        f"(10 - ({_digit_sum_sql('_ck_n13', w13)}) % 10) % 10 AS _ck_c13",
+        f"{value} AS {k}_v",
+        f"regexp_replace({k}_v, '[^0-9]', '') AS {k}_dg",
+        f"regexp_replace(substring({k}_v, 1, greatest(length({k}_v) - 1, 0)), '[^0-9]', '') AS {k}_dgl",
+        f"length({k}_dg) AS {k}_nd",
+        f"right({k}_v, 1) IN ('X', 'x') AS {k}_x",
+        f"ascii(right({k}_dg, 1)) - 48 AS {k}_last",
+        f"cast(rpad(substring({k}_dg, 1, 9), 9, '0') AS bigint) AS {k}_n9",
+        f"cast(rpad(substring({k}_dgl, 1, 13), 13, '0') AS bigint) AS {k}_n13",
+        f"(11 - ({_digit_sum_sql(f'{k}_n9', w10)}) % 11) % 11 AS {k}_c10",
+        f"(10 - ({_digit_sum_sql(f'{k}_n13', w13)}) % 10) % 10 AS {k}_c13",
         f"CASE WHEN octet_length({isbn}) NOT BETWEEN 9 AND 17 THEN NULL "
-        f"WHEN _ck_nd = 10 OR (_ck_nd = 9 AND _ck_x) THEN _ck_c10 = if(_ck_x, 10, _ck_last) "
-        f"WHEN _ck_nd = 13 THEN NOT _ck_x AND _ck_c13 = _ck_last END AS {out}",
+        f"WHEN {k}_nd = 10 OR ({k}_nd = 9 AND {k}_x) THEN {k}_c10 = if({k}_x, 10, {k}_last) "
+        f"WHEN {k}_nd = 13 THEN NOT {k}_x AND {k}_c13 = {k}_last END AS {out}",
     ]

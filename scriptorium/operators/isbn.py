@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.entities import decode_entities as decoded
 from scriptorium.functions.isbn import checksum_steps, format_ok, isbn_tokens, may_contain_isbn
 from scriptorium.sources.dump import order_cols
 
@@ -29,9 +30,19 @@ def isbn_count(text: Column, dialect: str = "extended") -> Column:
     return F.when(may_contain_isbn(text, dialect), F.size(isbn_candidates(text, dialect))).otherwise(F.lit(0))
 
 
-def extract_isbns(articles: DataFrame, dialect: str = "basic") -> DataFrame:
+def extract_isbns(articles: DataFrame, dialect: str = "basic", decode_entities: bool = False,
+                  strict: bool = False) -> DataFrame:
     """One row per ISBN found: ``title, hit_no, isbn, checksum_valid`` and the
-    order key. ``checksum_valid`` is null in the basic dialect."""
+    order key. ``checksum_valid`` is null in the basic dialect.
+
+    ``decode_entities``: read the text with its character references decoded
+    once; ``ISBN&nbsp;`` of the wikitext, which a dump stores as
+    ``ISBN&amp;nbsp;``, is found only so. ``strict``: the verdict is of the
+    value without spaces and hyphens around it, so that ``9780306406157 `` in
+    a template is valid (without it, the reference's verdict: wrong).
+    """
+    if decode_entities:
+        articles = articles.withColumn("text", decoded(F.col("text")))
     text = F.col("text")
     key = order_cols(articles)
     found = (articles
@@ -43,7 +54,7 @@ def extract_isbns(articles: DataFrame, dialect: str = "basic") -> DataFrame:
              .filter(F.col("isbn").isNotNull()))
     if dialect == "extended":
         # the verdict as a chain of small steps (see checksum_steps)
-        found = found.selectExpr("*", *checksum_steps("isbn", "_verdict"))
+        found = found.selectExpr("*", *checksum_steps("isbn", "_verdict", strict))
         verdict = F.col("_verdict")
     else:
         verdict = F.lit(None).cast("boolean")

@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from scriptorium.functions.entities import decode_entities as decoded
 from scriptorium.functions.text import contains_term, hit_offsets_udf, smallest_period, split_at_hits
 from scriptorium.sources.dump import order_cols
 
@@ -63,21 +64,25 @@ def _slice(data: Column, fn) -> Column:
     return F.transform(F.array(data), fn)[0]
 
 
-def search_kwic(articles: DataFrame, term: str, context: int = 100, unit: str = "chars") -> DataFrame:
+def search_kwic(articles: DataFrame, term: str, context: int = 100, unit: str = "chars",
+                decode_entities: bool = False) -> DataFrame:
     """All hits of ``term`` with their context.
 
     ``unit="chars"``: positions and context width in characters, context is
     a string; an article with a hit that is not valid UTF-8 fails the job
     (characters are not defined there). ``unit="bytes"``: as the reference,
     positions and width in bytes of any text; the context is BINARY because a
-    byte window can cut a character. Text is raw wikitext (no entity
-    decoding): search ``AT&amp;T`` to find ``AT&T``.
+    byte window can cut a character. Text is raw wikitext: search
+    ``AT&amp;T`` to find ``AT&T``, or ask for ``decode_entities``, which
+    searches, counts and cuts the text with its character references decoded.
 
     Columns: ``title, match_no, match_pos, context`` and the order key.
     """
     _check(term, context)
     if unit not in ("chars", "bytes"):
         raise ValueError("unit must be 'chars' or 'bytes'")
+    if decode_entities:
+        articles = articles.withColumn("text", decoded(F.col("text")))
     if term == "":
         # an empty term is never found
         return articles.filter(F.lit(False)).select(

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.operators import reports
+from scriptorium.plans import rich
 from scriptorium.operators.articles import extract_articles, extract_title, per_article, read_articles, scan_counters
 from scriptorium.operators.categories import category_counts, category_stats, category_usage
 from scriptorium.functions.isbn import checksum_steps
@@ -191,4 +192,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "isbn_filter_title": q_isbn_filter_title,
     "isbn_filter_summary": q_isbn_filter_summary,
     "per_article": q_per_article,
+    **rich.QUERIES,
 }

@@ -9,7 +9,7 @@ own string search, and page offsets add up the written line lengths.
 
 from __future__ import annotations
 
-from scriptorium.plans import catalog
+from scriptorium.plans import catalog, rich
 from scriptorium.plans.fixtures import DROPPED_EVERY, DROPPED_PAGES, DUMP_HEADER, PAGES_PER_FILE, page_xml_sql, wikitext_sql
 
 
@@ -133,4 +133,4 @@ def _sql() -> dict[str, str]:
     }
 
 
-ORACLES: dict[str, str] = _sql()
+ORACLES: dict[str, str] = {**_sql(), **rich.ORACLES}
