@@ -136,17 +136,18 @@ def test_observed_counters(spark, tmpdir_run):
     assert obs.get == {"pages_found": 3, "articles": 2}
 
 
-def test_running_offsets_carry_across_batches():
+def test_split_summaries_carry_across_batches():
     import pandas as pd
 
-    from scriptorium.sources.dump import _running_offsets
+    from scriptorium.sources.dump import _split_summaries
 
     rows = [(1, 1, 10), (1, 2, 20), (1, 3, 30), (2, 9, 5), (3, 4, 7), (3, 5, 8)]
-    df = pd.DataFrame(rows, columns=["split", "seq", "w"]).assign(page_at=0, length=1)
+    df = pd.DataFrame(rows, columns=["split", "seq", "w"]).assign(page_at=0, length=1, file_path="f", file_block_start=0, file_size=9)
     for cut in range(0, len(rows) + 1):
-        batches = [df.iloc[:cut], df.iloc[cut:]]
-        out = pd.concat(list(_running_offsets(iter(batches))))
-        assert out["local_off"].tolist() == [0, 10, 30, 0, 0, 7], cut
+        out = pd.concat(list(_split_summaries(iter([df.iloc[:cut], df.iloc[cut:]]))))
+        pages, sums = out[out["bytes"].isna()], out[out["bytes"].notna()]
+        assert pages["local_off"].tolist() == [0, 10, 30, 0, 0, 7], cut
+        assert sums[["split", "bytes", "seq"]].astype(int).values.tolist() == [[1, 60, 3], [2, 5, 9], [3, 15, 5]], cut
 
 
 def test_missing_close_tag_mid_file(spark, tmpdir_run):
@@ -197,3 +198,90 @@ def test_text_tag_length(spark, tmpdir_run):
     pages_ = "".join(f"<page><title>T{n}</title><text a='{'y' * n}'>x{n}</text></page>\n" for n in range(490, 530))
     write_files(tmpdir_run, {"t.xml": pages_})
     assert articles_of(spark, tmpdir_run) == [(f"T{n}", f"x{n}") for n in range(490, 530)]
+
+
+def _scans(df):
+    """Text scans of the executed plan."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    return final.count("FileScan text")
+
+
+def test_plain_dump_is_scanned_once(spark, tmpdir_run):
+    write_files(tmpdir_run, {"whole.xml": "<m>" + page("A", "a") * 3 + "</m>", "cut.xml": page("B", "b") + "<page><title>C</title><text>c</text>"})
+    assert _scans(read_articles(spark, tmpdir_run)) == 1
+    assert articles_of(spark, tmpdir_run) == [("B", "b")] + [("A", "a")] * 3
+    assert _scans(page_index(spark, tmpdir_run)) == 0  # its one scan is in the checkpoint it wrote
+
+
+def test_open_end_equal_to_earlier_pages(spark, tmpdir_run):
+    one = "\n<page><title>A</title><text>a</text>"
+    whole = "</page>".join([one] * 40)
+    files = {"a.xml": "<m>" + whole, "b.xml": whole, "c.xml": b"\xef\xbb\xbf" + one[1:].encode() + b"</page>" + one[1:].encode()}
+    write_files(tmpdir_run, files)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for split in ("128MB", "300", "97"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            rows = read_pages(spark, tmpdir_run).orderBy("file_path", "file_block_start", "seq").collect()
+            got = {}
+            for r in page_index(spark, tmpdir_run).orderBy("file_path", "file_block_start", "seq").collect():
+                got.setdefault(r.file_path.rsplit("/", 1)[1], []).append((r.start_pos, r.length))
+            for name, data in files.items():
+                data = data if isinstance(data, bytes) else data.encode()
+                want = brute.split_pages(data)
+                assert [r.page.encode() for r in rows if r.file_path.endswith(name)] == [p for _, p in want], (split, name)
+                assert got.get(name, []) == [(s, len(p)) for s, p in want], (split, name)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_many_files_ends_are_read_by_tasks(spark, tmpdir_run, monkeypatch):
+    from scriptorium.sources import dump
+
+    files = {f"f{i:03}.xml": page(f"P{i}", "x") + (page("open", "y")[:-12] if i % 7 == 0 else "") for i in range(90)}
+    write_files(tmpdir_run, files)
+    ends = dump.file_ends(spark, tmpdir_run)
+    assert sorted(e.path.rsplit("/", 1)[1] for e in ends) == [n for i, n in enumerate(files) if i % 7 == 0] and not any(e.twin for e in ends)
+    want = [(f"P{i}", "x") for i in range(90)]
+    assert articles_of(spark, tmpdir_run) == want
+    monkeypatch.setattr(dump, "LISTED_ENDS", 5)  # too many for a list: a table
+    assert articles_of(spark, tmpdir_run) == want
+
+
+def test_ends_of_unreadable_and_packed_files_are_scanned(spark, tmpdir_run, monkeypatch):
+    import gzip
+
+    from scriptorium.sources import dump
+
+    cut = page("A", "a") + page("B", "b") + "<page><title>C</title><text>c</text>"
+    write_files(tmpdir_run, {"a.xml.gz": gzip.compress(cut.encode()), "b.xml": cut, "c.xml": page("D", "d"), "d.xml": "no page"})
+
+    def no(uri):
+        raise OSError("not from here")
+
+    monkeypatch.setattr(dump, "_open", no)
+    assert articles_of(spark, tmpdir_run) == [("A", "a"), ("B", "b")] * 2 + [("D", "d")]
+    assert page_index(spark, tmpdir_run).count() == 5
+
+
+def test_file_end_reads_back_to_the_last_closing_tag(tmpdir_run):
+    import hashlib
+
+    from scriptorium.sources.dump import file_end
+
+    rng = random.Random(8)
+    for i in range(300):
+        data = b"".join(rng.choice([b"<page>", b"</page>", b"x", b"\n", b"</pa", b"<page", b"\xef\xbb\xbf"]) for _ in range(rng.randint(0, 30)))
+        name = f"{i}.xml"
+        write_files(tmpdir_run, {name: data})
+        got = file_end(f"file:{tmpdir_run}/{name}", 10, block=rng.choice([1, 3, 64]))
+        cut = data.rfind(b"</page>")
+        rest = data[cut + 7:] if cut >= 0 else data.removeprefix(b"\xef\xbb\xbf")
+        if b"<page>" not in rest:
+            assert got is None, data
+        else:
+            assert (got.start, got.size, got.digest) == (cut + 7 if cut >= 0 else 0, len(rest), hashlib.md5(rest).hexdigest()), data
