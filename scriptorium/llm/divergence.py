@@ -24,12 +24,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import materialize
-from scriptorium.llm.ngrams import Prefixes, class_table, number_texts, runs, text_blocks, text_bytes
+from scriptorium.llm.ngrams import Prefixes, class_table, number_texts, runs, slices, text_blocks, text_bytes
 
 LEAST_DOCS = 10            # documents of a language that must hold a kept term
 SCALE = 1_000_000_000
-STRIPE_CELLS = 500_000     # counts that a partition holds before it hands its stripes on
-BLOCK_BYTES = 4 << 20      # bytes of text folded at a time
+STRIPE_CELLS = 300_000     # counts that a partition holds before it hands its stripes on
+BLOCK_BYTES = 2 << 20      # bytes of text folded at a time
 TILE_SOURCES = 64          # sources on either side of a tile
 TILE_TERMS = 16_384        # about so many terms in a tile
 TERM = class_table((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
@@ -96,11 +96,11 @@ class Stripes:
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     stripes = Stripes()
-    for batch in batches:
-        texts, langs, sources = text_bytes(batch["text"]), batch["lang"].to_pylist(), batch["source"].to_pylist()
+    for batch in (part for whole in batches for part in slices(whole)):
         by_lang: dict[str, list[int]] = {}
-        for i, lang in enumerate(langs):
+        for i, lang in enumerate(batch["lang"].to_pylist()):
             by_lang.setdefault(lang, []).append(i)
+        texts, sources = text_bytes(batch["text"]), batch["source"].to_pylist()
         for lang, at in by_lang.items():
             stripes.add(lang, [texts[i] for i in at], [sources[i] for i in at])
         if stripes.cells >= STRIPE_CELLS:

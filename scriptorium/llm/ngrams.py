@@ -33,6 +33,12 @@ def class_table(*outside: tuple[int, int]) -> np.ndarray:
     return t
 
 
+def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of a few rows, so that its texts are not all held twice."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a string column (null: empty)."""
     return [b or b"" for b in column.cast(pa.large_binary()).to_pylist()]
@@ -53,13 +59,24 @@ def _powers(base: int, n: int) -> np.ndarray:
     return (high[:, None] * low[None, :]).reshape(-1)[:n]
 
 
+_known = {BASE: np.zeros(0, np.uint64), INVERSE: np.zeros(0, np.uint64)}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """``_powers``, kept from block to block."""
+    if len(_known[base]) < n:
+        _known[base] = _powers(base, n)
+    return _known[base][:n]
+
+
 class Prefixes:
     """Prefix polynomials of a stretch of bytes: the fingerprint of bytes
     [start, end) is their difference, shifted back to power 0 and mixed."""
 
     def __init__(self, raw: np.ndarray):
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(VALUE[raw] * _powers(BASE, len(raw)))))
-        self.back = _powers(INVERSE, len(raw) + 1)
+        self.sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(VALUE[raw] * powers(BASE, len(raw)), out=self.sums[1:])
+        self.back = powers(INVERSE, len(raw) + 1)
 
     def fingerprints(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = (self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64)
@@ -67,7 +84,7 @@ class Prefixes:
         return h ^ (h >> np.uint64(29))
 
 
-def same_text(raw: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray, block: int = 1 << 21) -> np.ndarray:
+def same_text(raw: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray, block: int = 1 << 18) -> np.ndarray:
     """Whether the bytes [a, a + length) and [b, b + length) are equal, per row."""
     out = a == b
     todo = np.flatnonzero(~out)

@@ -3,8 +3,8 @@
 1. Partitions lay their texts end to end, lower-cased and with one space
    between the words of a piece, and hash every 1- and 2-gram from numpy prefix
    polynomials. Equal fingerprints are counted in the partition; the shuffle
-   adds up (language, words, fingerprint) and keeps what occurs often enough.
-   A collision can only raise such a count, so no frequent phrase is lost.
+   adds up a language's fingerprints and keeps what occurs often enough. A
+   collision can only raise such a count, so no frequent phrase is lost.
 2. The kept fingerprints go into a filter of a fixed number of bits, which is
    all that is broadcast. The texts are read again: where the filter holds an
    n-gram's fingerprint, all its occurrences in a block are compared, byte by
@@ -36,12 +36,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import materialize
-from scriptorium.llm.ngrams import Prefixes, number_texts, runs, text_blocks, text_bytes
+from scriptorium.llm.ngrams import Prefixes, number_texts, runs, slices, text_blocks, text_bytes
 
 LEAST = 10                 # occurrences of a candidate
 TOP = 2000                 # phrases returned of a language
-BLOCK_BYTES = 4 << 20      # bytes of text hashed at a time
+BLOCK_BYTES = 1 << 20      # bytes of text hashed at a time
 HELD = 1_000_000           # fingerprints that a partition holds before it hands them on
+TEXTS_HELD = 200_000       # phrases likewise
 FILTER_BITS = 1 << 26      # 8 MB
 FILTER_PROBES = 3
 
@@ -56,8 +57,8 @@ KIND[list(PIECE_ENDS)] = 2
 _WORD_END = re.compile(rb"[ \t.,;:!?\n\x0b-\r]")
 _TWO_WORDS = re.compile(rb"(?:[ \t]+[^ \t.,;:!?\n\x0b-\r]+){0,2}")
 
-_COUNTS = "lang string, words int, fp bigint, n bigint"
-_PHRASES = "lang string, words int, phrase string, n bigint"
+_COUNTS = "fp bigint, n bigint"
+_PHRASES = "lang string, phrase string, n bigint"
 
 
 class Words:
@@ -81,25 +82,26 @@ class Words:
         self.start, self.end = place[start], place[end - 1] + 1
         self.piece = piece
 
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First word, start and end of all n-grams."""
+    def grams(self, n: int, own: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word, start and end of all n-grams (``own``: of the block's own)."""
         size = len(self.start) - n + 1
         if size <= 0:
             return (np.zeros(0, np.int64),) * 3
-        first = np.flatnonzero((self.piece[:size] == self.piece[n - 1:]) & self.own[:size])
+        first = np.flatnonzero((self.piece[:size] == self.piece[n - 1:]) & (self.own[:size] | (not own)))
         return first, self.start[first], self.end[first + n - 1]
 
 
 def blocks(batch: pa.RecordBatch) -> Iterator[tuple[str, Words]]:
     """Blocks of a batch's texts by language."""
-    by_lang: dict[str, list[tuple[bytes, int]]] = {}
-    for lang, text in zip(batch["lang"].to_pylist(), text_bytes(batch["text"])):
-        by_lang.setdefault(lang, []).extend(_stretches(text))
-    for lang, parts in by_lang.items():
-        for numbers, raw, bound in text_blocks([p[0] for p in parts], BLOCK_BYTES):
-            beyond = [(int(b) + parts[i][1], int(b) + len(parts[i][0])) for i, b in zip(numbers, bound)
-                      if parts[i][1] < len(parts[i][0])]
-            yield lang, Words(raw, beyond)
+    for part in slices(batch):
+        by_lang: dict[str, list[tuple[bytes, int]]] = {}
+        for lang, text in zip(part["lang"].to_pylist(), text_bytes(part["text"])):
+            by_lang.setdefault(lang, []).extend(_stretches(text))
+        for lang, parts in by_lang.items():
+            for numbers, raw, bound in text_blocks([p[0] for p in parts], BLOCK_BYTES):
+                beyond = [(int(b) + parts[i][1], int(b) + len(parts[i][0])) for i, b in zip(numbers, bound)
+                          if parts[i][1] < len(parts[i][0])]
+                yield lang, Words(raw, beyond)
 
 
 def _stretches(text: bytes) -> Iterator[tuple[bytes, int]]:
@@ -116,53 +118,77 @@ def _stretches(text: bytes) -> Iterator[tuple[bytes, int]]:
     yield text[at:], len(text) - at
 
 
-def _bits(fp: np.ndarray, words: int, lang: int) -> list[np.ndarray]:
-    """Bits of the filter for fingerprints of a language."""
-    h = fp ^ np.uint64((lang * 0x9E3779B97F4A7C15 + words) & (2**64 - 1))
-    out = []
-    for _ in range(FILTER_PROBES):
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        out.append((h >> np.uint64(38)).astype(np.int64))
-    return out
+def _own(fp: np.ndarray, lang: str, words: int) -> np.ndarray:
+    """Fingerprints of one language's n-grams, apart from those of others."""
+    h = fp ^ np.uint64((zlib.crc32(lang.encode("utf-8", "surrogatepass")) * 4 + words) * 0x9E3779B97F4A7C15 & (2**64 - 1))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(31))
 
 
-def _lang_number(lang: str) -> int:
-    return zlib.crc32(lang.encode("utf-8", "surrogatepass"))
+def _bits(fp: np.ndarray) -> list[np.ndarray]:
+    """Bits of the filter for fingerprints."""
+    h, out = fp, []
+    for _ in range(FILTER_PROBES):
+        out.append((h % np.uint64(FILTER_BITS)).astype(np.int64))
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return out
 
 
-def passes(bits: np.ndarray, fp: np.ndarray, words: int, lang: str) -> np.ndarray:
+def passes(bits: np.ndarray, fp: np.ndarray) -> np.ndarray:
     """Whether the filter may hold the fingerprints."""
     out = np.ones(len(fp), bool)
-    for b in _bits(fp, words, _lang_number(lang)):
+    for b in _bits(fp):
         out &= (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1 != 0
     return out
 
 
-class Counter:
+class Counts:
     """Fingerprint counts of a partition, handed on when there are many."""
 
     def __init__(self):
-        self.parts: dict[tuple[str, int], list] = {}
+        self.parts: list = []
         self.held = 0
 
-    def add(self, lang: str, words: int, fp: np.ndarray) -> None:
+    def add(self, fp: np.ndarray) -> None:
         fp, n = np.unique(fp, return_counts=True)
-        self.parts.setdefault((lang, words), []).append((fp, n))
+        self.parts.append((fp, n))
         self.held += len(fp)
 
     def take(self) -> Iterator[pa.RecordBatch]:
-        for (lang, words), parts in self.parts.items():
-            fp, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            n = np.bincount(back, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
+        if self.parts:
+            fp = np.concatenate([p[0] for p in self.parts])
+            by = np.argsort(fp)
+            fp, n = fp[by], np.concatenate([p[1] for p in self.parts])[by]
+            first = np.flatnonzero(np.concatenate((np.ones(min(len(fp), 1), bool), fp[1:] != fp[:-1])))
+            fp, n = fp[first].view(np.int64), np.add.reduceat(n, first) if len(first) else n
             for at in range(0, len(fp), 100_000):
-                yield _rows(lang, words, fp=pa.array(fp[at:at + 100_000].view(np.int64)), n=pa.array(n[at:at + 100_000]))
-        self.parts, self.held = {}, 0
+                yield pa.RecordBatch.from_arrays([pa.array(fp[at:at + 100_000]), pa.array(n[at:at + 100_000])], names=["fp", "n"])
+        self.parts, self.held = [], 0
+
+
+class Texts:
+    """Phrase counts of a partition by language and text, handed on when there are many."""
 
+    def __init__(self):
+        self.parts: list[pa.Table] = []
+        self.held = self.whole = 0
+
+    def add(self, lang: str, phrase: pa.Array, n: np.ndarray) -> None:
+        self.parts.append(pa.table({"lang": pa.array([lang], pa.string()).take(pa.array(np.zeros(len(phrase), np.int32))),
+                                    "phrase": phrase, "n": pa.array(n)}))
+        self.held += len(phrase)
+        if self.held >= TEXTS_HELD + 2 * self.whole:
+            t = self._sum()
+            self.parts, self.held, self.whole = [t], len(t), len(t)
+
+    def _sum(self) -> pa.Table:
+        t = pa.concat_tables(self.parts).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")])
+        return t.rename_columns({"n_sum": "n"}).select(["lang", "phrase", "n"])
 
-def _rows(lang: str, words: int, **columns: pa.Array) -> pa.RecordBatch:
-    size = len(next(iter(columns.values())))
-    return pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), pa.array(np.full(size, words, np.int32)), *columns.values()],
-                                      names=["lang", "words", *columns])
+    def take(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            yield from self._sum().to_batches(max_chunksize=100_000)
+        self.parts, self.held, self.whole = [], 0, 0
 
 
 def _count(orders: tuple[int, ...], both=None):
@@ -170,45 +196,48 @@ def _count(orders: tuple[int, ...], both=None):
     filter ``both`` (a broadcast)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter()
+        counts = Counts()
         for batch in batches:
             for lang, words in blocks(batch):
                 hashes = Prefixes(words.raw)
                 if both is not None:
-                    first, start, end = words.grams(2)
+                    first, start, end = words.grams(2, own=False)
                     good = np.zeros(len(words.start) + 1, bool)
-                    good[first] = passes(both.value, hashes.fingerprints(start, end), 2, lang)
+                    good[first] = passes(both.value, _own(hashes.fingerprints(start, end), lang, 2))
                 for n in orders:
                     first, start, end = words.grams(n)
                     if both is not None:
                         keep = good[first] & good[first + 1]
                         start, end = start[keep], end[keep]
-                    counter.add(lang, n, hashes.fingerprints(start, end))
-                if counter.held >= HELD:
-                    yield from counter.take()
-        yield from counter.take()
+                    counts.add(_own(hashes.fingerprints(start, end), lang, n))
+                if counts.held >= HELD:
+                    yield from counts.take()
+        yield from counts.take()
 
     return run
 
 
 def _cut(orders: tuple[int, ...], wanted):
     """Phrases whose fingerprints pass the filter ``wanted`` (a broadcast),
-    counted by text in every block."""
+    counted by text; with 1-grams also the number of words, as phrase ''."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = Texts()
         for batch in batches:
             for lang, words in blocks(batch):
                 hashes = Prefixes(words.raw)
                 for n in orders:
                     _, start, end = words.grams(n)
+                    if n == 1:
+                        texts.add(lang, pa.array([""]), np.array([len(start)]))
                     fp = hashes.fingerprints(start, end)
-                    keep = passes(wanted.value, fp, n, lang)
+                    keep = passes(wanted.value, _own(fp, lang, n))
                     start, end = start[keep], end[keep]
-                    if not len(start):
-                        continue
                     number, first = number_texts(words.raw, fp[keep], start, end)
-                    count = np.bincount(number, minlength=len(first))
-                    yield _rows(lang, n, phrase=_strings(words.raw, start[first], end[first]), n=pa.array(count.astype(np.int64)))
+                    texts.add(lang, _strings(words.raw, start[first], end[first]), np.bincount(number, minlength=len(first)))
+                if texts.whole >= TEXTS_HELD:
+                    yield from texts.take()
+        yield from texts.take()
 
     return run
 
@@ -222,22 +251,18 @@ def _strings(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
 
 
 def _filter(kept: DataFrame):
-    """Broadcast filter over ``lang, words, fp``. The bits are set by Spark, so
-    the driver gets at most FILTER_BITS / 64 numbers, whatever the table holds."""
+    """Broadcast filter over ``fp``. The bits are set by Spark, so the driver
+    gets at most FILTER_BITS / 64 numbers, whatever the table holds."""
     spark = kept.sparkSession
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = pa.array(batch["lang"]).dictionary_encode()
-            lang, words, fp = np.asarray(keys.indices), np.asarray(batch["words"]), np.asarray(batch["fp"]).view(np.uint64)
-            at = [np.zeros(0, np.int64)]
-            for i, name in enumerate(keys.dictionary.to_pylist()):
-                for w in np.unique(words[lang == i]):
-                    at += _bits(fp[(lang == i) & (words == w)], int(w), _lang_number(name))
-            at = np.unique(np.concatenate(at))
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], names=["at", "bit"])
-
-    got = (kept.select("lang", "words", "fp").mapInArrow(bits, "at bigint, bit bigint")
+            at = np.unique(np.concatenate(_bits(np.asarray(batch["fp"]).view(np.uint64))))
+            first = np.flatnonzero(np.diff(at >> 6, prepend=-1))
+            bit = np.bitwise_or.reduceat(np.left_shift(np.int64(1), at & 63), first) if len(first) else at
+            yield pa.RecordBatch.from_arrays([pa.array(at[first] >> 6), pa.array(bit)], names=["at", "bit"])
+
+    got = (kept.select("fp").mapInArrow(bits, "at bigint, bit bigint")
                .groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow())
     out = np.zeros(FILTER_BITS // 64, np.int64)
     out[np.asarray(got["at"].combine_chunks())] = np.asarray(got["bits"].combine_chunks())
@@ -249,20 +274,23 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, Da
     at least ``least`` times in their language, and ``(lang, n)``, the words
     of each language (``docs`` has lang, text)."""
     docs = docs.select("lang", "text")
-    total = ["lang", "words", "fp"]
-    counted = materialize(docs.mapInArrow(_count((1, 2)), _COUNTS).groupBy(*total).agg(F.sum("n").alias("n"))
-                          # of rare fingerprints only the number of words is needed on
-                          .where((F.col("n") >= least) | (F.col("words") == 1)), "grams")
-    all_words = counted.where("words = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-    kept = counted.where(F.col("n") >= least)
-    two = _filter(kept)
-    by_text = lambda orders, wanted: (docs.mapInArrow(_cut(orders, wanted), _PHRASES).groupBy("lang", "words", "phrase")
-                                      .agg(F.sum("n").alias("n")).where(F.col("n") >= least))
-    short = materialize(by_text((1, 2), two), "phrases")
-    kept3 = materialize(docs.mapInArrow(_count((3,), two), _COUNTS).groupBy(*total).agg(F.sum("n").alias("n"))
-                        .where(F.col("n") >= least), "grams")
-    long = materialize(by_text((3,), _filter(kept3)), "phrases")
-    return short.unionByName(long), all_words
+
+    # partitions have added up what they hold: dealt out first, nothing is added up again before the exchange
+    def often(orders: tuple[int, ...], both=None) -> DataFrame:
+        counts = docs.mapInArrow(_count(orders, both), _COUNTS).repartition("fp")
+        return materialize(counts.groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "grams")
+
+    def by_text(orders: tuple[int, ...], wanted) -> DataFrame:
+        counts = docs.mapInArrow(_cut(orders, wanted), _PHRASES).repartition("lang", "phrase")
+        return materialize(counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+                                 .where((F.col("n") >= least) | (F.col("phrase") == "")), "phrases")
+
+    two = _filter(often((1, 2)))
+    short = by_text((1, 2), two)
+    long = by_text((3,), _filter(often((3,), two)))
+    size = F.size(F.split("phrase", " ")).alias("words")
+    phrases = short.where("phrase <> ''").unionByName(long).select("lang", size, "phrase", "n")
+    return phrases, short.where("phrase = '' AND n > 0").select("lang", "n")
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int = TOP) -> DataFrame:

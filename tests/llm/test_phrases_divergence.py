@@ -105,7 +105,7 @@ def test_small_blocks_and_spills_change_nothing(spark, monkeypatch):
     filter that is nearly full give the same rows."""
     rows = _docs(3, 60) + [(900, " ".join(f"w{i % 7}" for i in range(3000)), "en", "s2", 1, "z", 2, "t", 3, 4, 5)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    for module, name, value in ((phrases, "BLOCK_BYTES", 64), (phrases, "HELD", 10), (phrases, "FILTER_BITS", 1 << 26),
+    for module, name, value in ((phrases, "BLOCK_BYTES", 64), (phrases, "HELD", 10), (phrases, "FILTER_BITS", 1 << 9),
                                 (divergence, "BLOCK_BYTES", 64), (divergence, "STRIPE_CELLS", 10), (divergence, "TILE_SOURCES", 2),
                                 (divergence, "TILE_TERMS", 5)):
         monkeypatch.setattr(module, name, value)
