@@ -4,10 +4,14 @@ custom per-article job hook (U1)."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from scriptorium.sources.dump import ORDER_KEY, PAGE_CLOSE, page_records
@@ -180,21 +184,90 @@ def scan_counters(pages: DataFrame,
     return x.agg(*aggs)
 
 
+def byte_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of at most ``most`` bytes, or of one row."""
+    for batch in batches:
+        if batch.nbytes <= most or batch.num_rows <= 1:
+            yield batch
+            continue
+        half = batch.num_rows // 2
+        yield from byte_batches(iter([batch.slice(0, half), batch.slice(half)]), most)
+
+
 def per_article(articles: DataFrame,
                 fn: Callable[[pd.DataFrame], pd.DataFrame],
                 schema: StructType | str) -> DataFrame:
     """Run user Python over (title, text) batches, 0..n rows per article.
 
     ``fn`` takes a pandas DataFrame with the articles' columns and returns a
-    pandas DataFrame of ``schema``. Batches are Arrow record batches of one
-    partition, so the work is spread like the scan; they are bounded by bytes
-    (a longer article is a batch of its own). State the reference kept in a
-    shared struct becomes an aggregate over the returned rows.
+    pandas DataFrame of ``schema``. Batches are parts of one partition, so the
+    work is spread like the scan; they are bounded by bytes (a longer article
+    is a batch of its own), in the task, whatever the session's Arrow settings
+    are. A job with state is ``aggregate_articles``.
     """
-    articles.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARTICLE_BATCH_BYTES))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    out = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_batches(batches, ARTICLE_BATCH_BYTES):
+            got = fn(batch.to_pandas())
+            yield from pa.Table.from_pandas(got[list(arrow.names)], schema=arrow, preserve_index=False).to_batches()
+
+    return articles.mapInArrow(run, out)
+
+
+def aggregate_articles(articles: DataFrame,
+                       init: Callable[[], Any],
+                       step: Callable[[Any, pd.DataFrame], Any],
+                       merge: Callable[[Any, Any], Any],
+                       finish: Callable[[Any], pd.DataFrame],
+                       schema: StructType | str,
+                       fan_in: int = 64, levels: int = 4) -> DataFrame:
+    """U1 with state: a custom job over all articles whose state is any
+    Python object that can be pickled.
+
+    ``init()`` makes a state, ``step(state, batch)`` adds a pandas batch of
+    articles and returns the state, ``merge(a, b)`` joins the states of two
+    parts (``a`` stands before ``b``), ``finish(state)`` gives the rows of
+    ``schema``. Every partition folds its articles into one state; states are
+    merged ``fan_in`` at a time, in partition order, in ``levels`` rounds, so no
+    task sees more than ``fan_in`` states (for up to ``fan_in ** levels``
+    partitions) and only states cross the network. The reference's shared
+    struct and its lock become this. No article at all: ``finish(init())``.
+    """
+    if fan_in < 2 or levels < 1:
+        raise ValueError("fan_in must be at least 2, levels at least 1")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, seen = init(), False
+        for batch in byte_batches(batches, ARTICLE_BATCH_BYTES):
+            state, seen = step(state, batch.to_pandas()), True
+        if seen:
+            yield _state_rows([TaskContext.get().partitionId()], [state])
+
+    def merged(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("no")
+        states = [cloudpickle.loads(s) for s in part["state"]]
+        state = states[0]
+        for other in states[1:]:
+            state = merge(state, other)
+        return pd.DataFrame({"no": [int(part["no"].iloc[0]) // fan_in], "state": [cloudpickle.dumps(state)]})
+
+    def end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield fn(batch)
-
-    return articles.mapInPandas(run, schema)
+            for s in batch["state"]:
+                yield finish(cloudpickle.loads(s))
+
+    kind = "no long, state binary"
+    states = articles.mapInArrow(fold, kind)
+    for _ in range(levels):
+        states = states.groupBy(F.expr(f"no div {fan_in}").alias("part")).applyInPandas(merged, kind)
+    none = articles.sparkSession.createDataFrame([(1 << 62, cloudpickle.dumps(init()))], kind)
+    # the empty state stands behind all others and is dropped, unless it is alone
+    last = states.unionByName(none).groupBy().agg(F.min_by("state", "no").alias("state"))
+    return last.mapInPandas(end, schema)
+
+
+def _state_rows(numbers: list[int], states: list[Any]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array([cloudpickle.dumps(s) for s in states], pa.binary())],
+                                      names=["no", "state"])

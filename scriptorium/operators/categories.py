@@ -3,11 +3,16 @@ and usage per category name (A2)."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.numbers import c_format
 from scriptorium.functions.text import count_nonoverlapping, quote_regex
-from scriptorium.sources.dump import order_cols
+from scriptorium.operators.articles import aggregate_articles
+from scriptorium.sources.dump import ORDER_KEY, order_cols
 
 # Fixed value: the German category link tag the reference counts.
 CATEGORY_TAG = "[[Kategorie:"
@@ -81,14 +86,62 @@ STATS_TEMPLATE = (
 )
 
 
-def format_category_stats(stats: DataFrame) -> str:
-    """The summary text of ``category_stats`` (one aggregated row).
+def category_summary(stats: DataFrame) -> DataFrame:
+    """The summary text of ``category_stats`` as a row: ``summary``. Numbers
+    are rounded in the plan as C's printf does (``c_format``)."""
+    parts = re.split(r"\{(\w+)(?::\.(\d)f)?\}", STATS_TEMPLATE)
+    out = [F.lit(parts[0])]
+    for name, digits, text in zip(parts[1::3], parts[2::3], parts[3::3]):
+        value = F.col(name).cast("string") if digits is None else c_format(F.col(name), int(digits))
+        out += [value, F.lit(text)]
+    return stats.select(F.concat(*out).alias("summary"))
 
-    Formatted on the driver with Python, whose %-rounding of the exact binary
-    value is the same as C's printf (Spark's Java formatter rounds ties of
-    the shortest decimal form up instead).
-    """
-    row = stats.collect()
+
+def format_category_stats(stats: DataFrame) -> str:
+    """The summary text of ``category_stats`` (one aggregated row)."""
+    row = category_summary(stats).collect()
     if len(row) != 1:
         raise ValueError("expected the one-row result of category_stats")
-    return STATS_TEMPLATE.format(**row[0].asDict())
+    return row[0]["summary"]
+
+
+# A1 as a custom job with state, for articles that a Python step has to look at anyway.
+
+def _stats_init() -> tuple:
+    return (0, 0, 0, 0, None, "")  # articles, with links, links, maximum, order of its first article, title
+
+
+def _stats_step(tag: str):
+    def step(state: tuple, batch: pd.DataFrame) -> tuple:
+        n = batch["text"].str.count(re.escape(tag)).to_numpy()
+        total, with_links, links, most, first, title = state
+        if len(n) and n.max() > 0:
+            # batches follow each other in file order, and so do the rows of one
+            best = batch[n == n.max()]
+            keys = [c for c in (*ORDER_KEY, "title") if c in best.columns]
+            row = min(tuple(r) for r in best[keys].itertuples(index=False))
+            state = _stats_merge((total, with_links, links, most, first, title),
+                                 (0, 0, 0, int(n.max()), row, row[-1]))
+            most, first, title = state[3:]
+        return (total + len(n), with_links + int((n > 0).sum()), links + int(n.sum()), most, first, title)
+
+    return step
+
+
+def _stats_merge(a: tuple, b: tuple) -> tuple:
+    best = min((s for s in (a, b) if s[3] > 0), key=lambda s: (-s[3], s[4]), default=a)
+    return (a[0] + b[0], a[1] + b[1], a[2] + b[2], *best[3:])
+
+
+def _stats_finish(s: tuple) -> pd.DataFrame:
+    return pd.DataFrame([(s[0], s[1], s[2], s[3], s[5], s[1] / s[0] * 100.0 if s[0] else 0.0, s[2] / s[1] if s[1] else 0.0)],
+                        columns=["total_articles", "articles_with_cats", "total_categories", "max_categories", "max_cat_article",
+                                 "pct_with_cats", "avg_per_article_with_cats"])
+
+
+def category_stats_by_state(articles: DataFrame, tag: str = CATEGORY_TAG) -> DataFrame:
+    """``category_stats`` through ``aggregate_articles``: the same row, as an
+    example of a job whose state is a Python object."""
+    return aggregate_articles(articles, _stats_init, _stats_step(tag), _stats_merge, _stats_finish,
+                              "total_articles long, articles_with_cats long, total_categories long, max_categories long, "
+                              "max_cat_article string, pct_with_cats double, avg_per_article_with_cats double")

@@ -67,12 +67,39 @@ def extract_isbns(articles: DataFrame, dialect: str = "basic", decode_entities:
     )
 
 
-def isbn_lines(isbns: DataFrame) -> DataFrame:
+# what stands for a character that would end a line or a field
+ESCAPES = {"\n": "\\n", "\r": "\\r", "|": "\\p"}
+
+
+def escaped(field: Column) -> Column:
+    """``field`` with backslashes, line breaks and ``|`` spelt out."""
+    out = F.replace(field, F.lit("\\"), F.lit("\\\\"))
+    for char, name in ESCAPES.items():
+        out = F.replace(out, F.lit(char), F.lit(name))
+    return out
+
+
+def unescaped(field: Column) -> Column:
+    """What ``escaped`` was given. Pieces between doubled backslashes hold no
+    others than those of ESCAPES."""
+    def plain(piece: Column) -> Column:
+        for char, name in ESCAPES.items():
+            piece = F.replace(piece, F.lit(name), F.lit(char))
+        return piece
+
+    return F.array_join(F.transform(F.split(field, r"\\\\", -1), plain), "\\")
+
+
+def isbn_lines(isbns: DataFrame, escape: bool = False) -> DataFrame:
     """S3: ``title|isbn``, plus ``|CHECKSUM_WRONG`` for a failed checksum.
 
     A template value may contain a line break; it is written as a space so
-    that one ISBN stays one line (the typed table is the master copy).
+    that one ISBN stays one line (the typed table is the master copy), or, with
+    ``escape``, as ``\\n`` (``\\r``, ``\\p`` for ``|``, ``\\\\`` for a backslash), which
+    ``read_isbn_lines`` turns back.
     """
-    isbn = F.regexp_replace("isbn", r"[\r\n]", " ")
+    title, isbn = F.col("title"), F.regexp_replace("isbn", r"[\r\n]", " ")
+    if escape:
+        title, isbn = escaped(title), escaped(F.col("isbn"))
     flag = F.when(F.col("checksum_valid") == F.lit(False), F.lit(CHECKSUM_WRONG))
-    return isbns.select(F.concat_ws("|", "title", isbn, flag).alias("value"), *order_cols(isbns), "hit_no")
+    return isbns.select(F.concat_ws("|", title, isbn, flag).alias("value"), *order_cols(isbns), "hit_no")

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.entities import decode_entities as decoded
 from scriptorium.functions.text import contains_term, hit_offsets_udf, smallest_period, split_at_hits
-from scriptorium.sources.dump import order_cols
+from scriptorium.sources.dump import ORDER_KEY, order_cols
+from scriptorium.sources.ordered import write_ordered
 
 HIT_SCHEMA = "title string, match_no int, match_pos int, context string"
 
@@ -157,11 +158,13 @@ def search_lines(hits: DataFrame) -> DataFrame:
 
 def write_search_lines(hits: DataFrame, path: str, ordered: bool = False) -> int:
     """Write S4 lines from the scan's own tasks: one pass over the dump, no
-    shuffle, hits of a task in file order. ``ordered``: part files follow each
-    other in article order (a range shuffle of the hit rows, whose sampling
-    reads the dump once more). Returns the number of hits, counted while
-    writing."""
+    shuffle, hits of a task in file order. ``ordered``: a folder per split,
+    whose names follow each other in dump order (``write_ordered``; hits without
+    an order key are sorted by title). Returns the number of hits, counted
+    while writing."""
     lines = search_lines(hits)
+    if ordered and set(ORDER_KEY) <= set(lines.columns):
+        return write_ordered(lines, path, "match_no")
     if ordered:
         lines = lines.orderBy(*(order_cols(lines) or ["title"]), "match_no")
     seen = Observation("search_lines")

@@ -9,18 +9,23 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.entities import decode_columns
 from scriptorium.functions.isbn import checksum_steps
 from scriptorium.operators.articles import read_articles
-from scriptorium.operators.categories import category_counts, category_usage
+from scriptorium.functions.numbers import c_format
+from scriptorium.operators import reports
+from scriptorium.operators.categories import (category_counts, category_stats, category_stats_by_state, category_summary,
+                                              category_usage)
 from scriptorium.operators.isbn import extract_isbns
-from scriptorium.operators.search import search_kwic
+from scriptorium.operators.search import search_kwic, write_search_lines
 from scriptorium.plans.fixtures import DUMP_FOOTER, DUMP_HEADER, PAGES_PER_FILE, _exists, _stamp, code_tag, wikitext_sql
 from scriptorium.session import scratch_root
+from scriptorium.sources.isbn_file import read_isbn_lines, write_isbn_lines
 
 # (condition on doc_id, stored line, line with its references decoded)
 _LINES = (
@@ -47,6 +52,7 @@ _BASIC = ((0, "true", "i13", "CAST(NULL AS BOOLEAN)"), (2, f"doc_id % 4 = 1 AND
 LATER = "<revision><text>ISBN 3161484100 [[Kategorie:Later]] R&amp;D</text></revision>"
 TERM = "R&D été"
 CONTEXT = 12
+FILTER_ERE = "^Q&amp;A [[:digit:]]*[05]\\|978-?[[:digit:]]+(-[0-9]{1,4}){2,}+|[Xx]$"
 
 
 def rich_sql(documents: str = "documents") -> str:
@@ -122,6 +128,65 @@ def q_category_usage_rich(spark, sf_dir):
     return category_usage(_articles(spark, sf_dir))
 
 
+def q_category_summary(spark, sf_dir):
+    """The summary text, rounded in the plan."""
+    return category_summary(category_stats(_articles(spark, sf_dir)))
+
+
+def q_category_stats_state(spark, sf_dir):
+    """The statistics through a job with state."""
+    return category_stats_by_state(_articles(spark, sf_dir))
+
+
+def q_number_format(spark, sf_dir):
+    """Numbers of the documents, many of them halfway between two decimals."""
+    docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
+    n = F.col("n_chars")
+    return docs.select("doc_id", c_format(n / 8, 1).alias("eighths_1"), c_format(n / 8, 2).alias("eighths_2"),
+                       c_format(n / 1000, 2).alias("thousandths_2"), c_format(-n / 7, 6).alias("sevenths_6"), c_format(n / 2, 0).alias("halves_0"))
+
+
+def q_isbn_filter_ere(spark, sf_dir):
+    """Lines by a POSIX expression with classes, intervals and repeats of repeats."""
+    lines = _lines(spark, sf_dir)
+    return reports.isbn_filter(lines, FILTER_ERE, syntax="ere").select("value", "title")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_isbn_lines(spark, rich_lines(spark, sf_dir))
+
+
+def rich_lines(spark: SparkSession, sf_dir: str) -> str:
+    """ISBN lines of the rich dump in the shared scratch folder, in dump order
+    and escaped; written once per dump and code."""
+    dump = rich_dump(spark, sf_dir)
+    code = code_tag("sources/dump.py", "operators/articles.py", "functions/isbn.py", "operators/isbn.py", "sources/isbn_file.py",
+                    "sources/ordered.py")
+    path = f"{scratch_root(spark)}/scriptorium/isbn_lines/rich-{hashlib.sha1((dump + code).encode()).hexdigest()[:16]}"
+    if not _exists(spark, path + "/_SUCCESS"):
+        write_isbn_lines(extract_isbns(_articles(spark, sf_dir), "extended"), path, ordered=True, escape=True)
+    return path
+
+
+def q_isbn_lines_ordered(spark, sf_dir):
+    """Lines written in dump order, read back with their place in the files."""
+    lines = _lines(spark, sf_dir)
+    place = F.row_number().over(Window.orderBy(*reports.LINE_ORDER)).cast("long")
+    return lines.select(place.alias("line_no"), "value")
+
+
+def q_search_lines_ordered(spark, sf_dir):
+    """Search output written in dump order, read back line by line."""
+    hits = search_kwic(_articles(spark, sf_dir), TERM, CONTEXT, decode_entities=True)
+    path = f"{scratch_root(spark)}/scriptorium/search_lines/{uuid.uuid4().hex}"
+    write_search_lines(hits, path, ordered=True)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file_path"),
+                                         F.col("_metadata.file_block_start").alias("file_block_start"),
+                                         F.monotonically_increasing_id().alias("seq"))
+    place = F.row_number().over(Window.orderBy(*reports.LINE_ORDER)).cast("long")
+    return lines.where("value LIKE 'Article: %'").select(place.alias("hit"), "value")
+
+
 def _hits_sql(values: tuple, strict: bool = False) -> str:
     rows = " UNION ALL ".join(f"SELECT doc_id, title, {i} AS k, {value} AS isbn, {ok} AS ok FROM fx WHERE {when}"
                               for i, (_, when, value, ok) in enumerate(values))
@@ -132,9 +197,23 @@ def _hits_sql(values: tuple, strict: bool = False) -> str:
 _LINKS = "doc_id % 3 + CASE WHEN doc_id % 8 = 5 THEN 2 ELSE 0 END"
 _POS = f"instr(decoded, '{TERM}')"
 
+_ROWS = " UNION ALL ".join(f"SELECT doc_id, title, {i} AS k, {value} AS isbn, {ok} AS ok FROM fx WHERE {when}"
+                           for i, (_, when, value, ok) in enumerate(_EXTENDED))
+_LINES_SQL = (f"WITH fx AS ({rich_sql()}) SELECT doc_id, k, title, title || '|' || isbn || CASE WHEN ok THEN '' ELSE '|CHECKSUM_WRONG' END AS value "
+              f"FROM ({_ROWS})")
+_STATS_SQL = (
+    f"n AS (SELECT doc_id, title, {_LINKS} AS n FROM ({rich_sql()})), "
+    "s AS (SELECT count(*) AS total_articles, count(*) FILTER (WHERE n > 0) AS articles_with_cats, CAST(sum(n) AS BIGINT) AS total_categories, "
+    "CAST(max(n) AS BIGINT) AS max_categories, (SELECT title FROM n WHERE n > 0 ORDER BY n DESC, doc_id LIMIT 1) AS max_cat_article, "
+    "count(*) FILTER (WHERE n > 0) / count(*) * 100.0 AS pct_with_cats, CAST(sum(n) AS DOUBLE) / count(*) FILTER (WHERE n > 0) "
+    "AS avg_per_article_with_cats FROM n)")
+
 QUERIES = {"isbn_dense": q_isbn_dense, "isbn_dense_basic": q_isbn_dense_basic, "isbn_decoded": q_isbn_decoded,
            "entity_decode": q_entity_decode, "search_decoded": q_search_decoded,
-           "category_counts_rich": q_category_counts_rich, "category_usage_rich": q_category_usage_rich}
+           "category_counts_rich": q_category_counts_rich, "category_usage_rich": q_category_usage_rich,
+           "category_summary": q_category_summary, "category_stats_state": q_category_stats_state, "number_format": q_number_format,
+           "isbn_filter_ere": q_isbn_filter_ere, "isbn_lines_ordered": q_isbn_lines_ordered,
+           "search_lines_ordered": q_search_lines_ordered}
 
 ORACLES = {
     "isbn_dense": f"SELECT *, true AS checksum_strict FROM ({_hits_sql(_EXTENDED)})",
@@ -150,4 +229,22 @@ ORACLES = {
         f"WITH fx AS ({rich_sql()}) SELECT category, CAST(sum(n) AS BIGINT) AS n FROM ("
         "SELECT source AS category, doc_id % 3 AS n FROM fx UNION ALL "
         "SELECT unnest(['', 'inner']), CASE WHEN doc_id % 8 = 5 THEN 1 ELSE 0 END FROM fx) GROUP BY 1 HAVING sum(n) > 0"),
+    "number_format": (
+        "SELECT doc_id, printf('%.1f', n_chars / 8) AS eighths_1, printf('%.2f', n_chars / 8) AS eighths_2, "
+        "printf('%.2f', n_chars / 1000) AS thousandths_2, printf('%.6f', -n_chars / 7) AS sevenths_6, "
+        "printf('%.0f', n_chars / 2) AS halves_0 FROM documents"),
+    "category_stats_state": f"WITH {_STATS_SQL} SELECT * FROM s",
+    "category_summary": (
+        f"WITH {_STATS_SQL} SELECT 'Category Statistics:' || chr(10) || 'Total articles: ' || total_articles || chr(10) || "
+        "'Articles with categories: ' || articles_with_cats || ' (' || printf('%.1f', pct_with_cats) || '%)' || chr(10) || "
+        "'Total categories: ' || total_categories || chr(10) || 'Average categories per article: ' || "
+        "printf('%.2f', avg_per_article_with_cats) || chr(10) || 'Maximum categories: ' || max_categories || ' in article \"' || "
+        "max_cat_article || '\"' || chr(10) AS summary FROM s"),
+    # the same lines in RE2's spelling
+    "isbn_filter_ere": (
+        f"SELECT value, title FROM ({_LINES_SQL}) WHERE regexp_matches(value, "
+        "'^Q&amp;A [0-9]*[05]\\|978-?[0-9]+(?:(?:-[0-9]{1,4}){2,})+|[Xx]$')"),
+    "isbn_lines_ordered": f"SELECT row_number() OVER (ORDER BY doc_id, k) AS line_no, value FROM ({_LINES_SQL})",
+    "search_lines_ordered": (
+        f"SELECT row_number() OVER (ORDER BY doc_id) AS hit, 'Article: ' || title AS value FROM ({rich_sql()})"),
 }
