@@ -23,8 +23,8 @@ def write_articles(articles: DataFrame, path: str, mode: str = "overwrite") -> s
 
 
 def read_articles_table(spark: SparkSession, path: str) -> DataFrame:
-    """Read articles written by ``write_articles``; same columns as
-    ``read_articles``. A table written by the stream has no ``seq``: it is 0
-    there, and ties within a split fall to the title."""
+    """Read articles written by ``write_articles`` or by the stream's sink;
+    same columns as ``read_articles``. In a table without ``seq`` it is 0, and
+    ties within a split fall to the title."""
     df = spark.read.parquet(path)
     return (df if "seq" in df.columns else df.withColumn("seq", F.lit(0).cast("long"))).select(*ARTICLE_COLUMNS)

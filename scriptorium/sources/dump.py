@@ -157,7 +157,11 @@ _END_ROWS = "path string, start long, size long, digest string, twin boolean"
 def file_ends(spark: SparkSession, path: str | list[str], *, recursive: bool = True) -> list[FileEnd] | DataFrame:
     """Open ends of a dump's files: a list, or a DataFrame where there are
     more than LISTED_ENDS."""
-    listed = _reader(spark, recursive).text([path] if isinstance(path, str) else list(path)).inputFiles()
+    return ends_of_files(spark, _reader(spark, recursive).text([path] if isinstance(path, str) else list(path)).inputFiles())
+
+
+def ends_of_files(spark: SparkSession, listed: list[str]) -> list[FileEnd] | DataFrame:
+    """``file_ends`` of the files listed."""
     files = sorted(re.sub("^file:/+", "file:/", f) for f in listed)  # as the scan names them
     split_bytes = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     if len(files) <= DRIVER_FILES:
@@ -209,8 +213,12 @@ def closed_records(spark: SparkSession, path: str | list[str], *, recursive: boo
     by its MD5. Only where an equal record stands in the same split, or the
     file had to be scanned, are the records with that content read again to
     find the last."""
-    recs = read_records(spark, path, recursive=recursive).where(F.col("value").contains(PAGE_OPEN))
-    ends = file_ends(spark, path, recursive=recursive)
+    return without_open_ends(read_records(spark, path, recursive=recursive), file_ends(spark, path, recursive=recursive))
+
+
+def without_open_ends(records: DataFrame, ends: list[FileEnd] | DataFrame) -> DataFrame:
+    """The records that hold a ``<page>`` and are no open end."""
+    spark, recs = records.sparkSession, records.where(F.col("value").contains(PAGE_OPEN))
     if isinstance(ends, list):
         if not ends:
             return recs
