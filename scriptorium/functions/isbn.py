@@ -4,9 +4,9 @@ checksums are unrolled weighted sums, so they stay inside whole-stage
 codegen (no higher-order functions, no UDF).
 
 Lengths are UTF-8 bytes (``octet_length``), as in the reference; digits are
-ASCII 0-9 only. Values are cut from the original bytes: a text that is not
-valid UTF-8 is read with one character per byte (the patterns only name ASCII
-characters, so both readings cut the same bytes from a valid text).
+ASCII 0-9 only. Values are the original bytes: where one holds a byte that is
+no UTF-8, the text is read with one character per byte (the patterns only name
+ASCII characters, so both readings find the same places).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scriptorium.functions.entities import bytes_view, from_bytes_view
+from scriptorium.functions.numbers import let
 
 # The marker grammar of the two reference dialects.
 #
@@ -73,12 +74,17 @@ def _tokens(text: Column, pattern: str, group: int, marker: str) -> Column:
     return F.transform(raw, lambda m: F.regexp_replace(m, F.lit(marker), F.lit("")))
 
 
+REPLACED = "\ufffd"  # what the regex engine sees for a byte that is no UTF-8
+
+
 def isbn_tokens(text: Column, dialect: str) -> Column:
     """All candidate ISBN values of a text, markers and separators removed,
     in text order (before the format check), byte for byte as they stand
-    in the text."""
-    cut = F.transform(_valid_tokens(bytes_view(text), dialect), from_bytes_view)
-    return F.when(F.is_valid_utf8(text), _valid_tokens(text, dialect)).otherwise(cut)
+    in the text. Only values with a replaced character are cut again from the
+    bytes: bytes that are no UTF-8 change nothing else."""
+    exact = F.transform(_valid_tokens(bytes_view(text), dialect), from_bytes_view)
+    return let(_valid_tokens(text, dialect),
+               lambda found: F.when(F.exists(found, lambda v: v.contains(REPLACED)), exact).otherwise(found))
 
 
 def _valid_tokens(text: Column, dialect: str) -> Column:
