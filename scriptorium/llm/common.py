@@ -4,8 +4,11 @@ byte-bounded Arrow batches, connected components, bounded training samples."""
 from __future__ import annotations
 
 import uuid
+import zlib
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.session import scratch_root
@@ -72,19 +75,15 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
             return label
 
 
-def sample_ids(rows: DataFrame, id_col: str, label_col: str, per_label: int, salts: int = 16,
-               last: str | None = None) -> DataFrame:
+def sample_ids(rows: DataFrame, id_col: str, label_col: str, per_label: int, salts: int = 16) -> DataFrame:
     """At most ``per_label`` rows of each label, those with the smallest
-    64-bit hash of their id: ``(id_col, label_col)``. Rows where the boolean
-    column ``last`` holds are taken only where a label has too few others.
+    64-bit hash of their id: ``(id_col, label_col)``.
 
     Two levels, so that a label with a third of all rows is not ranked in one
     task: first inside (label, salt), then among the survivors of a label.
     """
     order = [F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.col(id_col)]
-    if last is not None:
-        order = [F.col("_last"), *order]
-    r = (rows.select(id_col, label_col, (F.lit(False) if last is None else F.col(last)).alias("_last")).where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+    r = (rows.select(id_col, label_col).where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
              .withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col), F.lit("salt")), F.lit(salts))))
     w1 = Window.partitionBy(label_col, "_salt").orderBy(*order)
     w2 = Window.partitionBy(label_col).orderBy(*order)
@@ -93,13 +92,42 @@ def sample_ids(rows: DataFrame, id_col: str, label_col: str, per_label: int, sal
              .select(id_col, label_col))
 
 
-def training_text(text: Column, max_chars: int, pieces: int = 8) -> Column:
-    """``text``, or of one of more than ``max_chars`` characters that many in
-    ``pieces`` spread evenly from its start to its end, a line each."""
-    size = max_chars // pieces - 1
-    room = F.length(text) - size
-    cut = [F.substring(text, F.floor(room * i / (pieces - 1)).cast("int") + 1, F.lit(size)) for i in range(pieces)]
-    return F.when(F.length(text) <= max_chars, text).otherwise(F.concat_ws("\n", *cut))
+def sampled_texts(rows: DataFrame, ids: DataFrame, id_col: str, label_col: str, text_col: str) -> DataFrame:
+    """Whole texts of the sampled ids, written once: ``(label, text)``, one row
+    per id and label, however many rows an id has (the smallest text). ``ids``
+    has a bounded number of rows per label."""
+    ids = ids.groupBy(id_col).agg(F.max(label_col).alias("label"))
+    got = rows.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(ids), id_col)
+    return materialize(got.groupBy(id_col, "label").agg(F.min("text").alias("text")).select("label", "text"), "sample")
+
+
+def bounded_windows(sample: DataFrame, cut: Callable[[str], list[str]], per_label: int) -> list[Row]:
+    """Windows ``(label, text)`` of the sampled texts, at most ``per_label`` of
+    each label: every text's first ones, then the second ones, and so on; among
+    equals those with the smallest hash. Texts are cut on the executors by
+    ``cut``, which sees them whole and bounds what it returns; the driver gets
+    the windows only."""
+    label = sample.schema["label"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for y, text in zip(batch["label"], batch["text"]):
+                yield pd.DataFrame([(y, no, w) for no, w in enumerate(cut(text))], columns=["label", "no", "text"])
+
+    rows = sample.mapInPandas(run, f"label {label}, no int, text string")
+    order = Window.partitionBy("label").orderBy("no", F.xxhash64("text"), "text")
+    return (rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_label)
+                .select("label", "text").orderBy(F.xxhash64("text"), "text", "label").collect())
+
+
+def spread_windows(text: str, size: int, most: int) -> list[str]:
+    """Up to ``most`` of a text's windows of about ``size`` characters, which
+    together are the whole text, in an order drawn from their numbers. Windows
+    begin behind white space where there is some near."""
+    n = max(1, -(-len(text) // size))
+    pick = sorted(range(n), key=lambda i: zlib.crc32(f"{n}/{i}".encode()))[:most]
+    at = lambda i: 0 if i <= 0 else next((k + 1 for k in range(i * size, min(i * size + 100, len(text))) if text[k].isspace()), i * size)
+    return [text[at(i):at(i + 1) if i + 1 < n else len(text)] for i in pick]
 
 
 def held_out(doc_id: Column) -> Column:

@@ -17,13 +17,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import bounded_batches, sample_ids, training_text
+from scriptorium.llm.common import bounded_batches, bounded_windows, sample_ids, sampled_texts, spread_windows
 
 BUCKETS = 1 << 16
 DIM = 16
 EPOCHS = 12
 PER_LABEL = 400       # training documents of a language, at most
-MAX_CHARS = 20_000    # of a longer document so many characters are used for training
+WINDOW = 4_000        # characters of a training window
+PER_DOCUMENT = 2      # windows of a training document, at most
+WINDOWS = 20_000      # training windows of all languages, about
+LEAST_WINDOWS = 8     # of each language, where there are many
 BLOCK = 1 << 20       # bytes hashed at a time
 MULTIPLIER = np.uint32(2654435761)
 LETTERS_ONLY = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -122,18 +125,20 @@ def train(texts: list[str], labels: list[str], seed: int = 3, epochs: int = EPOC
 def fit(docs: DataFrame, learn, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
         per_label: int = PER_LABEL) -> Model | None:
     """Model from a bounded sample of the rows where ``learn`` holds and the
-    language is known: all languages, at most ``per_label`` documents of each.
-    Those of more than MAX_CHARS characters are taken last, and in pieces of
-    that many. None if there are none."""
+    language is known: all languages; of each, the ``per_label`` documents with
+    the smallest hashes, whatever their length, and of these windows of
+    WINDOW characters, at most PER_DOCUMENT of one and as many of a language
+    as WINDOWS leaves it, but LEAST_WINDOWS. The driver gets windows only.
+    None if there are none."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.where(learn & F.col("lang").isNotNull() & (F.length("text") >= 1)).withColumn("long", F.length("text") > MAX_CHARS)
-    # ids has at most per_label rows a language
-    ids = sample_ids(rows, "doc_id", "lang", per_label, last="long").select("doc_id").distinct()
-    got = (rows.join(F.broadcast(ids), "doc_id", "left_semi")
-               .select("doc_id", "lang", training_text(F.col("text"), MAX_CHARS).alias("text")))
-    got = got.orderBy("doc_id", "lang", "text").collect()
-    got = [r for r in got if has_letter(r["text"])]
-    return train([r["text"] for r in got], [r["lang"] for r in got]) if got else None
+    rows = rows.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    labels = rows.select("lang").distinct().count()
+    # ids has at most per_label rows a language; an id under several languages counts for the last of them
+    ids = sample_ids(rows, "doc_id", "lang", per_label)
+    sample = sampled_texts(rows, ids, "doc_id", "lang", "text")
+    share = min(PER_DOCUMENT * per_label, max(LEAST_WINDOWS, WINDOWS // max(1, labels)))
+    got = bounded_windows(sample, lambda t: [w for w in spread_windows(t, WINDOW, PER_DOCUMENT) if has_letter(w)], share)
+    return train([r["text"] for r in got], [r["label"] for r in got]) if got else None
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import bounded_batches, sample_ids, training_text
+from scriptorium.llm.common import bounded_batches, bounded_windows, sample_ids, sampled_texts, spread_windows
 
 # The patterns, and the least length of what they must find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -34,7 +35,8 @@ KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")  # one is in every
 
 B, I, O = 0, 1, 2
 PER_LABEL = 200       # training documents with and without a pattern's match, at most
-MAX_CHARS = 20_000    # of a longer document so many characters are used for training
+WINDOW = 2_000        # characters of a training window, or around a match
+PER_DOCUMENT = 8      # windows of a training document, at most
 SEQUENCE = 64         # tokens of a training sequence
 STEPS = 35
 WORDS = 1 << 14       # buckets of neighbouring words
@@ -340,23 +342,35 @@ def _parts(text: str, points: np.ndarray, t: Tokens, begin: np.ndarray, last: np
     return out
 
 
+def training_windows(text: str) -> list[str]:
+    """Windows of a training text: one around every match of a pattern, in an
+    order drawn from their contents, or, without a match, some of the text."""
+    spans = base_spans(text)
+    if not spans:
+        return spread_windows(text, WINDOW, 1)
+    cuts: list[list[int]] = []
+    for start, _, end, _ in spans:
+        lo, hi = max(0, start - WINDOW // 2), min(len(text), end + WINDOW // 2)
+        if cuts and lo <= cuts[-1][1] and hi - cuts[-1][0] <= 4 * WINDOW:
+            cuts[-1][1] = max(cuts[-1][1], hi)
+        else:
+            cuts.append([lo, hi])
+    windows = [text[lo:hi] for lo, hi in cuts]
+    return sorted(windows, key=lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")))[:PER_DOCUMENT]
+
+
 def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", per_label: int = PER_LABEL) -> Field | None:
-    """Field from a bounded sample: at most ``per_label`` documents in which a
-    pattern may match and as many others. Those of more than MAX_CHARS
-    characters are taken last: that many around the first place where a
-    pattern may match, or in pieces without one."""
+    """Field from a bounded sample: the ``per_label`` documents with the
+    smallest hashes in which a pattern may match, and as many others, whatever
+    their length. Of the former, windows around all matches are learned from
+    (at most PER_DOCUMENT of one), of the others a window. The driver gets
+    windows only."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") >= 1)
     may = r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?i:passw(or)?d|secret|token|api_?key)[\"']? *[:=]"
-    marked = rows.select("doc_id", F.col("text").rlike(may).cast("int").alias("hot"), (F.length("text") > MAX_CHARS).alias("long"))
-    ids = sample_ids(marked, "doc_id", "hot", per_label, last="long").select("doc_id").distinct()
+    ids = sample_ids(rows.select("doc_id", F.col("text").rlike(may).cast("int").alias("hot")), "doc_id", "hot", per_label)
     # ids has at most 2 * per_label rows
-    # a text is split once before the match: what stands before it gives its place
-    place = F.length(F.split("text", may, 2)[0])
-    around = F.substring("text", F.greatest(F.lit(1), place - MAX_CHARS // 2), F.lit(MAX_CHARS))
-    cut = F.when((F.length("text") > MAX_CHARS) & F.col("text").rlike(may), around).otherwise(
-        training_text(F.col("text"), MAX_CHARS))
-    got = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", cut.alias("text"))
-    got = [r["text"] for r in got.orderBy("doc_id", "text").collect()]
+    sample = sampled_texts(rows, ids, "doc_id", "hot", "text")
+    got = [r["text"] for r in bounded_windows(sample, training_windows, 2 * per_label)]
     return train(got) if any(base_spans(t) for t in got) else None
 
 

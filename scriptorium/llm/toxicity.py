@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import bounded_batches, sample_ids, training_text
+from scriptorium.llm.common import bounded_batches, bounded_windows, sample_ids, sampled_texts
 
 WINDOW, STRIDE = 32, 16  # every run of WINDOW - STRIDE + 1 words lies whole in a window
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 16
@@ -29,7 +29,9 @@ WORD_DIM = CHAR_DIM = 8
 HIDDEN = 8
 GROUP = 4096             # windows run together
 PER_LABEL = 500          # training documents of a label, at most
-MAX_CHARS = 20_000       # of a longer document so many characters are used for training
+EXCERPT = 48             # windows of a long training document chosen by their words, and as many spread over it
+LONGEST = 200            # bytes of a word that training reads
+PRIOR_WORDS = 2000       # weight of the common rate of a word, in words
 BLOCK_WORDS = 60_000     # words of one text scored at a time
 EPOCHS = 8
 STRIP = b".,;:!?\"'()[]{}<>"
@@ -231,25 +233,27 @@ class Network:
         return _sigmoid(self.logits(texts).astype(np.float64))
 
 
+def rate_odds(toxic: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Log ratio of the buckets' rates among all words of toxic and of other
+    texts, shrunk towards their common rate; 0 for what is too rare to tell.
+    Rates, not documents with a word: longer documents hold more words of any
+    kind."""
+    n1, n0 = toxic.sum(), other.sum()
+    prior = PRIOR_WORDS * (toxic + other) / max(1, n1 + n0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        odds = np.log((toxic + prior) / (n1 + PRIOR_WORDS)) - np.log((other + prior) / (n0 + PRIOR_WORDS))
+    return np.where(toxic + other >= 3, np.clip(odds, -3, 3), 0)
+
+
 def _warm_start(net: Network, x: Inputs, ids: list[np.ndarray], y: np.ndarray) -> None:
-    """First components of the embeddings: smoothed log odds of a document
-    with that bucket being toxic, where several documents have it."""
-    for key, buckets_of in (("word", None), ("char", (x.grams, x.owner))):
-        size = len(net.p[key])
-        pos, neg = np.zeros(size), np.zeros(size)
-        if buckets_of:
-            order = np.argsort(x.owner, kind="stable")
-            cut = np.searchsorted(x.owner[order], np.arange(len(x.bucket) + 1))
-        for v, label in zip(ids, y):
-            u = np.unique(v)
-            if buckets_of:
-                b = np.concatenate([x.grams[order[cut[i]:cut[i + 1]]] for i in u] or [np.zeros(0, np.int64)])
-            else:
-                b = x.bucket[u]
-            (pos if label else neg)[np.unique(b)] += 1
-        n1, n0 = max(1, y.sum()), max(1, (1 - y).sum())
-        odds = np.log((pos + 1) / (n1 + 2)) - np.log((neg + 1) / (n0 + 2))
-        net.p[key][:, 0] = np.where(pos + neg >= 3, np.clip(odds, -3, 3) * 0.5, 0)
+    """First components of the embeddings: the buckets' ``rate_odds``."""
+    for key, owner, bucket in (("word", np.arange(len(x.bucket)), x.bucket), ("char", x.owner, x.grams)):
+        count = []
+        for label in (1, 0):
+            of = [v for v, t in zip(ids, y) if t == label]
+            times = np.bincount(np.concatenate([*of, np.zeros(0, np.int64)]).astype(np.int64), minlength=len(x.bucket))
+            count.append(np.bincount(bucket, weights=times[owner], minlength=len(net.p[key])))
+        net.p[key][:, 0] = rate_odds(*count) * 0.5
 
 
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = 0.01, seed: int = 5) -> Network:
@@ -309,22 +313,62 @@ def _subset(x: Inputs, words: np.ndarray) -> Inputs:
     return Inputs(x.bucket[words], x.grams[on], number[x.owner[on]], x.scale[words])
 
 
+def word_buckets(words: list[bytes]) -> np.ndarray:
+    known: dict[bytes, int] = {}
+    return np.fromiter((known[w] if w in known else known.setdefault(w, xxhash.xxh32_intdigest(w) % WORD_BUCKETS) for w in words),
+                       np.int64, len(words))
+
+
+def _bucket_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Words of every bucket, by label."""
+    count = np.zeros((2, WORD_BUCKETS), np.int64)
+    for batch in batches:
+        for y, text in zip(batch["label"], batch["text"]):
+            count[y] += np.bincount(word_buckets(split_words(text)), minlength=WORD_BUCKETS)
+    for y in (0, 1):
+        at = np.flatnonzero(count[y])
+        yield pd.DataFrame({"bucket": at, "y": y, "n": count[y, at]})
+
+
+def excerpt(text: str, odds: np.ndarray) -> str:
+    """What training reads of a document: all of it, or of a long one the
+    EXCERPT windows whose words speak most for toxicity, and as many spread
+    over it. Every window of the text is compared."""
+    words = split_words(text)
+    if len(words) > 2 * EXCERPT * STRIDE:
+        total = np.concatenate(([0], np.cumsum(odds[word_buckets(words)])))
+        starts = np.arange(0, len(words), STRIDE)
+        sums = total[np.minimum(starts + WINDOW, len(words))] - total[starts]
+        keep = np.zeros(len(words), bool)
+        best = np.argsort(-sums, kind="stable")[:EXCERPT]
+        for i in np.concatenate((best, np.linspace(0, len(starts) - 1, EXCERPT).astype(int))):
+            keep[starts[i]:starts[i] + WINDOW] = True
+        words = [words[i] for i in np.flatnonzero(keep)]
+    return b" ".join(w[:LONGEST] for w in words).decode("utf-8", "replace")
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn, text_col: str = "text", id_col: str = "doc_id",
         label_col: str = "toxic", per_label: int = PER_LABEL) -> Network | None:
     """Network from a bounded sample of labelled rows where ``learn`` holds:
-    at most ``per_label`` documents of label 1 and of label 0. Those of more
-    than MAX_CHARS characters are taken last, and in pieces of that many. None
-    without both labels. An id labelled both ways counts as toxic."""
+    the ``per_label`` documents of label 1 and of label 0 with the smallest
+    hashes, whatever their length. All their words are counted on the
+    executors; these counts choose the windows of a long document that the
+    driver gets (``excerpt``). None without both labels. An id labelled both
+    ways counts as toxic."""
     marks = (labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
                    .where(F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.max("y").alias("y")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.where(learn & (F.length("text") >= 1)).withColumn("long", F.length("text") > MAX_CHARS)
-    marked = rows.select("doc_id", "long").groupBy("doc_id").agg(F.min("long").alias("long")).join(marks, "doc_id")
-    ids = sample_ids(marked, "doc_id", "y", per_label, last="long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(learn & (F.length("text") >= 1))
+    ids = sample_ids(rows.select("doc_id").distinct().join(marks, "doc_id"), "doc_id", "y", per_label)
     # ids has at most 2 * per_label rows
-    got = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "y", training_text(F.col("text"), MAX_CHARS).alias("text"))
-    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect()
-    y = [r["y"] for r in got]
+    sample = sampled_texts(rows, ids, "doc_id", "y", "text")
+    # at most two rows a bucket
+    counts = (sample.mapInPandas(_bucket_counts, "bucket long, y int, n long").groupBy("bucket", "y").agg(F.sum("n").alias("n")).collect())
+    n = np.zeros((2, WORD_BUCKETS))
+    for r in counts:
+        n[r["y"], r["bucket"]] = r["n"]
+    odds = rate_odds(n[1], n[0])
+    got = bounded_windows(sample, lambda t: [excerpt(t, odds)], per_label)
+    y = [r["label"] for r in got]
     return train([r["text"] for r in got], y) if 0 < sum(y) < len(y) else None
 
 
