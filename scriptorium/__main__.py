@@ -47,14 +47,15 @@ def _search(spark, a) -> None:
     out = a.out or "search-" + re.sub(r"[^\w.-]", "_", a.term) + ".txt"
     t0 = time.time()
     arts, obs = read_articles_observed(spark, a.dump)
-    n = write_search_lines(search_kwic(arts, a.term, a.context, unit="bytes" if a.bytes else "chars"), out)
+    n = write_search_lines(search_kwic(arts, a.term, a.context, unit="bytes" if a.bytes else "chars",
+                                       decode_entities=a.decode), out, ordered=a.ordered)
     _rate(f"{n} hits in {out}", obs, time.time() - t0)
 
 
 def _extract(spark, a) -> None:
     t0 = time.time()
     arts, obs = read_articles_observed(spark, a.dump)
-    n = write_isbn_lines(extract_isbns(arts, a.dialect), a.out)
+    n = write_isbn_lines(extract_isbns(arts, a.dialect, decode_entities=a.decode, strict=a.strict), a.out, ordered=a.ordered)
     _rate(f"{n} ISBNs in {a.out}", obs, time.time() - t0)
 
 
@@ -68,7 +69,7 @@ def _stats(spark, a) -> None:
     if s.avg_per_article is not None:
         print(f"Average ISBNs per article: {s.avg_per_article:.2f}")
     print(f"\n=== Top {a.top_n} Articles by ISBN Count ===")
-    for r in reports.isbn_top_articles(lines, a.top_n).collect():
+    for r in reports.isbn_top_articles(lines, a.top_n, collation=a.collation).collect():
         print(f"{r['count']:7d} {r['title']}")
     d = reports.isbn_format_distribution(lines).collect()[0]
     print("\n=== ISBN Format Distribution ===\n")
@@ -81,7 +82,7 @@ def _stats(spark, a) -> None:
 
 
 def _filter(spark, a) -> None:
-    matched = reports.isbn_filter(read_isbn_lines(spark, a.file), a.pattern, on=a.on)
+    matched = reports.isbn_filter(read_isbn_lines(spark, a.file), a.pattern, on=a.on, syntax=a.syntax)
     if a.out:
         matched.orderBy("file_path", "file_block_start", "seq").select("value").write.mode("overwrite").text(a.out)
     s = reports.isbn_filter_summary(matched).collect()[0]
@@ -105,18 +106,25 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("context", type=int)
     s.add_argument("--out")
     s.add_argument("--bytes", action="store_true", help="context in bytes, as the reference (may cut a character)")
+    s.add_argument("--decode", action="store_true", help="search the text with its character references decoded")
+    s.add_argument("--ordered", action="store_true", help="a folder per split, in dump order")
     e = sub.add_parser("extract-isbns")
     e.add_argument("dump")
     e.add_argument("--out", default="isbns.txt")
     e.add_argument("--dialect", choices=["basic", "extended"], default="basic")
+    e.add_argument("--decode", action="store_true", help="read the text with its character references decoded")
+    e.add_argument("--strict", action="store_true", help="check digits of the value without blanks and hyphens around it")
+    e.add_argument("--ordered", action="store_true", help="a folder per split, in dump order")
     st = sub.add_parser("isbn-stats")
     st.add_argument("file")
     st.add_argument("top_n", nargs="?", type=int, default=10)
+    st.add_argument("--collation", help="order of titles with as many ISBNs, as de or UNICODE (default: by bytes)")
     f = sub.add_parser("isbn-filter")
     f.add_argument("file")
     f.add_argument("pattern")
     f.add_argument("--out")
     f.add_argument("--on", choices=["line", "title"], default="line")
+    f.add_argument("--syntax", choices=list(reports.SYNTAXES), default="java", help="ere: POSIX extended expressions")
     a = p.parse_args(argv)
     spark = build_session(master=os.environ.get("SCRIPTORIUM_MASTER"))
     {"count-cats": _count_cats, "search": _search, "extract-isbns": _extract,

@@ -34,3 +34,22 @@ def test_cli_actions(spark, tmpdir_run, capsys):
     main(["search", dump, "Rhein", "2", "--out", hits])
     text = "".join(open(p).read() for p in sorted(glob.glob(hits + "/part-*")))
     assert text == "Article: Bonn\n...} Rhein...\n\n"
+
+
+def test_cli_options(spark, tmpdir_run, capsys):
+    dump = os.path.join(tmpdir_run, "dump")
+    os.makedirs(dump)
+    write_files(dump, {"d.xml": f"<page><title>\u00c4</title>{T}ISBN&amp;nbsp;9783161484100, {{{{ISBN|9780306406157 }}}} A&amp;B</text></page>\n"
+                                f"<page><title>Z</title>{T}ISBN 3161484100</text></page>\n"})
+    isbns = os.path.join(tmpdir_run, "isbns")
+    main(["extract-isbns", dump, "--out", isbns, "--dialect", "extended", "--decode", "--strict", "--ordered"])
+    text = "".join(open(p, encoding="utf-8").read() for p in sorted(glob.glob(isbns + "/*/*/part-*")))
+    assert text == "\u00c4|9783161484100\n\u00c4|9780306406157 \nZ|3161484100|CHECKSUM_WRONG\n"
+    capsys.readouterr()
+    main(["isbn-filter", isbns, "^[[:upper:]]\\|97", "--syntax", "ere"])
+    assert "Found 2 ISBNs in 1 articles" in capsys.readouterr().out
+    main(["isbn-stats", isbns, "--collation", "de"])
+    assert "      2 \u00c4\n      1 Z\n" in capsys.readouterr().out
+    hits = os.path.join(tmpdir_run, "hits")
+    main(["search", dump, "A&B", "1", "--out", hits, "--decode", "--ordered"])
+    assert "".join(open(p, encoding="utf-8").read() for p in sorted(glob.glob(hits + "/*/*/part-*"))) == "Article: \u00c4\n... A&B...\n\n"
