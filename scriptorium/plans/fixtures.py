@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.session import scratch_root
@@ -22,9 +22,9 @@ TITLE_PLAIN = "concat('Doc ', cast(doc_id AS varchar(20)), CASE WHEN doc_id % 10
 TITLE_GROUPED = ("concat('Doc ', cast(doc_id % 50 AS varchar(20)), "
                  "CASE WHEN doc_id % 10 = 0 THEN ' Berlin' ELSE '' END)")
 
-# Planted ISBN notations, one class per doc_id % 12.
-WIKITEXT_SQL = """
-WITH a AS (SELECT doc_id, text, source, lpad(cast((doc_id*7919+13) % 1000000000 AS varchar(20)), 9, '0') AS b9 FROM {documents}),
+# ISBN values of a document, from its doc_id; ``{more}`` names further columns to carry.
+ISBN_SQL = """
+WITH a AS (SELECT doc_id, text, source{more}, lpad(cast((doc_id*7919+13) % 1000000000 AS varchar(20)), 9, '0') AS b9 FROM {documents}),
 b AS (SELECT *, concat('978', b9) AS b12 FROM a),
 c AS (SELECT *,
   (11 - ((cast(substr(b9,1,1) AS int)*10 + cast(substr(b9,2,1) AS int)*9 + cast(substr(b9,3,1) AS int)*8 + cast(substr(b9,4,1) AS int)*7 + cast(substr(b9,5,1) AS int)*6 + cast(substr(b9,6,1) AS int)*5 + cast(substr(b9,7,1) AS int)*4 + cast(substr(b9,8,1) AS int)*3 + cast(substr(b9,9,1) AS int)*2) % 11)) % 11 AS c10,
@@ -33,7 +33,9 @@ e AS (SELECT *,
   concat(b9, CASE WHEN c10 = 10 THEN 'X' ELSE cast(c10 AS varchar(2)) END) AS i10,
   concat('978-', substr(b9,1,1), '-', substr(b9,2,4), '-', substr(b9,6,4), '-', cast(c13 AS varchar(2))) AS i13,
   concat(b12, cast((c13 + 1) % 10 AS varchar(2))) AS bad13 FROM c)
-SELECT doc_id,
+"""
+# Planted ISBN notations, one class per doc_id % 12.
+WIKITEXT_SQL = ISBN_SQL + """SELECT doc_id,
   {title} AS title,
   concat(replace(replace(replace(text,'&','&amp;'),'<','&lt;'),'>','&gt;'), chr(10),
     repeat(concat('[[Kategorie:', source, ']]', chr(10)), cast(doc_id % 4 AS int)),
@@ -63,7 +65,7 @@ PAGES_PER_FILE = 1000
 
 
 def wikitext_sql(documents: str = "documents", grouped_titles: bool = False) -> str:
-    return WIKITEXT_SQL.format(documents=documents, title=TITLE_GROUPED if grouped_titles else TITLE_PLAIN)
+    return WIKITEXT_SQL.format(documents=documents, more="", title=TITLE_GROUPED if grouped_titles else TITLE_PLAIN)
 
 
 def page_xml_sql(title: str = "title", text: str = "text", doc_id: str = "doc_id",
@@ -90,15 +92,22 @@ DROPPED_PAGES = ("  <page><ns>0</ns><revision><text>no title</text></revision></
                  "  <page><title>Dropped</title><revision><text bytes=\"0\" /></revision></page>")
 
 
-def write_dump(wt: DataFrame, path: str, pages_per_file: int = PAGES_PER_FILE, dropped: bool = False) -> str:
-    """Write ``wt`` (doc_id, title, text) as a MediaWiki XML dump.
+def file_part(doc_id: str = "doc_id", pages_per_file: int = PAGES_PER_FILE) -> Column:
+    """The file of a page: ``pages_per_file`` consecutive doc_ids share one."""
+    return F.lpad((F.col(doc_id) / F.lit(pages_per_file)).cast("long").cast("string"), 8, "0")
+
+
+def write_dump(wt: DataFrame, path: str, pages_per_file: int = PAGES_PER_FILE, dropped: bool = False,
+               tasks: int | None = None) -> str:
+    """Write ``wt`` (doc_id, title, text) as a MediaWiki XML dump, in ``tasks``
+    tasks (``dump_tasks``; default: Spark's number of shuffle partitions).
 
     One file per ``pages_per_file`` consecutive doc_ids, pages in doc_id
     order, each file with header and footer, with ``dropped`` also pages that
     yield no article. Files are named by their first page, so path order is
     page order.
     """
-    part = F.lpad((F.col("doc_id") / F.lit(pages_per_file)).cast("long").cast("string"), 8, "0")
+    part = file_part("doc_id", pages_per_file)
     pages = wt.select(part.alias("part"), F.col("doc_id").cast("double").alias("k"),
                       F.expr(page_xml_sql()).alias("value"))
     parts = pages.select("part").distinct()
@@ -109,7 +118,7 @@ def write_dump(wt: DataFrame, path: str, pages_per_file: int = PAGES_PER_FILE, d
         edges = edges.unionByName(wt.where(F.col("doc_id") % DROPPED_EVERY == 0).select("doc_id", part.alias("part"), more.alias("m"))
                                     .select("part", (F.col("doc_id") + F.col("m.d")).alias("k"), F.col("m.x").alias("value")))
     (pages.unionByName(edges)
-        .repartition("part")
+        .repartition(*([tasks] if tasks else []), "part")
         .sortWithinPartitions("part", "k")
         .select("part", "value")
         .write.mode("overwrite").partitionBy("part").text(path))
@@ -146,6 +155,17 @@ def _stamp(spark: SparkSession, path: str) -> str:
     return f"{fs.makeQualified(hpath)}|{fs.getContentSummary(hpath).getLength()}|{newest}"
 
 
+# Of the input's bytes to a task that sorts and writes pages: some 40 MB of rows, so that no task spills.
+DUMP_TASK_BYTES = 16 << 20
+
+
+def dump_tasks(spark: SparkSession, path: str) -> int:
+    """Tasks to write a dump made from the table at ``path``: their number,
+    not their size, grows with the input."""
+    fs, hpath = _file_system(spark, path)
+    return max(spark.sparkContext.defaultParallelism, -(-fs.getContentSummary(hpath).getLength() // DUMP_TASK_BYTES))
+
+
 def fixture_dump(spark: SparkSession, sf_dir: str, grouped_titles: bool = False) -> str:
     """Path of the fixture dump for ``sf_dir`` in the shared scratch folder,
     written once per scratch folder, input version and writer code."""
@@ -153,5 +173,6 @@ def fixture_dump(spark: SparkSession, sf_dir: str, grouped_titles: bool = False)
     key = hashlib.sha1(tag.encode()).hexdigest()[:16]
     path = f"{scratch_root(spark)}/scriptorium/dumps/{key}"
     if not _exists(spark, path + "/_SUCCESS"):
-        write_dump(wikitext(spark, sf_dir, grouped_titles), path, dropped=True)
+        write_dump(wikitext(spark, sf_dir, grouped_titles), path, dropped=True,
+                   tasks=dump_tasks(spark, sf_dir.rstrip("/") + "/documents.parquet"))
     return path

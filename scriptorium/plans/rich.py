@@ -23,7 +23,8 @@ from scriptorium.operators.categories import (category_counts, category_stats, c
                                               category_usage)
 from scriptorium.operators.isbn import extract_isbns
 from scriptorium.operators.search import search_kwic, write_search_lines
-from scriptorium.plans.fixtures import DUMP_FOOTER, DUMP_HEADER, PAGES_PER_FILE, _exists, _stamp, code_tag, wikitext_sql
+from scriptorium.plans.fixtures import (DUMP_FOOTER, DUMP_HEADER, ISBN_SQL, _exists, _stamp, code_tag, dump_tasks,
+                                        file_part, wikitext_sql)
 from scriptorium.session import scratch_root
 from scriptorium.sources.isbn_file import read_isbn_lines, write_isbn_lines
 
@@ -55,36 +56,60 @@ CONTEXT = 12
 FILTER_ERE = "^Q&amp;A [[:digit:]]*[05]\\|978-?[[:digit:]]+(-[0-9]{1,4}){2,}+|[Xx]$"
 
 
+_TITLE = "concat('Q&amp;A ', cast(doc_id AS varchar(20)))"
+_STORED, _READ = (" || ".join(f"CASE WHEN {when} THEN {line} || chr(10) ELSE '' END" for when, line in
+                              ((w, (a if k == 0 else b or a)) for w, a, b in _LINES)) for k in (0, 1))
+_TEXT = f"replace(replace(replace(body, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || chr(10) || {_STORED}"
+
+
 def rich_sql(documents: str = "documents") -> str:
     """Portable SQL (Spark and DuckDB): ``doc_id, title, text, decoded, source,
     i10, i13, k13, c10``; ``text`` as stored in a dump, ``decoded`` as read."""
-    stored, read = (" || ".join(f"CASE WHEN {when} THEN {line} || chr(10) ELSE '' END" for when, line in
-                                ((w, (a if k == 0 else b or a)) for w, a, b in _LINES)) for k in (0, 1))
     return (f"WITH w AS ({wikitext_sql(documents)}), o AS (SELECT doc_id AS d, coalesce(text, '') AS body FROM {documents}), "
             f"k AS (SELECT w.*, o.body, replace(i13, '-', '') AS k13 FROM w JOIN o ON w.doc_id = o.d) "
-            f"SELECT doc_id, concat('Q&amp;A ', cast(doc_id AS varchar(20))) AS title, "
-            f"replace(replace(replace(body, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || chr(10) || {stored} AS text, "
-            f"body || chr(10) || {read} AS decoded, source, i10, i13, k13, c10 FROM k")
+            f"SELECT doc_id, {_TITLE} AS title, "
+            f"{_TEXT} AS text, "
+            f"body || chr(10) || {_READ} AS decoded, source, i10, i13, k13, c10 FROM k")
+
+
+def dump_lines(documents: DataFrame, tasks: int) -> DataFrame:
+    """``part, value``: the lines of the rich dump's files, each file whole and
+    in order within one partition. The pages are those of ``rich_sql``, whose
+    join of the documents with themselves gives a doc_id that m rows share a
+    page for each of their m texts with each of their m sources.
+
+    A text is shuffled and sorted once: in its file's task the sources of a
+    doc_id are put beside it, and the file's first and last rows get its
+    header and footer. ``tasks`` bounds what a task sorts.
+    """
+    in_file, in_doc = Window.partitionBy("part").orderBy("doc_id"), Window.partitionBy("part", "doc_id")
+    rows = (documents.where("doc_id IS NOT NULL").select(file_part().alias("part"), "doc_id", "text", "source")
+                     .repartition(tasks, "part")
+                     .withColumn("opens", F.lag("doc_id").over(in_file).isNull())
+                     .withColumn("closes", F.lead("doc_id").over(in_file).isNull())
+                     # in structs: a list of plain values would lose the nulls
+                     .withColumn("sources", F.collect_list(F.struct("source")).over(in_doc)["source"]))
+    view = "scriptorium_rich_" + uuid.uuid4().hex
+    rows.createOrReplaceTempView(view)
+    isbns = ISBN_SQL.format(documents=view, more=", part, opens, closes, sources")
+    k = rows.sparkSession.sql(f"{isbns} SELECT *, coalesce(text, '') AS body, replace(i13, '-', '') AS k13 FROM e")
+    rows.sparkSession.catalog.dropTempView(view)
+    page = (f"concat('  <page><title>', {_TITLE}, '</title><id>', doc_id, '</id><revision><text xml:space=\"preserve\">', {_TEXT}, "
+            f"'</text></revision>', CASE WHEN doc_id % 6 = 1 THEN '{LATER}' ELSE '' END, '</page>')")
+    # a page that comes out null is an empty line
+    pages = F.expr(f"array_join(transform(sources, source -> coalesce({page}, '')), chr(10))")
+    value = F.concat(F.when(F.col("opens"), DUMP_HEADER + "\n").otherwise(""), pages, F.when(F.col("closes"), "\n" + DUMP_FOOTER).otherwise(""))
+    return k.sortWithinPartitions("part", "doc_id").select("part", value.alias("value"))
 
 
 def rich_dump(spark: SparkSession, sf_dir: str) -> str:
     """Path of the rich dump for ``sf_dir`` in the shared scratch folder,
     written once per scratch folder, input version and writer code."""
-    tag = f"{_stamp(spark, sf_dir.rstrip('/') + '/documents.parquet')}|{code_tag('plans/fixtures.py', 'plans/rich.py')}"
+    table = sf_dir.rstrip("/") + "/documents.parquet"
+    tag = f"{_stamp(spark, table)}|{code_tag('plans/fixtures.py', 'plans/rich.py')}"
     path = f"{scratch_root(spark)}/scriptorium/dumps/rich-{hashlib.sha1(tag.encode()).hexdigest()[:16]}"
-    if _exists(spark, path + "/_SUCCESS"):
-        return path
-    view = "scriptorium_rich_" + hashlib.sha1(sf_dir.encode()).hexdigest()[:10]
-    spark.read.parquet(os.path.join(sf_dir, "documents.parquet")).createOrReplaceTempView(view)
-    page = (f"concat('  <page><title>', title, '</title><id>', doc_id, '</id><revision><text xml:space=\"preserve\">', text, "
-            f"'</text></revision>', CASE WHEN doc_id % 6 = 1 THEN '{LATER}' ELSE '' END, '</page>')")
-    part = F.lpad((F.col("doc_id") / F.lit(PAGES_PER_FILE)).cast("long").cast("string"), 8, "0")
-    pages = spark.sql(rich_sql(view)).select(part.alias("part"), F.col("doc_id").cast("double").alias("k"), F.expr(page).alias("value"))
-    parts = pages.select("part").distinct()
-    edge = lambda k, x: parts.select("part", F.lit(float(k)).alias("k"), F.lit(x).alias("value"))
-    (pages.unionByName(edge("-inf", DUMP_HEADER)).unionByName(edge("inf", DUMP_FOOTER))
-          .repartition("part").sortWithinPartitions("part", "k").select("part", "value")
-          .write.mode("overwrite").partitionBy("part").text(path))
+    if not _exists(spark, path + "/_SUCCESS"):
+        dump_lines(spark.read.parquet(table), dump_tasks(spark, table)).write.mode("overwrite").partitionBy("part").text(path)
     return path
 
 
